@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import profile_queries  # noqa: F401
+from . import prepare_queries, profile_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

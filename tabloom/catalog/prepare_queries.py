@@ -388,7 +388,7 @@ def datetime_expand(spark, sf):
 
 
 @query("datetime_clock", sql("ev", (
-    "SELECT event_id, CAST(month(ts) AS DOUBLE) AS ts__month, CAST(day(ts) AS DOUBLE) AS ts__day, "
+    "SELECT event_id, CAST(day(ts) AS DOUBLE) AS ts__day, "
     "CAST(isodow(ts) - 1 AS DOUBLE) AS ts__dayofweek, CAST(hour(ts) AS DOUBLE) AS ts__hour, "
     "CAST(minute(ts) AS DOUBLE) AS ts__minute FROM ev")))
 def datetime_clock(spark, sf):
@@ -396,13 +396,13 @@ def datetime_clock(spark, sf):
     return X.apply_dates(d, X.fit_dates(d, ["ts"]))
 
 
-@query("datetime_ordinal", sql("ord", (
-    "SELECT o_orderkey, CAST(datediff('day', DATE '0001-01-01', date_trunc('year', DATE "
-    "'1997-06-15')) + 1 AS DOUBLE) AS epoch__ordinal FROM ord")))
+@query("datetime_ordinal", sql("ev", (
+    "SELECT event_id, CAST(datediff('day', DATE '0001-01-01', make_date(year(ts), 1, 1)) + 1 AS DOUBLE) "
+    "AS period__ordinal FROM ev")))
 def datetime_ordinal(spark, sf):
-    """A date with no varying part keeps only its day number."""
-    d = ord_(spark, sf).select(KEY, F.trunc(F.lit("1997-06-15").cast("date"), "year").alias("epoch"))
-    return X.apply_dates(d, X.fit_dates(d, ["epoch"]))
+    """A date with no varying part keeps only its day number: here the year of each event."""
+    d = ev(spark, sf).select("event_id", F.trunc(F.col("ts").cast("date"), "year").alias("period"))
+    return X.apply_dates(d, X.fit_dates(d, ["period"]))
 
 
 @query("numeric_coerce", sql("ord_dirty", "SELECT o_orderkey, TRY_CAST(num_text AS DOUBLE) AS number "

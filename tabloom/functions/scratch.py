@@ -24,8 +24,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tabloom-{uuid.uuid4().hex}/{name}"
 
 
-def settle(df: DataFrame, name: str = "frame") -> DataFrame:
+def settle(df: DataFrame, name: str = "frame", partition_by: str | None = None) -> DataFrame:
     """Write a frame that later steps read many times, and read it back with short lineage."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import (PCA, PCAModel, StandardScaler, StandardScalerModel,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Correlation
@@ -239,37 +240,41 @@ def reason_groups(reasons: DataFrame) -> DataFrame:
 # --- PCA ---------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
-class PcaResult:
-    frame: DataFrame
+class PcaPlan:
+    """Centring and components fitted on numeric columns; `apply` replaces them by PC1..PCk."""
+
+    columns: list[str]
     components: list[str]
     explained: list[float]
-    cumulative: list[float]
+    center: StandardScalerModel
+    model: PCAModel
+
+    @property
+    def cumulative(self) -> list[float]:
+        return [sum(self.explained[:i + 1]) for i in range(len(self.explained))]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in set(self.columns)]
+        return self.apply_vectors(assemble(df, self.columns, "_v", keep=rest), rest)
 
+    def apply_vectors(self, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
+        out = self.model.transform(self.center.transform(vectors)).withColumn(
+            "_a", vector_to_array("_p"))
+        return out.select(*[ref(c) for c in keep],
+                          *[F.col("_a")[i].alias(n) for i, n in enumerate(self.components)])
 
-def pca(df: DataFrame, columns: Sequence[str], n_components: int | None = None) -> PcaResult | None:
-    """Replaces numeric columns by centred (not scaled) principal components."""
+
+def fit_pca(df: DataFrame, columns: Sequence[str], n_components: int | None = None) -> PcaPlan | None:
+    """Principal components of centred (not scaled) columns; None for fewer than two."""
     if len(columns) < 2:
         return None
     k = min(n_components or min(10, len(columns)), len(columns))
-    rest = [c for c in df.columns if c not in set(columns)]
-    vec = assemble(df, columns, "_v", keep=rest)
-    return _pca_of_vectors(vec, rest, k)
-
-
-def pca_of_array(df: DataFrame, array: str, keep: Sequence[str], k: int) -> PcaResult:
-    """The same on a column that already holds an array of numbers."""
-    from pyspark.ml.functions import array_to_vector
-    vec = df.select(*[ref(c) for c in keep],
-                    array_to_vector(ref(array).cast("array<double>")).alias("_v"))
-    return _pca_of_vectors(vec, list(keep), k)
-
-
-def _pca_of_vectors(vec: DataFrame, rest: Sequence[str], k: int) -> PcaResult:
-    center = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(vec)
-    centered = center.transform(vec)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centered)
-    names = [f"PC{i + 1}" for i in range(k)]
-    out = model.transform(centered).withColumn("_a", vector_to_array("_p")).select(
-        *[ref(c) for c in rest], *[F.col("_a")[i].alias(n) for i, n in enumerate(names)])
-    explained = [float(x) for x in model.explainedVariance.toArray()]
-    return PcaResult(out, names, explained, [sum(explained[:i + 1]) for i in range(k)])
+    return fit_pca_vectors(assemble(df, columns, "_v"), k, columns)
+
+
+def fit_pca_vectors(vectors: DataFrame, k: int, columns: Sequence[str] = ()) -> PcaPlan:
+    """The same on a frame that already holds vectors in `_v`."""
+    center = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(vectors)
+    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(center.transform(vectors))
+    return PcaPlan(list(columns), [f"PC{i + 1}" for i in range(k)],
+                   [float(x) for x in model.explainedVariance.toArray()], center, model)

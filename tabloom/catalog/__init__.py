@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (evaluate_queries, feature_queries, prepare_queries,  # noqa: F401
+from . import (evaluate_queries, feature_queries, model_queries, prepare_queries,  # noqa: F401
                profile_queries)
 from .registry import ORACLES, QUERIES
 

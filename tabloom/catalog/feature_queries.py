@@ -37,9 +37,10 @@ _FI = ("fi", "SELECT *, " + ", ".join(f"{_derived_sql(n)} AS {n}" for n in _DERI
 
 
 @query("interactions", sql("ord_lab", f"SELECT {KEY}, " + ", ".join(
-    f"round({n}, 6) AS {n}" for n in _DERIVED) + " FROM fi", _F, _FI))
+    f"round({n}, {4 if '__mul__' in n else 6}) AS {n}" for n in _DERIVED) + " FROM fi", _F, _FI))
 def interactions(spark, sf):
-    return round_doubles(X.add_derived(_feats(spark, sf), _DERIVED).select(KEY, *_DERIVED))
+    return X.add_derived(_feats(spark, sf), _DERIVED).select(
+        KEY, *[rounded(ref(n), 4 if "__mul__" in n else 6).alias(n) for n in _DERIVED])
 
 
 @query("volume_feature", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount * l_tax, 6) "

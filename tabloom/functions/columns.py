@@ -48,6 +48,15 @@ def any_of(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 
 
+def distinct_sketch(c: Column, log_buckets: int = 12) -> Column:
+    """Aggregate: estimated distinct count (about 2 % error) from one small binary sketch.
+
+    While a column has few values the sketch holds their hashes, so it never counts too many.
+    """
+    hashed = F.when(c.isNotNull(), F.xxhash64(c))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(log_buckets)))
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den as double, null when den is zero (ANSI mode would raise)."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LIMITS, PrepareConfig
-from ..functions.columns import column_type, count_true, ref, to_long, unpivot_values
+from ..functions.columns import (column_type, count_true, distinct_sketch, ref, to_long,
+                                 unpivot_values)
 from ..functions.lookups import lookup, value_counts
 from ..functions.quantiles import exact_quantiles
 from .types import SKETCH_SURE_MANY, distinct_counts, is_temporal, parse_timestamp
@@ -177,10 +178,10 @@ def skew_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         v = ref(c).cast("double")
         aggs += [F.count(v).alias(f"n{i}"), adjusted_skew(v).alias(f"s{i}"), F.min(v).alias(f"lo{i}"),
-                 F.approx_count_distinct(v, 0.02).alias(f"d{i}")]
+                 distinct_sketch(v).alias(f"d{i}")]
     return to_long(df.agg(*aggs), [
         {"column": F.lit(c), "n": F.col(f"n{i}"), "skew": F.col(f"s{i}"), "low": F.col(f"lo{i}"),
-         "sketch": F.col(f"d{i}")} for i, c in enumerate(columns)])
+         "sketch": F.coalesce(F.col(f"d{i}"), F.lit(0))} for i, c in enumerate(columns)])
 
 
 def skewed_columns(df: DataFrame, columns: Sequence[str], threshold: float = 1.0) -> list[str]:

@@ -9,13 +9,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..config import BOOLEAN_WORDS, CODE_PATTERN, DIGITS_PATTERN, IDENTIFIER_NAMES, PrepareConfig
-from ..functions.columns import (column_type, count_true, is_integral, normalize_name, ref,
-                                 to_long, unpivot_values)
+from ..functions.columns import (column_type, count_true, distinct_sketch, is_integral,
+                                 normalize_name, ref, to_long, unpivot_values)
 
-# With d distinct values at most d registers of the sketch are set, so an estimate above this
-# proves that a column has more than 20 distinct values; below it they are counted exactly.
+# With few distinct values the sketch holds their hashes, so an estimate above this proves that a
+# column has more than 20 distinct values; below it they are counted exactly.
 SKETCH_SURE_MANY = 64
-_SKETCH_ERROR = 0.02
 _SAMPLE, _CODE_SAMPLE, _HEAD = 100, 50, 2000
 
 # fixed values: text layouts tried, after ISO, when a string might be a date
@@ -56,11 +55,11 @@ def column_facts(df: DataFrame, columns: Iterable[str] | None = None) -> ColumnF
     for i, c in enumerate(cols):
         aggs += [F.count(ref(c)).alias(f"n{i}"), F.min(ref(c)).alias(f"lo{i}"),
                  F.max(ref(c)).alias(f"hi{i}"),
-                 F.approx_count_distinct(ref(c), _SKETCH_ERROR).alias(f"d{i}")]
+                 distinct_sketch(ref(c)).alias(f"d{i}")]
     row = df.agg(*aggs).first()
     facts = ColumnFacts(row["rows"])
     for i, c in enumerate(cols):
-        facts.present[c], facts.sketch[c] = row[f"n{i}"], row[f"d{i}"]
+        facts.present[c], facts.sketch[c] = row[f"n{i}"], row[f"d{i}"] or 0
         facts.low[c], facts.high[c] = row[f"lo{i}"], row[f"hi{i}"]
         facts.beyond[c] = 0 if facts.sketch[c] <= SKETCH_SURE_MANY else facts.present[c]
     unsure = [c for c in cols if facts.present[c] and facts.sketch[c] <= SKETCH_SURE_MANY]
@@ -185,8 +184,8 @@ def task_type(df: DataFrame, target: str, divisor: int = 10) -> str:
     if not is_integral(dtype):
         return "regression"
     row = df.agg(F.count(ref(target)).alias("n"),
-                 F.approx_count_distinct(ref(target), _SKETCH_ERROR).alias("d")).first()
-    if row["n"] == 0 or row["d"] > SKETCH_SURE_MANY:
+                 distinct_sketch(ref(target)).alias("d")).first()
+    if row["n"] == 0 or (row["d"] or 0) > SKETCH_SURE_MANY:
         return "regression"
     distinct = distinct_counts(df, [target])[target]
     return "classification" if distinct <= min(20, max(2, row["n"] // divisor)) else "regression"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import FeatureConfig
 from ..functions.columns import ref, round_doubles, rounded
 from ..operators import evaluate as V, features as X
-from ..operators.profile import pairwise_r
+from ..operators.profile import correlations
 from .registry import query
 from .views import ev, li, ord_lab, sql, union
 
@@ -109,8 +109,8 @@ def _with_bases(chosen):
 def _scores(spark, sf):
     """Share of each feature in the summed absolute correlation with y: one aggregate."""
     d = X.add_derived(_feats(spark, sf), _DERIVED)
-    row = d.agg(*[F.abs(pairwise_r(c, "y")).alias(f"r{i}") for i, c in enumerate(_ORDER)]).first()
-    raw = {c: row[f"r{i}"] or 0.0 for i, c in enumerate(_ORDER)}
+    r = correlations(d, [(c, "y") for c in _ORDER])
+    raw = {c: abs(r[c, "y"] or 0.0) for c in _ORDER}
     return {c: v / sum(raw.values()) for c, v in raw.items()}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import PrepareConfig
 from ..functions.columns import normalize_text, numeric_columns, ref, round_doubles, rounded, to_long
 from ..functions.lookups import lookup
+from ..functions.scratch import settle
 from ..operators import checks as C, encode as E, prepare as X, rows as R, scale as Z, split as G
 from ..operators import types as T
 from .registry import query
@@ -416,7 +417,8 @@ _TRAIN = ("t", "SELECT *, row_number() OVER (ORDER BY md5(concat('42:', CAST(o_o
 
 
 def _split_dirty(spark, sf):
-    d = G.train_test_split(ord_dirty(spark, sf), KEY)
+    """The split table is written once: fitting and applying both read it."""
+    d = settle(G.train_test_split(ord_dirty(spark, sf), KEY), "split")
     return d, d.where("split = 'train'")
 
 

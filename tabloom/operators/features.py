@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import COPY_WORDS, LIMITS, FeatureConfig
 from ..functions.columns import count_true, numeric_columns, ref
-from .profile import correlation_pairs, pairwise_r
+from .profile import CoMoments, column_centers, correlations
 
 MUL, DIV, ADD, SUB = "__mul__", "__div__", "__add__", "__sub__"
 MIN_DENOMINATOR = 1e-6
@@ -108,16 +108,16 @@ def moments(df: DataFrame, columns: Sequence[str], limit: int = LIMITS.correlati
     """
     cols, pairs = list(columns), list(combinations(columns, 2))
     if len(cols) <= limit:
+        co = CoMoments(column_centers(df, cols), pairs)
         row = df.agg(*[F.var_pop(ref(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)],
-                     *[pairwise_r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+                     *co.sums()).first()
         return Moments({c: row[f"v{i}"] or 0.0 for i, c in enumerate(cols)},
-                       {p: row[f"r{i}"] for i, p in enumerate(pairs) if row[f"r{i}"] is not None})
+                       {p: r for p, r in co.solve(row).items() if r is not None})
     head = df.agg(*[F.var_pop(ref(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)],
                   *[count_true(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     variance = {c: head[f"v{i}"] or 0.0 for i, c in enumerate(cols)}
     if any(head[f"m{i}"] for i in range(len(cols))):
-        rows = correlation_pairs(df, pairs=pairs).where("r IS NOT NULL").collect()
-        return Moments(variance, {(x["col_a"], x["col_b"]): x["r"] for x in rows})
+        return Moments(variance, {p: r for p, r in correlations(df, pairs).items() if r is not None})
     spread = [c for c in cols if variance[c] > 0]
     doubles = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(spread)])
     vectors = VectorAssembler(inputCols=doubles.columns, outputCol="v").transform(doubles)

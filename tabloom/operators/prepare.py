@@ -12,6 +12,7 @@ from ..functions.columns import (column_type, count_true, distinct_sketch, ref,
                                  unpivot_values)
 from ..functions.lookups import lookup, value_counts
 from ..functions.quantiles import exact_quantiles
+from ..functions.scratch import settle
 from .types import SKETCH_SURE_MANY, distinct_counts, is_temporal, parse_timestamp
 
 
@@ -127,14 +128,14 @@ class RareLevels:
 
 
 def level_shares(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, share) over present values."""
-    total = df.agg(F.count(ref(column))).first()[0]
-    return value_counts(df, column).where(F.col("value").isNotNull()).select(
-        "value", "n", (F.col("n") / F.lit(float(max(total, 1)))).alias("share"))
+    """(value, n, share) over present values. Counted once and written: look-ups read it again."""
+    counts = settle(value_counts(df, column).where(F.col("value").isNotNull()), "levels")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return counts.select("value", "n", (F.col("n") / F.lit(float(total))).alias("share"))
 
 
 def fit_rare(df: DataFrame, column: str, cfg: PrepareConfig = PrepareConfig()) -> RareLevels | None:
-    counts = value_counts(df, column).where(F.col("value").isNotNull())
+    counts = settle(value_counts(df, column).where(F.col("value").isNotNull()), "levels")
     total = counts.agg(F.sum("n")).first()[0]
     if not total:
         return None

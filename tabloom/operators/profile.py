@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,43 +111,101 @@ def preview(df: DataFrame, row_key: str, rows: int = 5) -> DataFrame:
 
 # --- correlation -------------------------------------------------------------------------
 
-def pearson_parts(a: str, b: str) -> tuple[Column, Column, Column]:
-    """Aggregates over rows where both are present: covariance and both variances."""
-    x, y = ref(a).cast("double"), ref(b).cast("double")
-    return (F.covar_pop(x, y), F.var_pop(F.when(y.isNotNull(), x)),
-            F.var_pop(F.when(x.isNotNull(), y)))
-
-
-def pearson(cov: Column, var_x: Column, var_y: Column) -> Column:
-    """r in [-1, 1], null where a side is constant."""
-    r = F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-
-
-def pairwise_r(a: str, b: str) -> Column:
-    """Aggregate: Pearson r over rows where both are present; null where a side is constant."""
-    cov, vx, vy = pearson_parts(a, b)
-    # greatest/least skip nulls, so an undefined r must be kept undefined
-    return F.when((vx > 0) & (vy > 0), pearson(cov, vx, vy))
+@dataclass(frozen=True)
+class Centers:
+    """Column means, and which columns miss values; centring keeps the sums below stable."""
+
+    mean: dict[str, float]
+    gaps: frozenset[str]
+
+
+def column_centers(df: DataFrame, columns: Sequence[str]) -> Centers:
+    """One light aggregate."""
+    cols = list(dict.fromkeys(columns))
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(cols) for e in (
+        F.avg(ref(c).cast("double")).alias(f"a{i}"), F.count(ref(c)).alias(f"n{i}"))]).first()
+    return Centers({c: row[f"a{i}"] or 0.0 for i, c in enumerate(cols)},
+                   frozenset(c for i, c in enumerate(cols) if row[f"n{i}"] < row["n"]))
+
+
+class CoMoments:
+    """Plain centred sums from which pairwise-complete correlations follow.
+
+    Complete columns share their own sums across all pairs, so a pair costs one sum of products;
+    only pairs with gaps need sums restricted to the rows where both values are present. Spark
+    computes the sums in one aggregate; what remains is arithmetic on one row.
+    """
+
+    def __init__(self, centers: Centers, pairs: Sequence[tuple[str, str]], tag: str = "k"):
+        self.centers, self.pairs, self.tag = centers, list(dict.fromkeys(pairs)), tag
+        self._keys: dict[tuple, int] = {}
+        for a, b in self.pairs:
+            for kind in ("n", "s", "q"):
+                self._place((kind, a, self._mask(a, b)))
+                self._place((kind, b, self._mask(b, a)))
+            self._place(("p", a, b))
+
+    def _mask(self, c: str, other: str) -> str | None:
+        return other if other in self.centers.gaps and other != c else None
+
+    def _place(self, key: tuple) -> int:
+        return self._keys.setdefault(key, len(self._keys))
+
+    def sums(self) -> list[Column]:
+        x = {c: ref(c).cast("double") - F.lit(m) for c, m in self.centers.mean.items()}
+
+        def value(kind: str, c: str, other: str | None) -> Column:
+            if kind == "p":
+                return F.sum(x[c] * x[other])
+            seen = F.when(ref(other).isNotNull(), x[c]) if other else x[c]
+            return F.count(seen) if kind == "n" else F.sum(seen if kind == "s" else seen * seen)
+
+        return [value(*k).alias(f"{self.tag}{i}") for k, i in self._keys.items()]
+
+    def solve(self, row) -> dict[tuple[str, str], float | None]:
+        """r per pair from the aggregated row; None where a side does not vary."""
+        got = {k: row[f"{self.tag}{i}"] for k, i in self._keys.items()}
+
+        def side(c: str, other: str) -> tuple[int, float, float]:
+            mask = self._mask(c, other)
+            n, s, q = (got[kind, c, mask] for kind in ("n", "s", "q"))
+            spread = (q or 0.0) - (s or 0.0) ** 2 / n if n else 0.0
+            # what rounding leaves of a constant column is not spread
+            return n, s or 0.0, spread if spread > (q or 0.0) * 1e-13 else 0.0
+
+        out = {}
+        for a, b in self.pairs:
+            n, sa, va = side(a, b)
+            _, sb, vb = side(b, a)
+            if va > 0 and vb > 0:
+                r = (got["p", a, b] - sa * sb / n) / (math.sqrt(va) * math.sqrt(vb))
+                out[a, b] = max(-1.0, min(1.0, r))
+            else:
+                out[a, b] = None
+        return out
+
+
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]],
+                 batch: int = 200) -> dict[tuple[str, str], float | None]:
+    """r per pair: one light scan for the means, then one scan per `batch` pairs."""
+    if not pairs:
+        return {}
+    centers = column_centers(df, [c for p in pairs for c in p])
+    out: dict[tuple[str, str], float | None] = {}
+    for start in range(0, len(pairs), batch):
+        m = CoMoments(centers, pairs[start:start + batch])
+        out.update(m.solve(df.agg(*m.sums()).first()))
+    return out
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None,
-                      pairs: Sequence[tuple[str, str]] | None = None,
-                      batch: int = 70) -> DataFrame:
-    """(col_a, col_b, r) for each pair, pairwise complete; `batch` pairs share one scan."""
+                      pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """(col_a, col_b, r) for each pair, pairwise complete."""
     todo = list(pairs if pairs is not None
                 else combinations(columns or numeric_columns(df), 2))
-    result = None
-    for start in range(0, len(todo), batch):
-        part = todo[start:start + batch]
-        aggs = [pairwise_r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)]
-        block = to_long(df.agg(*aggs), [
-            {"col_a": F.lit(a), "col_b": F.lit(b), "r": F.col(f"r{i}")}
-            for i, (a, b) in enumerate(part)])
-        result = block if result is None else result.unionByName(block)
-    if result is None:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    return result
+    return df.sparkSession.createDataFrame(
+        [(a, b, r) for (a, b), r in correlations(df, todo).items()],
+        "col_a string, col_b string, r double")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import LIMITS
 from ..functions.columns import ref
-from ..functions.ordering import (bucket_offsets, digest_fraction, digest_rank, prefix_length,
-                                  range_bucket, range_splits, seeded_digest)
+from ..functions.ordering import (bucket_offsets, digest_fraction, digest_rank, range_bucket,
+                                  range_splits, seeded_digest)
+from ..functions.scratch import settle
 
 _EXACT = "decimal(38,0)"
+SPLIT_PREFIX = 4  # hex digits: 65,536 buckets
 
 
 def test_sizes(classes: DataFrame, rows: int, test_size: float) -> DataFrame:
@@ -49,9 +51,17 @@ def can_stratify(classes: DataFrame, rows: int, test_size: float) -> bool:
 
 def train_test_split(df: DataFrame, row_key: str, target: str | None = None,
                      test_size: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
-    """Adds `split` = train | test, stratified by `target` when the classes allow it."""
+    """Adds `split` = train | test, stratified by `target` when the classes allow it.
+
+    Three scans: bucket counts, the rows of the cut buckets, and the tagging itself. The small
+    tables between them are written once, so no scan is repeated.
+    """
     tagged = df.withColumn("_cls", _class_frame(df, target))
-    classes = tagged.groupBy(F.col("_cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = tagged.select(F.col("_cls").alias("cls"),
+                          seeded_digest(ref(row_key), seed).alias("digest")).withColumn(
+        "bucket", F.substring("digest", 1, SPLIT_PREFIX))
+    counts = settle(keyed.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    classes = counts.groupBy("cls").agg(F.sum("n").alias("n"))
     totals = classes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
     rows = totals["rows"] or 0
     if rows == 0:
@@ -59,7 +69,7 @@ def train_test_split(df: DataFrame, row_key: str, target: str | None = None,
     if target and not can_stratify(classes, rows, test_size):
         return train_test_split(df, row_key, None, test_size, seed, name)
 
-    cuts = _cut_digests(tagged, row_key, seed, rows, test_sizes(classes, rows, test_size))
+    cuts = settle(_cut_digests(keyed, counts, test_sizes(classes, rows, test_size)), "cuts")
     if totals["classes"] <= LIMITS.broadcast_rows:
         cuts = F.broadcast(cuts)
     digest = seeded_digest(ref(row_key), seed)
@@ -68,14 +78,11 @@ def train_test_split(df: DataFrame, row_key: str, target: str | None = None,
         "_cls", "_cut_cls", "_cut")
 
 
-def _cut_digests(tagged: DataFrame, row_key: str, seed: int, rows: int,
-                 sizes: DataFrame) -> DataFrame:
-    """(_cut_cls, _cut): digest of the k-th row of each class."""
-    length = prefix_length(rows)
-    keyed = tagged.select(F.col("_cls").alias("cls"),
-                          seeded_digest(ref(row_key), seed).alias("digest")).withColumn(
-        "bucket", F.substring("digest", 1, length))
-    counts = keyed.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n"))
+def _cut_digests(keyed: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(_cut_cls, _cut): digest of the k-th row of each class.
+
+    Only the bucket of each class that holds the k-th row is ranked: 1/65,536 of its rows.
+    """
     wanted = sizes.select(F.col("cls").alias("_w"), "k")
     located = bucket_offsets(counts, ["cls"]).join(
         wanted, F.col("cls").eqNullSafe(F.col("_w"))).where(

@@ -114,7 +114,7 @@ def brute_split(rows, test_size, seed):
 @pytest.mark.parametrize("size,prefix", [(0.2, 1), (0.2, 3), (0.33, 2)])
 def test_stratified_split_sizes_and_members(skewed, monkeypatch, size, prefix):
     rows, df = skewed
-    monkeypatch.setattr(G, "prefix_length", lambda n: prefix)
+    monkeypatch.setattr(G, "SPLIT_PREFIX", prefix)
     out = G.train_test_split(df, "id", "cls", size).collect()
     got = {r["id"] for r in out if r["split"] == "test"}
     assert len(out) == len(rows)

@@ -362,9 +362,9 @@ def split_sizes(spark, sf):
     return G.split_sizes(G.train_test_split(ord_(spark, sf), KEY, "o_orderstatus"), "o_orderstatus")
 
 
-@query("kfold_assign", sql("ord", "SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY "
-                           "o_orderstatus ORDER BY md5(concat('42:', CAST(o_orderkey AS string)))) - "
-                           "1) % 5 AS INT) AS fold FROM ord"))
+@query("kfold_assign", sql("ord", "SELECT o_orderkey, CAST(ntile(5) OVER (PARTITION BY o_orderstatus "
+                           "ORDER BY md5(concat('42:', CAST(o_orderkey AS string)))) - 1 AS INT) AS fold "
+                           "FROM ord"))
 def kfold_assign(spark, sf):
     return G.assign_folds(ord_(spark, sf), KEY, 5, "o_orderstatus").select(KEY, "fold")
 

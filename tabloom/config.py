@@ -30,8 +30,9 @@ class ScaleLimits:
     Each limit is compared with a measured count before the shortcut is taken.
     """
 
-    exact_quantile_rows: int = 1_000_000      # rows a plain `percentile` may hold
-    broadcast_rows: int = 200_000             # rows of a lookup table sent to executors
+    exact_quantile_values: int = 4_000_000    # values one `percentile` task may hold
+    broadcast_rows: int = 200_000             # rows of a lookup table sent to executors,
+    broadcast_text: int = 64_000_000          # and the characters they may hold
     inline_levels: int = 500                  # levels written into an expression
     rows_per_bucket: int = 200_000            # target rows per ordering bucket
     small_table_rows: int = 100_000           # rows a single window task may rank

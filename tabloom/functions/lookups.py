@@ -29,8 +29,9 @@ def lookup(df: DataFrame, column: str, table: DataFrame, default: Column, name:
     """
     key = ref(column).cast("string")
     table = table.where(F.col("value").isNotNull())
-    head = table.limit(limit + 1).count()
-    if head <= limit:
+    head = table.limit(limit + 1).agg(F.count(F.lit(1)).alias("rows"),
+                                      F.sum(F.length("value")).alias("text")).first()
+    if head["rows"] <= limit and (head["text"] or 0) <= LIMITS.broadcast_text:
         small = F.broadcast(table.select(F.col("value").alias("_v"), F.col("stat").alias("_s")))
         return (df.join(small, key == F.col("_v"), "left")
                 .withColumn(name, F.coalesce("_s", default)).drop("_v", "_s"))

@@ -1,4 +1,4 @@
-"""Global ranks, positions and running sums without a single-task window.
+"""Global order, positions and running sums without a single-task window.
 
 All of them work in two levels: rows go into ordered buckets, the small table of bucket
 counts gets prefix sums, and rows are ranked only inside their bucket. The number of buckets
@@ -27,43 +27,16 @@ def digest_fraction(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
 
 
-def prefix_length(rows: int, per_bucket: int = LIMITS.rows_per_bucket) -> int:
-    """Hex digits of a digest that give buckets of about `per_bucket` rows (at most 16^5)."""
-    need = max(rows / per_bucket, 1.0)
-    return min(5, max(1, math.ceil(math.log(need, 16)))) if need > 1 else 1
-
-
 def bucket_offsets(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(groups..., bucket, n) -> the same plus `before` = rows in earlier buckets.
 
-    One window task sees the buckets of one group, at most 16^5 short rows.
+    One window task sees the buckets of one group: at most 65,536 short rows.
     """
     w = W.partitionBy(*[ref(g) for g in groups]) if groups else W.partitionBy(F.lit(1))
     w = w.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     return counts.withColumn("before", F.sum("n").over(w) - F.col("n"))
 
 
-def digest_rank(df: DataFrame, key: str, seed: int, groups: Sequence[str] = (),
-                rows: int | None = None, rank: str = "rank") -> DataFrame:
-    """Adds the 1-based rank by seeded digest inside each group (exact, unique keys)."""
-    rows = df.count() if rows is None else rows
-    size = prefix_length(rows)
-    keyed = df.withColumn("_digest", seeded_digest(ref(key), seed)).withColumn(
-        "_bucket", F.substring("_digest", 1, size))
-    counts = keyed.groupBy(*[ref(g) for g in groups], F.col("_bucket").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"))
-    offsets = bucket_offsets(counts, groups).select(
-        *[ref(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("bucket").alias("_ob"), F.col("before").alias("_before"))
-    match = F.col("_bucket") == F.col("_ob")
-    for i, g in enumerate(groups):
-        match = match & ref(g).eqNullSafe(F.col(f"_g{i}"))
-    inner = W.partitionBy(*[ref(g) for g in groups], "_bucket").orderBy("_digest", ref(key))
-    return (keyed.join(offsets, match, "inner")
-            .withColumn(rank, F.col("_before") + F.row_number().over(inner))
-            .drop("_digest", "_bucket", "_ob", "_before", *[f"_g{i}" for i in range(len(groups))]))
-
-
 def range_splits(df: DataFrame, column: str, buckets: int) -> list[float]:
     """Inner cut points that spread the values of a numeric column over `buckets` ranges."""
     if buckets <= 1:

@@ -45,15 +45,18 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    limit: int = LIMITS.exact_quantile_rows,
+    limit: int = LIMITS.exact_quantile_values,
 ) -> dict[str, list[float | None]]:
-    """{column: [quantile per prob]}, linear interpolation, nulls ignored."""
+    """{column: [quantile per prob]}, linear interpolation, nulls ignored.
+
+    `limit` bounds the values one task may hold over all columns together.
+    """
     cols = list(dict.fromkeys(columns))
     if not cols:
         return {}
     names = [f"c{i}" for i in range(len(cols))]
     base = df.select(*[ref(c).cast("double").alias(n) for c, n in zip(cols, names)])
-    if base.count() <= limit:
+    if base.count() * len(cols) <= limit:
         at = F.array(*[F.lit(float(p)) for p in probs])
         row = base.agg(*[F.percentile(n, at).alias(n) for n in names]).first()
         found = [list(row[n]) if row[n] is not None else [None] * len(probs) for n in names]
@@ -77,7 +80,8 @@ def _by_narrowing(base: DataFrame, names: list[str], probs: Sequence[float], lim
         for s in searches.values():
             if s.value is None and s.lo == s.hi:
                 s.value = s.lo
-        wide = [s for s in searches.values() if s.value is None and s.inside > limit]
+        open_ = [s for s in searches.values() if s.value is None]
+        wide = [s for s in open_ if s.inside > max(1, limit // len(open_))]
         if not wide:
             break
         _narrow_once(base, wide)

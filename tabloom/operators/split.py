@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import LIMITS
 from ..functions.columns import ref
-from ..functions.ordering import (bucket_offsets, digest_fraction, digest_rank, range_bucket,
-                                  range_splits, seeded_digest)
+from ..functions.ordering import (bucket_offsets, digest_fraction, range_bucket, range_splits,
+                                  seeded_digest)
 from ..functions.scratch import settle
 
 _EXACT = "decimal(38,0)"
@@ -38,10 +38,18 @@ def test_sizes(classes: DataFrame, rows: int, test_size: float) -> DataFrame:
         (F.col("n") - F.col("floor") - F.col("_lucky").isNotNull().cast("long")).alias("k"))
 
 
-def _class_frame(df: DataFrame, target: str | None):
+def _class_of(target: str | None):
     return ref(target).cast("string") if target else F.lit("all")
 
 
+def _bucket_counts(tagged: DataFrame, row_key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as (cls, digest, bucket), and their counts per class and bucket (written once)."""
+    keyed = tagged.select(F.col("_cls").alias("cls"),
+                          seeded_digest(ref(row_key), seed).alias("digest")).withColumn(
+        "bucket", F.substring("digest", 1, SPLIT_PREFIX))
+    return keyed, settle(keyed.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+
+
 def can_stratify(classes: DataFrame, rows: int, test_size: float) -> bool:
     """Every class needs two rows, and both parts room for one row of each class."""
     s = classes.agg(F.min("n").alias("low"), F.count(F.lit(1)).alias("classes")).first()
@@ -56,11 +64,8 @@ def train_test_split(df: DataFrame, row_key: str, target: str | None = None,
     Three scans: bucket counts, the rows of the cut buckets, and the tagging itself. The small
     tables between them are written once, so no scan is repeated.
     """
-    tagged = df.withColumn("_cls", _class_frame(df, target))
-    keyed = tagged.select(F.col("_cls").alias("cls"),
-                          seeded_digest(ref(row_key), seed).alias("digest")).withColumn(
-        "bucket", F.substring("digest", 1, SPLIT_PREFIX))
-    counts = settle(keyed.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    tagged = df.withColumn("_cls", _class_of(target))
+    keyed, counts = _bucket_counts(tagged, row_key, seed)
     classes = counts.groupBy("cls").agg(F.sum("n").alias("n"))
     totals = classes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
     rows = totals["rows"] or 0
@@ -69,32 +74,33 @@ def train_test_split(df: DataFrame, row_key: str, target: str | None = None,
     if target and not can_stratify(classes, rows, test_size):
         return train_test_split(df, row_key, None, test_size, seed, name)
 
-    cuts = settle(_cut_digests(keyed, counts, test_sizes(classes, rows, test_size)), "cuts")
-    if totals["classes"] <= LIMITS.broadcast_rows:
-        cuts = F.broadcast(cuts)
+    wanted = test_sizes(classes, rows, test_size).select("cls", "k")
+    # written, so its size is known and Catalyst broadcasts it only when it is small
+    cuts = settle(_cut_digests(keyed, counts, wanted), "cuts").select(
+        F.col("cls").alias("_cut_cls"), F.col("digest").alias("_cut"))
     digest = seeded_digest(ref(row_key), seed)
     out = tagged.join(cuts, F.col("_cls").eqNullSafe(F.col("_cut_cls")), "left")
     return out.withColumn(name, F.when(digest <= F.col("_cut"), "test").otherwise("train")).drop(
         "_cls", "_cut_cls", "_cut")
 
 
-def _cut_digests(keyed: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(_cut_cls, _cut): digest of the k-th row of each class.
+def _cut_digests(keyed: DataFrame, counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, k, digest): the digest of the k-th row of a class, for each wanted (cls, k).
 
-    Only the bucket of each class that holds the k-th row is ranked: 1/65,536 of its rows.
+    Only buckets that hold a wanted row are ranked: each has 1/65,536 of the rows of its class.
     """
-    wanted = sizes.select(F.col("cls").alias("_w"), "k")
+    wanted = wanted.select(F.col("cls").alias("_w"), "k")
     located = bucket_offsets(counts, ["cls"]).join(
         wanted, F.col("cls").eqNullSafe(F.col("_w"))).where(
         (F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("n")))
-    located = located.select(F.col("cls").alias("_lc"), F.col("bucket").alias("_lb"),
-                             (F.col("k") - F.col("before")).alias("_need"))
-    inside = keyed.join(located, F.col("cls").eqNullSafe(F.col("_lc"))
-                        & (F.col("bucket") == F.col("_lb")))
+    located = settle(located.select(
+        F.col("cls").alias("_lc"), F.col("bucket").alias("_lb"), "k",
+        (F.col("k") - F.col("before")).alias("_need")), "located")
+    here = F.col("cls").eqNullSafe(F.col("_lc")) & (F.col("bucket") == F.col("_lb"))
     w = W.partitionBy("cls", "bucket").orderBy("digest")
-    return inside.withColumn("_rn", F.row_number().over(w)).where(
-        F.col("_rn") == F.col("_need")).select(F.col("cls").alias("_cut_cls"),
-                                              F.col("digest").alias("_cut"))
+    ranked = keyed.join(located.select("_lc", "_lb").distinct(), here, "left_semi").withColumn(
+        "_rn", F.row_number().over(w))
+    return ranked.join(located, here & (F.col("_rn") == F.col("_need"))).select("cls", "k", "digest")
 
 
 def fast_split(df: DataFrame, row_key: str, test_size: float = 0.2, seed: int = 42,
@@ -125,17 +131,29 @@ def search_folds(folds: int, rows: int) -> int:
 
 def assign_folds(df: DataFrame, row_key: str, k: int, target: str | None = None, seed: int = 42,
                  exact: bool = True, name: str = "fold") -> DataFrame:
-    """Adds a fold number 0..k-1.
+    """Adds a fold number 0..k-1, per class of `target` if given.
 
-    `exact` deals rows out in digest order, per class if stratified, so fold sizes differ by at
-    most one. Otherwise folds come from the digest alone: no shuffle, sizes equal on average.
+    `exact` cuts each class, in digest order, into k blocks whose sizes differ by at most one; as
+    with the split, the table itself is only compared with the few cut digests, never shuffled.
+    Otherwise folds come from the digest alone: sizes are equal on average and nothing is counted.
     """
+    digest = seeded_digest(ref(row_key), seed)
     if not exact:
-        share = digest_fraction(seeded_digest(ref(row_key), seed))
-        return df.withColumn(name, F.floor(share * k).cast("int"))
-    groups = [target] if target else []
-    ranked = digest_rank(df, row_key, seed, groups, rank="_rank")
-    return ranked.withColumn(name, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+        return df.withColumn(name, F.floor(digest_fraction(digest) * k).cast("int"))
+    tagged = df.withColumn("_cls", _class_of(target))
+    keyed, counts = _bucket_counts(tagged, row_key, seed)
+    i = F.col("i")
+    size, extra = F.floor(F.col("n") / k), F.col("n") % k
+    ends = counts.groupBy("cls").agg(F.sum("n").alias("n")).withColumn(
+        "i", F.explode(F.sequence(F.lit(1), F.lit(max(k - 1, 1))))).select(
+        "cls", (size * i + F.least(extra, i)).cast("long").alias("k")).where("k > 0")
+    # at most k - 1 digests per class
+    cuts = settle(_cut_digests(keyed, counts, ends).groupBy("cls").agg(
+        F.sort_array(F.collect_list("digest")).alias("_cuts")), "folds").select(
+        F.col("cls").alias("_cut_cls"), "_cuts")
+    passed = F.size(F.filter("_cuts", lambda c: c < digest))
+    return tagged.join(cuts, F.col("_cls").eqNullSafe(F.col("_cut_cls")), "left").withColumn(
+        name, F.coalesce(passed, F.lit(0)).cast("int")).drop("_cls", "_cut_cls", "_cuts")
 
 
 # --- even-stride sample ------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from ..config import BOOLEAN_WORDS, CODE_PATTERN, DIGITS_PATTERN, IDENTIFIER_NAMES, PrepareConfig
 from ..functions.columns import (column_type, count_true, distinct_sketch, is_integral,
                                  normalize_name, ref, to_long, unpivot_values)
+from ..functions.scratch import settle
 
 # With few distinct values the sketch holds their hashes, so an estimate above this proves that a
 # column has more than 20 distinct values; below it they are counted exactly.
@@ -99,7 +100,8 @@ def leading_samples(df: DataFrame, row_key: str, columns: Sequence[str],
         return df.sparkSession.createDataFrame([], "column string, position int, value string")
     cols = list(columns)
     by_key = "_key"
-    head = df.select(ref(row_key).alias(by_key), *[ref(c) for c in cols]).orderBy(by_key).limit(_HEAD)
+    head = settle(df.select(ref(row_key).alias(by_key), *[ref(c) for c in cols])
+                  .orderBy(by_key).limit(_HEAD), "head")
     seen = head.agg(*[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                     F.count(F.lit(1)).alias("rows")).first()
     short = [c for i, c in enumerate(cols) if seen[f"n{i}"] < size] if seen["rows"] == _HEAD else []

@@ -45,15 +45,6 @@ def test_quantiles_of_empty_and_constant_columns(spark):
         assert got == {"a": [None, None], "b": [2.0, 2.0]}
 
 
-def test_digest_rank_is_the_global_order(skewed, monkeypatch):
-    rows, df = skewed
-    monkeypatch.setattr(ordering, "prefix_length", lambda n: 2)
-    got = {r["id"]: r["rank"] for r in ordering.digest_rank(df, "id", 42, ["cls"]).collect()}
-    for cls in {r[1] for r in rows}:
-        ids = sorted((r[0] for r in rows if r[1] == cls), key=lambda i: digest(42, i))
-        assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
-
-
 def test_running_sums_across_ranges(skewed):
     rows, df = skewed
     out = ordering.running_sums(df.select("id", "cls", (F.col("id") % 10).alias("x")), "id", ["x"],
@@ -140,6 +131,14 @@ def test_folds_are_balanced_per_class(skewed):
                 assert max(sizes) - min(sizes) <= 1
 
 
+def test_folds_of_tiny_classes(spark):
+    df = spark.createDataFrame([(i, "big" if i < 40 else "two" if i < 42 else None) for i in range(43)],
+                               "id long, cls string")
+    out = G.assign_folds(df, "id", 5, "cls")
+    assert out.count() == 43 and out.where("fold IS NULL OR fold > 4").count() == 0
+    assert out.where("cls = 'two'").select("fold").distinct().count() == 2
+
+
 def test_stride_sample_positions(skewed, monkeypatch):
     rows, df = skewed
     from tabloom.config import ScaleLimits

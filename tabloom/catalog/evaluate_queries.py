@@ -124,7 +124,7 @@ def reg_metrics(spark, sf):
         "mae", "rmse", "mse_millions")])
 
 
-@query("mean_baseline", sql("pred_reg", f"SELECT round(p, 4) AS value, 0.0 AS r2, m.mae, m.mse_millions, "
+@query("mean_baseline", sql("pred_reg", f"SELECT round(p, 4) AS value, CAST(0.0 AS DOUBLE) AS r2, m.mae, m.mse_millions, "
                             f"m.rmse FROM (SELECT avg(label) AS p FROM pred_reg), (SELECT {_REGM} FROM "
                             "(SELECT label, (SELECT avg(label) FROM pred_reg) AS p FROM pred_reg)) m"))
 def mean_baseline(spark, sf):

@@ -180,18 +180,19 @@ def split_selected(spark, sf):
         (c, "categorical") for c in text], "feature string, kind string")
 
 
-_LOG = ("lg", "SELECT event_type AS type, min(event_id) AS seq, list(DISTINCT concat('col_', "
-              "CAST(user_id % 50 AS string))) AS columns FROM ev WHERE value > 20 + (user_id % 50) * 4 "
-              "GROUP BY event_type")
+_LOG = ("lg", "SELECT event_type AS type, min(first_id) AS seq, list(c) AS columns FROM (SELECT "
+              "event_type, concat('col_', CAST(user_id % 50 AS string)) AS c, avg(value) AS v, "
+              "min(event_id) AS first_id FROM ev GROUP BY ALL) WHERE v > 50 GROUP BY event_type")
 
 
 def _log(spark, sf):
-    """A transformation log whose steps are event types and whose columns come from users."""
-    return ev(spark, sf).where("value > 20 + (user_id % 50) * 4").groupBy(
-        F.col("event_type").alias("type")).agg(
-        F.min("event_id").alias("seq"),
-        F.collect_set(F.concat(F.lit("col_"), (F.col("user_id") % 50).cast("string")))
-        .alias("columns"))
+    """A transformation log whose steps are event types; a step names the user groups that spend
+    more than 50 on average in it."""
+    group = F.concat(F.lit("col_"), (F.col("user_id") % 50).cast("string")).alias("c")
+    spend = ev(spark, sf).groupBy(F.col("event_type").alias("type"), group).agg(
+        F.avg("value").alias("v"), F.min("event_id").alias("first_id")).where("v > 50")
+    return spend.groupBy("type").agg(F.min("first_id").alias("seq"),
+                                     F.collect_list("c").alias("columns"))
 
 
 @query("dropped_reasons", sql("ev", 'SELECT c AS "column", arg_max(type, seq) AS reason FROM (SELECT '

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import LIMITS
 from .columns import ref
 
+MAX_RANGES = 20_000
+
 
 def seeded_digest(key: Column, seed: int) -> Column:
     """Reproducible pseudo-random order of rows: md5 of '<seed>:<key>'."""
@@ -63,12 +65,15 @@ def running_sums(df: DataFrame, order: str, values: Sequence[str], rows: int,
 
     `order` must be numeric, and unique inside a group (aggregate equal keys first).
     """
-    buckets = min(4000, math.ceil(rows / per_bucket))
-    bucketed = range_bucket(df, order, range_splits(df, order, buckets), "_bucket")
+    upto = W.unboundedPreceding, W.currentRow
+    splits = range_splits(df, order, min(MAX_RANGES, math.ceil(rows / per_bucket)))
+    if not splits:  # all rows fit one range
+        w = W.partitionBy(*([ref(g) for g in groups] or [F.lit(1)])).orderBy(ref(order)).rowsBetween(*upto)
+        return df.select("*", *[(F.sum(ref(v)).over(w) - ref(v)).alias(v + suffix) for v in values])
+    bucketed = range_bucket(df, order, splits, "_bucket")
     sums = bucketed.groupBy(*[ref(g) for g in groups], "_bucket").agg(
         *[F.sum(ref(v)).alias(f"_s_{v}") for v in values])
-    w = W.partitionBy(*([ref(g) for g in groups] or [F.lit(1)])).orderBy("_bucket").rowsBetween(
-        W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(*([ref(g) for g in groups] or [F.lit(1)])).orderBy("_bucket").rowsBetween(*upto)
     offsets = sums.select(
         *[ref(g).alias(f"_g{i}") for i, g in enumerate(groups)],
         F.col("_bucket").alias("_ob"),
@@ -76,8 +81,7 @@ def running_sums(df: DataFrame, order: str, values: Sequence[str], rows: int,
     match = F.col("_bucket") == F.col("_ob")
     for i, g in enumerate(groups):
         match = match & ref(g).eqNullSafe(F.col(f"_g{i}"))
-    inner = W.partitionBy(*[ref(g) for g in groups], "_bucket").orderBy(ref(order)).rowsBetween(
-        W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy(*[ref(g) for g in groups], "_bucket").orderBy(ref(order)).rowsBetween(*upto)
     out = bucketed.join(offsets, match, "inner")
     for v in values:
         out = out.withColumn(v + suffix,

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import LIMITS
 from ..functions.columns import ref
-from ..functions.ordering import (bucket_offsets, digest_fraction, range_bucket, range_splits,
-                                  seeded_digest)
+from ..functions.ordering import (MAX_RANGES, bucket_offsets, digest_fraction, range_bucket,
+                                  range_splits, seeded_digest)
 from ..functions.scratch import settle
 
 _EXACT = "decimal(38,0)"
@@ -164,7 +164,7 @@ def stride_sample(df: DataFrame, order: str, limit: int = 140) -> DataFrame:
     if rows <= limit:
         return df
     # ranges are sized by the row count, so one range is ranked in one bounded task
-    buckets = min(4000, math.ceil(rows / LIMITS.rows_per_bucket))
+    buckets = min(MAX_RANGES, math.ceil(rows / LIMITS.rows_per_bucket))
     bucketed = range_bucket(df, order, range_splits(df, order, buckets), "bucket")
     before = bucket_offsets(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [])
     steps = df.sparkSession.range(limit).select(

@@ -159,24 +159,28 @@ def assign_folds(df: DataFrame, row_key: str, k: int, target: str | None = None,
 # --- even-stride sample ------------------------------------------------------------------
 
 def stride_sample(df: DataFrame, order: str, limit: int = 140) -> DataFrame:
-    """At most `limit` rows at equal steps along a numeric unique key; all rows if fewer."""
+    """At most `limit` rows at equal steps along a numeric unique key; all rows if fewer.
+
+    Kept are the positions floor(i * rows / limit). Whether a position is one of them is plain
+    arithmetic, so only the value ranges that hold one are ranked, each in its own task.
+    """
     rows = df.count()
     if rows <= limit:
         return df
-    # ranges are sized by the row count, so one range is ranked in one bounded task
+
+    def first_kept(position: str):
+        """The first kept position at or after the given one."""
+        return F.expr(f"(({position} * {limit}L + {rows}L - 1) div {rows}L) * {rows}L div {limit}L")
+
     buckets = min(MAX_RANGES, math.ceil(rows / LIMITS.rows_per_bucket))
-    bucketed = range_bucket(df, order, range_splits(df, order, buckets), "bucket")
-    before = bucket_offsets(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), [])
-    steps = df.sparkSession.range(limit).select(
-        F.floor(F.col("id") * F.lit(rows) / F.lit(limit)).cast("long").alias("position"))
-    # only ranges that hold a wanted position are ranked
-    wanted = before.join(F.broadcast(steps), (F.col("position") >= F.col("before"))
-                         & (F.col("position") < F.col("before") + F.col("n"))).select(
-        F.col("bucket").alias("_wb"), (F.col("position") - F.col("before")).alias("_offset"))
-    ranges = wanted.select("_wb").distinct()
-    w = W.partitionBy("bucket").orderBy(ref(order))
-    ranked = bucketed.join(F.broadcast(ranges), F.col("bucket") == F.col("_wb"), "left_semi") \
-        .withColumn("_offset_in", F.row_number().over(w) - 1)
-    return ranked.join(F.broadcast(wanted), (F.col("bucket") == F.col("_wb"))
-                       & (F.col("_offset_in") == F.col("_offset")), "left_semi").drop(
-        "bucket", "_offset_in")
+    bucketed = range_bucket(df, order, range_splits(df, order, buckets), "_bucket")
+    counts = bucketed.groupBy(F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = bucket_offsets(counts, []).where(
+        first_kept("before") < F.least(F.col("before") + F.col("n"), F.lit(rows))).select(
+        F.col("bucket").alias("_range"), F.col("before").alias("_before"))
+    w = W.partitionBy("_bucket").orderBy(ref(order))
+    # at most MAX_RANGES rows are broadcast
+    placed = bucketed.join(F.broadcast(ranges), F.col("_bucket") == F.col("_range")).withColumn(
+        "_position", F.col("_before") + F.row_number().over(w) - 1)
+    return placed.where(first_kept("_position") == F.col("_position")).drop(
+        "_bucket", "_range", "_before", "_position")

@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2
     placed = placed.withColumns({"begin": begin, "first_words": first, "second_words": second})
 
     def position(done: Column) -> Column:
-        share = F.least(F.lit(1.0), done / F.col("target"))
+        share = F.least(F.lit(1.0), F.try_divide(done, F.col("target")))
         shape = F.col("place") % len(schedules)
         out = invert(share, schedules[-1])
         for i, knots in enumerate(schedules[:-1]):

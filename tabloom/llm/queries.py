@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, chat, curriculum, outliers, simhash, textcnn, urltree
+from . import binpack, chat, curriculum, outliers, simhash, suffix, textcnn, urltree
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.reject_outliers(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_mcd_outliers, op4_url_templates, op5_curriculum_mix, op6_chat_format, op7_simhash,
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_mcd_outliers, op4_url_templates, op5_curriculum_mix, op6_chat_format, op7_simhash,
                                   op8_quality_cnn, op9_vector_packing)}
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, chat, curriculum, outliers, simhash, suffix, textcnn, urltree
+from . import ann, binpack, chat, curriculum, merkle, outliers, simhash, suffix, textcnn, urltree
+from tabloom.functions.scratch import settle
+
 from .common import table
 
 
@@ -15,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -51,8 +57,26 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_mcd_outliers, op4_url_templates, op5_curriculum_mix, op6_chat_format, op7_simhash,
-                                  op8_quality_cnn, op9_vector_packing)}
+def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive against a replica of it in which some records are damaged or lost.
+
+    By its id, one record in about 300 has its first letter o turned into 0, one in 1,000 is overwritten with nothing
+    (its bytes are gone, later records keep their offsets)."""
+    kept = merkle.warc_records(table(spark, sf_dir, "pages"))
+    archive = settle(merkle.laid_out(kept), "archive")
+    turn = F.pmod(F.col("page_id") * 7919, F.lit(1000))
+    text = F.decode("record", "UTF-8")
+    at = F.locate("o", text)
+    hurt = F.when((turn < 3) & (at > 0), F.encode(F.overlay(text, F.lit("0"), at, F.lit(1)), "UTF-8")).otherwise(F.col("record"))
+    damaged = kept.withColumn("record", hurt).select("file", "page_id", F.sha2("record", 256).alias("own"))
+    replica = settle(archive.select("file", "page_id", "offset", "length").join(damaged, ["file", "page_id"])
+                     .where(F.coalesce(turn != 500, F.lit(True)))
+                     .select("file", "offset", "length", F.col("own").alias("digest")), "replica")
+    return merkle.audit(archive.select("file", "offset", "length", "digest"), replica)
+
+
+QUERIES = {f.__name__: f for f in (op1_pruned_graph, op2_suffix_dedup, op3_mcd_outliers, op4_url_templates, op5_curriculum_mix, op6_chat_format, op7_simhash,
+                                  op8_quality_cnn, op9_vector_packing, op10_merkle_fixity)}
 
 
 def _chat_sql() -> str:
@@ -76,4 +100,20 @@ SELECT conv_id, count(*)::bigint AS n_turns,
 FROM told GROUP BY conv_id"""
 
 
-ORACLES = {"op5_curriculum_mix": curriculum.mix_sql(), "op6_chat_format": _chat_sql()}
+MERKLE_SQL = """
+WITH records AS (
+  SELECT floor(page_id / 1000)::bigint AS file, page_id,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+         || page_id::varchar || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(coalesce(html, ''))::varchar || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+placed AS (
+  SELECT file, page_id, record, (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS UNBOUNDED PRECEDING)
+         - strlen(record))::bigint AS "offset", (page_id * 7919) % 1000 AS turn FROM records)
+SELECT file, "offset", CASE WHEN turn = 500 THEN 'missing' ELSE 'changed' END AS status, sha256(record) AS expected,
+       CASE WHEN turn <> 500 THEN sha256(left(record, instr(record, 'o') - 1) || '0'
+                                         || substr(record, instr(record, 'o') + 1)) END AS found
+FROM placed WHERE turn = 500 OR (turn < 3 AND contains(record, 'o'))"""
+
+ORACLES = {"op10_merkle_fixity": MERKLE_SQL, "op5_curriculum_mix": curriculum.mix_sql(), "op6_chat_format": _chat_sql()}

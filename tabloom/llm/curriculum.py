@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, mos
     per = (per.withColumn("level", (budget * F.sum("source_size").over(whole)
                                     - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
                           / F.sum("weight").over(onward))
-           .withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(whole)))
+           # sources behind the first that stays below its cap give smaller levels
+           .withColumn("level", F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(whole)))
     return per.select("source", "source_size", "place", "weight",
                       F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap"))).alias("target"))
 
@@ -74,10 +75,10 @@ def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *keep)
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
-        bucket_rows: int = 4096) -> DataFrame:
-    """Every document with its target, the words taken, and its training positions, sorted by position."""
-    rows = settle(sized(docs).withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+def plan(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
+         bucket_rows: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with its target, the words taken in each pass, and its training positions."""
+    rows = settle(sized(docs, keep).withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
                   "sizes")
     n = rows.count()
     bits = max(1, min(28, (max(n // bucket_rows, 1)).bit_length()))
@@ -111,11 +112,39 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2
         return F.round(out, 9)
 
     taken = F.col("first_words") + F.col("second_words")
-    return (placed.select(
+    return placed.select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
         F.when(F.col("first_words") > 0, position(F.col("begin"))).alias("position"),
-        F.when(F.col("second_words") > 0, position(F.col("begin") + F.col("source_size"))).alias("again_position"))
-        .orderBy(F.col("position").asc_nulls_last(), "doc_id"))
+        F.when(F.col("second_words") > 0, position(F.col("begin") + F.col("source_size"))).alias("again_position"),
+        "first_words", "second_words", *keep)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The plan of all documents, range-sorted by position."""
+    return (plan(docs, **options).drop("first_words", "second_words")
+            .orderBy(F.col("position").asc_nulls_last(), "doc_id"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix in training order, with their columns: one row per pass that takes them.
+
+    Where a pass takes only some words of a document (the one its source's target ends in), the row's
+    text is those first words, joined by blanks."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = Window.partitionBy("mix_id", "mix_text").orderBy(F.lit(0))
+    keyed = lambda df, t: df.withColumns({
+        "mix_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "mix_text": t})
+    # rows that repeat an id and text are told apart by a number, equal on both sides
+    chosen = keyed(plan(docs.withColumn("mix_text", text), keep=("mix_text",), **options), F.col("mix_text"))
+    chosen = chosen.where("taken > 0").select("mix_id", "mix_text", F.row_number().over(same).alias("mix_nth"), F.filter(F.array(
+        F.struct(F.col("position").alias("at"), F.col("first_words").alias("n")),
+        F.struct(F.col("again_position").alias("at"), F.col("second_words").alias("n"))),
+        lambda p: p["n"] > 0).alias("mix_passes"), F.col("size").alias("mix_size"))
+    rows = keyed(docs, text).withColumn("mix_nth", F.row_number().over(same))
+    taken = rows.join(chosen, ["mix_id", "mix_text", "mix_nth"]).withColumn("mix_pass", F.explode("mix_passes"))
+    part = F.array_join(F.slice(words(F.col("text")), 1, F.col("mix_pass.n").cast("int")), " ")
+    cut = F.when(F.col("mix_pass.n") < F.col("mix_size"), part).otherwise(F.col("text"))
+    return taken.orderBy("mix_pass.at", "doc_id").withColumn("text", cut).select(*docs.columns)
 
 
 def mix_sql(weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules=SCHEDULES) -> str:
@@ -159,7 +188,7 @@ levels AS (
   FROM weighed),
 targets AS (
   SELECT source, source_size, place,
-         least(cap, coalesce(weight * min(CASE WHEN own <= reach THEN own END) OVER (), cap)) AS target
+         least(cap, coalesce(weight * max(CASE WHEN own <= reach THEN own END) OVER (), cap)) AS target
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.place, floor(t.target + 1e-6)::bigint AS demand,

@@ -389,8 +389,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096,
-                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `keep`."""
+                   keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `keep`.
+
+    `as_text`: kept is a string; a character that a cut went through is left out, the rest of it too."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"),
                         F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text",
                         F.col("doc_id").cast("long").alias("doc_id"), *keep)
@@ -399,7 +401,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     joined = keyed.join(spans, ["did", "th"], "left").drop("did", "th")
     names = [c for c in joined.columns if c not in ("text", "spans")]
     schema = ", ".join(f"`{c}` {t}" for c, t in joined.select(*names).dtypes)
-    schema += ", n_bytes long, n_removed long, n_spans long, kept binary"
+    schema += ", n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")
 
     def run(batches):
         for batch in batches:
@@ -421,10 +423,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     sizes.append(len(data))
                     removed.append(gone)
                     runs.append(count)
-                    kept.append(b"".join(out))
+                    rest = b"".join(out)
+                    kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(at(c)) for c in names], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+                     pa.array(runs, pa.int64()),
+                     pa.array(kept, pa.string() if as_text else pa.binary())],
                     names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(run, schema)

@@ -98,7 +98,8 @@ def probabilities(model: TextCNN, texts: list[bytes], tables=None, step: int = 5
 
 
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, n_filters: int = 16, epochs: int = 10,
-          batch: int = 64, rate: float = 0.01, seed: int = 7) -> TextCNN:
+          batch: int = 64, rate: float = 0.01, least_steps: int = 400, seed: int = 7) -> TextCNN:
+    """Weighted logistic loss; small samples are gone through more often, until `least_steps` steps."""
     rng = np.random.default_rng(seed)
     model = TextCNN(rng.normal(0, 0.1, (WIDTH, 256, n_filters)).astype(np.float32), np.zeros(n_filters, np.float32),
                     rng.normal(0, 0.1, 2 * n_filters).astype(np.float32), 0.0)
@@ -111,7 +112,9 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, n_filters
         pace = rate * 0.5 * (1 + np.cos(np.pi * min(1.0, t / total)))
         return (value - pace * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-7)).astype(value.dtype)
 
-    total, t = epochs * max(1, -(-len(texts) // batch)), 0
+    rounds = max(1, -(-len(texts) // batch))
+    epochs = max(epochs, -(-least_steps // rounds))
+    total, t = epochs * rounds, 0
     shift = np.zeros(1, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
@@ -185,21 +188,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, **training) -
 
 def score(docs: DataFrame, model: TextCNN, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; `keep` names columns to carry along."""
+    kept = list(dict.fromkeys(["doc_id", *keep]))
 
     def run(batches):
         tables = model.pair_tables()
         for batch in batches:
-            for part in slices(batch, ["text"], most=1 << 20):
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]
+            for part in slices(batch, batch.schema.names, most=1 << 20):
+                at = part.schema.names.index
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(at("text")).to_pylist()]
                 p = probabilities(model, texts, tables)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], names=[*part.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(at(c)) for c in kept], pa.array(p)],
+                                                 names=[*kept, "cnn_score"])
 
     ready(docs.sparkSession)
-    sent = docs.select("text", F.col("doc_id").alias("doc_id"), *keep)
-    schema = ", ".join(f"`{c}` {t}" for c, t in sent.dtypes[1:]) + ", score double"
-    scored = sent.mapInArrow(run, schema)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
+    sent = docs.select(*dict.fromkeys([*kept, "text"]))
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes) + ", cnn_score double"
+    p = F.col("cnn_score")
+    return sent.mapInArrow(run, schema).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), p.alias("score"),
+        (p >= threshold).cast("int").alias("predicted"), *[c for c in kept if c != "doc_id"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -31,6 +31,22 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: A side of at most so many rows is broadcast; callers count it first.
+BROADCAST_ROWS, SALTS = 20_000, 32
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str, side_rows: int, how: str = "inner") -> DataFrame:
+    """Joins a table with one row per key, of a counted size: broadcast, or with every key split by salt.
+
+    The salt spreads a key that holds much of `rows`, and leaves `rows` unpartitioned by the key alone, so that
+    an aggregate behind the join sums partially before its shuffle."""
+    if side_rows <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), key, how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(copies, [key, "salt"], how).drop("salt")
+
+
 def slices(batch, names: list[str], text: str = "text", most: int = 4 << 20):
     """Parts of an Arrow batch with about `most` bytes of text each, so that a task's memory stays bounded."""
     import pyarrow as pa

@@ -72,7 +72,8 @@ def invert(share: Column, knots) -> Column:
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *keep)
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"),
+                       *[c for c in keep if c not in ("doc_id", "source")])
 
 
 def plan(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
@@ -116,7 +117,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float =
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
         F.when(F.col("first_words") > 0, position(F.col("begin"))).alias("position"),
         F.when(F.col("second_words") > 0, position(F.col("begin") + F.col("source_size"))).alias("again_position"),
-        "first_words", "second_words", *keep)
+        "first_words", "second_words", *[c for c in keep if c != "doc_id"])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.scratch import settle
 
-from .common import BLANKS, words
+from .common import BLANKS, join_counted, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -89,14 +89,14 @@ def vector() -> dict[str, Column]:
 def _group(stats: DataFrame, least: int) -> DataFrame:
     """Adds `pool`: the language and source, the language, or one for all, by how many texts there are."""
     key = lambda *c: F.to_json(F.array(*[F.coalesce(F.concat(F.lit("v"), x), F.lit("n")) for x in c]))
-    own, lang = key("lang", "source"), key("lang")
-    fine = stats.groupBy("lang", "source").count()
+    stats = stats.withColumn("own", key("lang", "source"))
+    fine = settle(stats.groupBy("own", key("lang").alias("of_lang")).count(), "pools")
     big = F.col("count") >= least
-    fine = fine.withColumn("rest", F.sum(F.when(big, 0).otherwise(F.col("count"))).over(Window.partitionBy("lang")))
-    fine = fine.withColumn("pool", F.when(big, own).when(F.col("rest") >= least, lang).otherwise(F.lit("all")))
-    fine = fine.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "pool")
-    return stats.join(fine, F.col("lang").eqNullSafe(F.col("g_lang"))
-                      & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source")
+    rest = (fine.where(~big).groupBy("of_lang").agg(F.sum("count").alias("rest"))
+            .where(F.col("rest") >= least).select("of_lang"))
+    pooled = fine.join(rest.withColumn("enough", F.lit(True)), "of_lang", "left").select(
+        "own", F.when(big, F.col("own")).when(F.col("enough"), F.col("of_lang")).otherwise(F.lit("all")).alias("pool"))
+    return join_counted(stats, pooled, "own", fine.count()).drop("own")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -118,9 +118,9 @@ def _moments(rows: DataFrame) -> DataFrame:
     return out.select("pool", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in pairs])
 
 
-def _distances(rows: DataFrame, fitted: DataFrame, how: str = "inner") -> DataFrame:
+def _distances(rows: DataFrame, fitted: DataFrame, pools: int, how: str = "inner") -> DataFrame:
     """Adds d2, the squared Mahalanobis distance by the pool's estimates."""
-    out = rows.join(fitted, "pool", how)
+    out = join_counted(rows, fitted, "pool", pools, how)
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -134,14 +134,14 @@ def _class(d2: Column) -> Column:
     return F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * 100).cast("int")
 
 
-def _nearest(measured: DataFrame, share: float) -> DataFrame:
+def _nearest(measured: DataFrame, share: float, pools: int) -> DataFrame:
     """The rows of each pool that belong to its nearest `share`."""
     counts = measured.withColumn("step", _class(F.col("d2"))).groupBy("pool", "step").count()
     run = Window.partitionBy("pool").orderBy("step")
     cut = (counts.withColumn("below", F.sum("count").over(run))
            .withColumn("all", F.sum("count").over(Window.partitionBy("pool")))
            .where(F.col("below") >= share * F.col("all")).groupBy("pool").agg(F.min("step").alias("last")))
-    return measured.join(cut, "pool").where(_class(F.col("d2")) <= F.col("last")).drop("d2", "last")
+    return join_counted(measured, cut, "pool", pools).where(_class(F.col("d2")) <= F.col("last")).drop("d2", "last")
 
 
 def reject_outliers(docs: DataFrame, share: float = 0.75, steps: int = 6, least: int = 64,
@@ -150,24 +150,26 @@ def reject_outliers(docs: DataFrame, share: float = 0.75, steps: int = 6, least:
     stats = settle(statistics(docs), "text-statistics").withColumn("base_failed", base_failed())
     vectors = settle(_group(stats.withColumns(vector()), least), "text-vectors")
     sound = vectors.where(~F.col("base_failed")).select("pool", *[f"x{i}" for i in range(P)])
+    pools = vectors.select("pool").distinct().count()
     # start: medians and absolute deviations, coordinate by coordinate
     mid = sound.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(P)])
-    apart = sound.join(mid, "pool")
+    apart = join_counted(sound, settle(mid, "medians"), "pool", pools)
     wide = apart.groupBy("pool").agg(*[
         F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"w{i}") for i in range(P)])
     start = sum((((F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"w{i}"), F.lit(FLOORS[i]))) ** 2
                  for i in range(P)), F.lit(0.0))
-    chosen = _nearest(apart.join(wide, "pool").select(*sound.columns, start.alias("d2")), share)
+    first = join_counted(apart, settle(wide, "deviations"), "pool", pools).select(*sound.columns, start.alias("d2"))
+    chosen = _nearest(first, share, pools)
     fitted = settle(_moments(chosen), "estimates")
     for _ in range(steps):
-        fitted = settle(_moments(_nearest(_distances(sound, fitted), share)), "estimates")
+        fitted = settle(_moments(_nearest(_distances(sound, fitted, pools), share, pools)), "estimates")
     # the covariance of the nearest share is too small by this factor if texts are normal
     factor = share / CHI2_7_BELOW_075 if share == 0.75 else 1.0
     limit = factor * CHI2_5[quantile]
     plain = vectors.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                            "pool", *[f"x{i}" for i in range(P)])
     # a pool in which every text failed the base rules has no estimate: its rows get no distance
-    rows = _distances(plain, fitted, "left")
+    rows = _distances(plain, fitted, pools, "left")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"),
                        "pool", F.round("d2", 4).alias("distance"))

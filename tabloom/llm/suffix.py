@@ -375,14 +375,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """did, th, start, stop: byte spans of repeated strings. `docs` has did, th (key of a text) and text."""
     ready(docs.sparkSession)
     blocks = settle(_blocks(docs, length, gram), "blocks")
-    twice = blocks.groupBy("kg").count().where("count > 1").select("kg")
+    # written, so that the join shuffles both sides anew and Spark may split a frequent gram
+    twice = settle(blocks.groupBy("kg").count().where("count > 1").select("kg"), "repeated-grams")
     hits = settle(blocks.join(twice, "kg"), "repeated-blocks")
     kinds = settle(hits.groupBy("kg", "bh").agg(
         F.count("*").alias("c"), F.min(F.struct("did", "th", "lo", "n", "off")).alias("one")), "block-kinds")
     known = hits.join(kinds.where("c > 1").select("kg", "bh"), ["kg", "bh"]).select(
         "did", "th", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("stop"))
-    mixed = (kinds.groupBy("kg").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
-             .where("kinds > 1 and least = 1").select("kg", (F.col("kinds") > hot).alias("hot")))
+    mixed = settle(kinds.groupBy("kg").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
+                   .where("kinds > 1 and least = 1").select("kg", (F.col("kinds") > hot).alias("hot")), "mixed-grams")
     wanted = kinds.join(mixed, "kg").select("one.*", "kg", (F.col("c") > 1).alias("many"), "hot")
     contexts = settle(_contexts(docs, wanted, length), "block-contexts")
     return known.unionByName(_sorted_spans(contexts, length)).unionByName(_counted_spans(contexts, length))

@@ -31,32 +31,31 @@ def _flags(spark, name, columns, chosen):
 _CODE = r"^[A-Za-z0-9\\-_]+$"
 
 
-def _sample(c: str, n: int) -> str:
-    return (f"(SELECT CAST({c} AS string) AS v FROM ord_dirty WHERE {c} IS NOT NULL "
-            f"ORDER BY {KEY} LIMIT {n})")
+def _values(c: str) -> str:
+    return f"(SELECT CAST({c} AS string) AS v FROM ord_dirty WHERE {c} IS NOT NULL)"
 
 
 _SHARES = union([
-    f"SELECT '{c}' AS \"column\", (SELECT count(*) FROM {_sample(c, 100)}) AS sampled, "
+    f"SELECT '{c}' AS \"column\", (SELECT count(*) FROM {_values(c)}) AS present, "
     f"(SELECT round(avg(CASE WHEN regexp_full_match(v, '[0-9]+') THEN 1.0 ELSE 0.0 END), 6) FROM "
-    f"{_sample(c, 100)}) AS digits_share, "
+    f"{_values(c)}) AS digits_share, "
     f"(SELECT round(avg(CASE WHEN TRY_CAST(v AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) "
-    f"FROM {_sample(c, 100)}) AS date_share, "
+    f"FROM {_values(c)}) AS date_share, "
     f"(SELECT round(avg(CASE WHEN regexp_matches(v, '{_CODE}') THEN 1.0 ELSE 0.0 END), 6) FROM "
-    f"{_sample(c, 50)}) AS code_share" for c in DIRTY_TEXT])
+    f"{_values(c)}) AS code_share" for c in DIRTY_TEXT])
 
 
 def _shares(spark, sf):
-    return round_doubles(T.sample_shares(ord_dirty(spark, sf), KEY, DIRTY_TEXT))
+    return round_doubles(T.text_shares(ord_dirty(spark, sf), DIRTY_TEXT))
 
 
-@query("datetime_like", sql("ord_dirty", 'SELECT "column", sampled, digits_share, date_share, '
-                            "sampled >= 3 AND digits_share <= 0.9 AND date_share >= 0.8 AS "
+@query("datetime_like", sql("ord_dirty", 'SELECT "column", present, digits_share, date_share, '
+                            "present >= 3 AND digits_share <= 0.9 AND date_share >= 0.8 AS "
                             "is_datetime FROM s", ("s", _SHARES)))
 def datetime_like(spark, sf):
     return _shares(spark, sf).select(
-        "column", "sampled", "digits_share", "date_share",
-        ((F.col("sampled") >= 3) & (F.col("digits_share") <= 0.9)
+        "column", "present", "digits_share", "date_share",
+        ((F.col("present") >= 3) & (F.col("digits_share") <= 0.9)
          & (F.col("date_share") >= 0.8)).alias("is_datetime"))
 
 
@@ -84,7 +83,7 @@ def binary_columns(spark, sf):
 
 def _kind(c):
     dt = ("FALSE" if c in DIRTY_NUMERIC else
-          f"(SELECT sampled >= 3 AND digits_share <= 0.9 AND date_share >= 0.8 FROM s WHERE "
+          f"(SELECT present >= 3 AND digits_share <= 0.9 AND date_share >= 0.8 FROM s WHERE "
           f"\"column\" = '{c}')")
     plain = "numeric" if c in DIRTY_NUMERIC else "categorical"
     return (f"SELECT '{c}' AS \"column\", CASE WHEN {dt} THEN 'datetime' WHEN (SELECT {_binary(c)} "
@@ -94,7 +93,7 @@ def _kind(c):
 @query("column_types", sql("ord_dirty", union([_kind(c) for c in DIRTY_COLUMNS]), ("s", _SHARES)))
 def column_types(spark, sf):
     d = ord_dirty(spark, sf)
-    return spark.createDataFrame(list(T.detect_types(d, KEY).items()), "column string, kind string")
+    return spark.createDataFrame(list(T.detect_types(d).items()), "column string, kind string")
 
 
 _TASKS = {"o_orderstatus": "text", "label": "int", "c_nationkey": "int", "o_totalprice": "real",
@@ -139,7 +138,7 @@ def _identifier(c):
         code = "FALSE"
     else:
         code = (f"(SELECT avg(CASE WHEN regexp_matches(v, '{_CODE}') THEN 1.0 ELSE 0.0 END) >= 0.9 "
-                f"FROM {_sample(c, 50)})")
+                f"FROM {_values(c)})")
     runs = (f"(max({c}) - min({c}) + 1 = count({c}) AND count(DISTINCT {c}) = count({c}) AND "
             f"bool_and({c} = round({c})))" if c in DIRTY_NUMERIC else "FALSE")
     return (f"count(*) >= 20 AND count(DISTINCT {c}) >= greatest(20, floor(count(*) * 0.5)) AND "
@@ -149,7 +148,7 @@ def _identifier(c):
 @query("identifier_columns", sql("ord_dirty", union([
     f"SELECT '{c}' AS \"column\" FROM ord_dirty HAVING {_identifier(c)}" for c in DIRTY_COLUMNS])))
 def identifier_columns(spark, sf):
-    found = T.identifier_columns(ord_dirty(spark, sf), KEY)
+    found = T.identifier_columns(ord_dirty(spark, sf))
     return spark.createDataFrame([(c,) for c in found], "column string")
 
 
@@ -256,7 +255,7 @@ def drop_plan(spark, sf):
     cfg = PrepareConfig(force_keep_columns=("near_constant",), force_drop_columns=("num_text",))
     facts = T.column_facts(d, _FEATURES)
     ids = [C.Drop(c, "identifier", why)
-           for c, why in T.identifier_columns(d, KEY, cfg, _FEATURES, facts).items()]
+           for c, why in T.identifier_columns(d, cfg, _FEATURES, facts).items()]
     plan = C.merge_drops(
         ids, C.low_variance(d, cfg, _FEATURES, facts), C.target_leakage(d, "target")[0],
         C.sparse_drops(C.missing_strategy(d, cfg, _FEATURES)), keep=cfg.force_keep_columns,
@@ -564,8 +563,7 @@ def ordinal_encode(spark, sf):
 def target_encode(spark, sf):
     d = ord_(spark, sf)
     codes = E.label_codes(d, "o_orderstatus")
-    expr = F.coalesce(*[F.when(F.col("o_orderstatus") == v, F.lit(i)) for v, i in codes.items()])
-    return d.select(KEY, expr.alias("target_code"))
+    return E.with_label_codes(d, "o_orderstatus", codes, "target_code").select(KEY, "target_code")
 
 
 # --- scaling -----------------------------------------------------------------------------

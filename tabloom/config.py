@@ -100,7 +100,6 @@ class TrainConfig:
     regularization_strength: str = "normal"
     class_weights: bool = False
     metric_priority: str | None = None
-    param_caps: dict[str, int] = field(default_factory=dict)  # e.g. {"n_estimators": 5}
 
 
 @dataclass(frozen=True)

@@ -89,6 +89,22 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
         *[ref(k) for k in keep], "e.column", "e.value")
 
 
+def distinct_hashes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct present values of each column, counted on 64-bit digests.
+
+    (column, digest) pairs are combined before their one shuffle, so neither whole rows nor long
+    texts are expanded or sent.
+    """
+    if not columns:
+        return {}
+    pairs = [F.when(ref(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(ref(c)).alias("h")))
+             for i, c in enumerate(columns)]
+    each = df.select(F.explode(F.array(*pairs)).alias("p")).where(F.col("p").isNotNull())
+    found = each.groupBy("p.i", "p.h").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("d"))
+    got = {r["i"]: r["d"] for r in found.collect()}
+    return {c: got.get(i, 0) for i, c in enumerate(columns)}
+
+
 def normalize_name(name: str) -> str:
     """Lower-case name with every other character run turned into one underscore."""
     out, gap = [], False

@@ -29,14 +29,16 @@ def confusion_counts(df: DataFrame, groups: Sequence[str] = (), label: str = "la
         F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(counts: DataFrame) -> DataFrame:
-    """Every (label, prediction) cell of the sorted label union, zeros included."""
-    labels = [r[0] for r in counts.select(F.explode(F.array("label", "prediction")).alias("c"))
-              .distinct().limit(LIMITS.inline_levels + 1).collect()]
-    if len(labels) > LIMITS.inline_levels:
-        return counts  # too many classes to draw: the non-zero cells are the matrix
-    zeros = counts.sparkSession.createDataFrame(
-        [(a, b, 0) for a in labels for b in labels], "label string, prediction string, n long")
+def confusion_matrix(counts: DataFrame, sparse: bool = False) -> DataFrame:
+    """Every (label, prediction) cell of the label union, zeros included; `sparse` leaves zeros out.
+
+    The full matrix is the label table joined with itself: its size is the size of the result.
+    """
+    if sparse:
+        return counts.select("label", "prediction", "n")
+    labels = counts.select(F.explode(F.array("label", "prediction")).alias("label")).distinct()
+    zeros = labels.crossJoin(labels.withColumnRenamed("label", "prediction")).withColumn(
+        "n", F.lit(0).cast("long"))
     return counts.select("label", "prediction", "n").unionByName(zeros).groupBy(
         "label", "prediction").agg(F.sum("n").alias("n"))
 

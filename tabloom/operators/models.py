@@ -16,6 +16,8 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import TrainConfig
 from ..functions.columns import ref
+from ..functions.lookups import lookup
 from ..functions.scratch import settle
 from .evaluate import (confusion_counts, probabilities_from_margin, probabilities_from_margins,
                        regression_metrics, weighted_scores)
@@ -107,11 +110,13 @@ SEARCH_SPACES: dict[str, dict[str, tuple]] = {
     "XGBoost": {
         "n_estimators": ("int", 50, 300), "max_depth": ("int", 2, 12),
         "learning_rate": ("log", 0.01, 0.3), "subsample": ("float", 0.5, 1.0),
-        "colsample_bytree": ("float", 0.5, 1.0)},
+        "colsample_bytree": ("float", 0.5, 1.0), "min_child_weight": ("int", 1, 10),
+        "gamma": ("float", 0.0, 0.5)},
     "LightGBM": {
-        "n_estimators": ("int", 50, 300), "max_depth": ("int", 2, 12),
-        "learning_rate": ("log", 0.01, 0.3), "subsample": ("float", 0.5, 1.0),
-        "colsample_bytree": ("float", 0.5, 1.0), "min_child_samples": ("int", 5, 50)},
+        "n_estimators": ("int", 50, 300), "max_depth": ("int", 2, 15),
+        "learning_rate": ("log", 0.01, 0.3), "num_leaves": ("int", 10, 100),
+        "subsample": ("float", 0.5, 1.0), "colsample_bytree": ("float", 0.5, 1.0),
+        "min_child_samples": ("int", 5, 50)},
     "LogisticRegression": {"C": ("log", 0.001, 100.0), "max_iter": ("int", 500, 2000)},
     "Ridge": {"alpha": ("log", 0.001, 100.0)},
 }
@@ -130,7 +135,7 @@ def default_params(name: str, rows: int) -> dict[str, Any]:
 
 def build_specs(names: Sequence[str], task: str, rows: int,
                 cfg: TrainConfig = TrainConfig()) -> list[Spec]:
-    """Candidates with defaults, overrides and search ranges; at most three."""
+    """One spec per name, in order, with defaults, overrides and search ranges."""
     names = list(names)
     if cfg.force_model_name:
         names = [cfg.force_model_name] + [n for n in names if n != cfg.force_model_name]
@@ -139,13 +144,9 @@ def build_specs(names: Sequence[str], task: str, rows: int,
         if not first:
             first = [_FAMILY_DEFAULT[cfg.preferred_model_family][task == "regression"]]
         names = first + [n for n in names if n not in first]
-    names = names[:3]
     specs = []
     for i, n in enumerate(names):
         params = _overridden(n, default_params(n, rows), cfg)
-        for k, cap in cfg.param_caps.items():
-            if k in params:
-                params[k] = min(params[k], cap)
         specs.append(Spec(n, _FAMILY[n], params, SEARCH_SPACES.get(n, {}), i + 1,
                           round(1 / len(names), 4)))
     return specs
@@ -198,12 +199,16 @@ def _subset(value: Any) -> str:
     return value if value in ("sqrt", "log2", "all") else "all"
 
 
+#: Models that class weights reach; boosted models and regressors learn without.
+WEIGHTED = ("LogisticRegression", "RandomForest", "SVM")
+
+
 def make_estimator(spec: Spec, ctx: FitContext):
     """Spark ML estimator for a spec. Boosted variants share Spark's gradient-boosted trees,
     margin models its linear ones; binary-only learners are wrapped one-vs-rest."""
     p, name = spec.params, spec.name
     cols = {"featuresCol": "features", "labelCol": "label"}
-    weight = {"weightCol": ctx.weight_col} if ctx.weight_col else {}
+    weight = {"weightCol": ctx.weight_col} if ctx.weight_col and name in WEIGHTED else {}
     classify = ctx.task == "classification"
     depth = min(int(p.get("max_depth", 5)), 30)
     leaf = int(p.get("min_samples_leaf", p.get("min_child_samples", 1)))
@@ -220,7 +225,7 @@ def make_estimator(spec: Spec, ctx: FitContext):
                    subsamplingRate=float(p.get("subsample", 1.0)),
                    minInfoGain=float(p.get("gamma", 0.0)),
                    featureSubsetStrategy=_subset(p.get("colsample_bytree", "all")), **cols, **weight)
-        return OneVsRest(classifier=gbt, **cols) if classify and ctx.classes > 2 else gbt
+        return OneVsRest(classifier=gbt, **cols, **weight) if classify and ctx.classes > 2 else gbt
     if name == "LogisticRegression":
         return LogisticRegression(regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)),
                                   maxIter=int(p.get("max_iter", 1000)), standardization=False,
@@ -232,7 +237,7 @@ def make_estimator(spec: Spec, ctx: FitContext):
     if name == "SVM":
         svm = LinearSVC(regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)), maxIter=100,
                         **cols, **weight)
-        return OneVsRest(classifier=svm, **cols) if ctx.classes > 2 else svm
+        return OneVsRest(classifier=svm, **cols, **weight) if ctx.classes > 2 else svm
     if name == "SVR":  # robust linear fit: quadratic near the line, linear beyond
         return LinearRegression(loss="huber", epsilon=1.35, standardization=False,
                                 regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)), **cols)
@@ -250,6 +255,11 @@ def class_probabilities(scored: DataFrame) -> Column | None:
     return None
 
 
+def class_probabilities_of(column: str) -> Column:
+    """A probability vector column as an array."""
+    return vector_to_array(column)
+
+
 def add_scores(df: DataFrame, model, prefix: str) -> DataFrame:
     """Adds `<prefix>_pred` and, for classifiers, `<prefix>_prob`; a projection, no shuffle."""
     scored = model.transform(df)
@@ -269,11 +279,12 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    rows = class_weights(df, label).limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("class weights need a classification target")
-    return df.withColumn(name, F.coalesce(*[
-        F.when(ref(label) == F.lit(r["label"]), F.lit(r["weight"])) for r in rows]))
+    """Adds each row's class weight, whatever the number of classes."""
+    counts = df.groupBy(ref(label).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    weights = class_weights(df, label).select(F.col("label").cast("string").alias("value"),
+                                              F.col("weight").alias("stat"))
+    return lookup(df, label, settle(counts.join(weights, "value"), "class-weights"),
+                  F.lit(None).cast("double"), name)
 
 
 def fit_context(train: DataFrame, task: str, seed: int = 42,
@@ -304,12 +315,32 @@ def fit_all(jobs: Sequence, parallelism: int) -> list:
         return pool.map(lambda j: j(), jobs)
 
 
+def _fold_contexts(data: DataFrame, ctx: FitContext, folds: int) -> list[FitContext]:
+    """The context of the training rows of each fold, from one aggregate by fold."""
+    mean = data.agg(F.avg("label")).first()[0] or 0.0
+    d = F.col("label") - F.lit(mean)
+    per = {r["fold"]: r for r in data.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q")).collect()}
+    out = []
+    for k in range(folds):
+        rest = [r for f, r in per.items() if f != k]
+        n = sum(r["n"] for r in rest)
+        s, q = (sum(r[x] or 0.0 for r in rest) for x in ("s", "q"))
+        spread = math.sqrt(max(q / n - (s / n) ** 2, 0.0)) if n else 0.0
+        out.append(replace(ctx, rows=max(n, 1), label_std=spread or 1.0))
+    return out
+
+
 def cross_validate(data: DataFrame, row_key: str, specs: Sequence[Spec], task: str, folds: int,
                    cfg: TrainConfig = TrainConfig(), metric: str | None = None,
                    prefixes: Sequence[str] | None = None) -> CrossValidation:
-    """`data` holds row_key, label, features and fold. A candidate that fails is left out."""
+    """`data` holds row_key, label, features and fold.
+
+    A candidate whose learner fails is left out and named in `failed`; other faults are raised.
+    """
     metric = metric or scoring_metric(task, cfg)
     ctx = fit_context(data, task, cfg.seed, "weight" if "weight" in data.columns else None)
+    contexts = _fold_contexts(data, ctx, folds)
     tags = list(prefixes or [f"m{i}" for i in range(len(specs))])
     failed: dict[str, str] = {}
 
@@ -317,9 +348,9 @@ def cross_validate(data: DataFrame, row_key: str, specs: Sequence[Spec], task: s
         def run():
             try:
                 train = data.where(F.col("fold") != k)
-                share = replace(ctx, rows=max(1, ctx.rows * (folds - 1) // max(folds, 1)))
-                return make_estimator(specs[i], share).fit(train)
-            except Exception as e:  # reported, and the candidate is dropped from the comparison
+                return make_estimator(specs[i], contexts[k]).fit(train)
+            except (IllegalArgumentException, Py4JJavaError) as e:
+                # the learner refused these rows: reported, and left out of the comparison
                 failed[tags[i]] = f"{type(e).__name__}: {e}"
                 return None
         return run
@@ -364,6 +395,13 @@ def leaderboard(scores: DataFrame, by: str = "model") -> DataFrame:
     return board.withColumn("position", F.row_number().over(w))
 
 
+def with_failures(board: DataFrame, failed: Mapping[str, str], by: str = "tag") -> DataFrame:
+    """The leaderboard with a row, without scores, for each candidate that failed, and its error."""
+    lost = board.sparkSession.createDataFrame(list(failed.items()), f"{by} string, error string")
+    return board.withColumn("error", F.lit(None).cast("string")).unionByName(
+        lost, allowMissingColumns=True)
+
+
 def pick_best(board: DataFrame, criterion: str = "score") -> DataFrame:
     """One row of the leaderboard by score, stability among the better half, or a balance."""
     if criterion == "stable":
@@ -398,11 +436,7 @@ def random_search(data: DataFrame, row_key: str, spec: Spec, task: str, folds: i
     rng = random.Random(cfg.seed)
     trials = []
     for _ in range(cfg.n_trials):
-        params = {**spec.params, **sample_params(spec.space, rng)}
-        for k, cap in cfg.param_caps.items():
-            if k in params:
-                params[k] = min(params[k], cap)
-        trials.append(replace(spec, params=params))
+        trials.append(replace(spec, params={**spec.params, **sample_params(spec.space, rng)}))
     tags = [f"t{i}" for i in range(len(trials))]
     cv = cross_validate(data, row_key, trials, task, folds, cfg, prefixes=tags)
     board = leaderboard(cv.scores, by="tag").withColumnRenamed("tag", "trial")

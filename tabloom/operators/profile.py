@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LIMITS, NUMERIC_SENTINELS, TEXT_SENTINELS
-from ..functions.columns import (any_of, column_type, count_true, numeric_columns, ratio, ref,
-                                 share_true, text_columns, to_long)
+from ..functions.columns import (any_of, column_type, count_true, distinct_hashes, numeric_columns,
+                                 ratio, ref, share_true, text_columns, to_long)
 from ..functions.quantiles import exact_quantiles
 
 
@@ -51,8 +53,15 @@ def missing_overview(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical group; nulls compare equal."""
-    groups = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows beyond the first of each identical group; nulls compare equal.
+
+    Rows are grouped by two digests of all columns and their null marks, 128 bits together, so the
+    shuffle carries 16 bytes a row whatever its width.
+    """
+    marked = [x for c in df.columns for x in (ref(c).isNull(), ref(c))]
+    digests = df.select(F.xxhash64(*marked).alias("_a"),
+                        F.xxhash64(F.lit("again"), *reversed(marked)).alias("_b"))
+    groups = digests.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
     one = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
                      F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
     return one.select("duplicate_rows", F.round(
@@ -91,16 +100,18 @@ def column_catalogue(df: DataFrame) -> DataFrame:
     } for i, c in enumerate(df.columns)])
 
 
-def column_profile(df: DataFrame, max_columns: int = 20, approximate: bool = False) -> DataFrame:
-    """Missing share and distinct count of the first columns (sketch if `approximate`)."""
+def column_profile(df: DataFrame, max_columns: int | None = None, approximate: bool = False) -> DataFrame:
+    """Missing share and distinct count of all columns, or the first ones (sketch if `approximate`)."""
     cols = df.columns[:max_columns]
     numeric = set(numeric_columns(df))
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    one = df.agg(*[e for i, c in enumerate(cols) for e in (
-        share_true(ref(c).isNull()).alias(f"m{i}"), distinct(ref(c)).alias(f"d{i}"))])
+    sketches = [F.approx_count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(cols)]
+    exact = {} if approximate else distinct_hashes(df, cols)
+    one = df.agg(*[share_true(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *(sketches if approximate else []))
     return to_long(one, [{
         "column": F.lit(c), "is_numeric": F.lit(c in numeric), "missing_pct": F.col(f"m{i}"),
-        "unique_values": F.col(f"d{i}")} for i, c in enumerate(cols)])
+        "unique_values": F.col(f"d{i}") if approximate else F.lit(exact[c]).cast("long")}
+        for i, c in enumerate(cols)])
 
 
 def preview(df: DataFrame, row_key: str, rows: int = 5) -> DataFrame:
@@ -187,14 +198,59 @@ class CoMoments:
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]],
                  batch: int = 200) -> dict[tuple[str, str], float | None]:
-    """r per pair: one light scan for the means, then one scan per `batch` pairs."""
+    """r per pair: one light scan for the means, then one scan for all pairs.
+
+    Up to `batch` pairs are plain sums; more are taken from Gram matrices.
+    """
     if not pairs:
         return {}
     centers = column_centers(df, [c for p in pairs for c in p])
-    out: dict[tuple[str, str], float | None] = {}
-    for start in range(0, len(pairs), batch):
-        m = CoMoments(centers, pairs[start:start + batch])
-        out.update(m.solve(df.agg(*m.sums()).first()))
+    if len(pairs) > batch:
+        return gram_correlations(df, centers, pairs)
+    m = CoMoments(centers, pairs)
+    return m.solve(df.agg(*m.sums()).first())
+
+
+def gram_correlations(df: DataFrame, centers: Centers, pairs: Sequence[tuple[str, str]]
+                      ) -> dict[tuple[str, str], float | None]:
+    """Pairwise-complete r of many pairs from one scan.
+
+    Each task multiplies its blocks of centred, zero-filled values V, squares Q and presence marks M:
+    M'M counts the rows of a pair, V'M and Q'M are one column's sums where the other is present, V'V
+    are the products. Only these square matrices leave a task, and are summed by cell.
+    """
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    shift = [float(centers.mean[c]) for c in cols]
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], 1)
+            mark = ~np.isnan(x)
+            v = np.where(mark, x - shift, 0.0)
+            m = mark.astype(np.float64)
+            part = np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
+            total = part if total is None else total + part
+        if total is not None:
+            k = len(shift)
+            i, j = np.divmod(np.arange(k * k), k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i), pa.array(j), *[pa.array(t.ravel()) for t in total]],
+                names=["i", "j", "n", "s", "q", "p"])
+
+    numbers = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    cells = (numbers.mapInArrow(run, "i long, j long, n double, s double, q double, p double")
+             .groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in "nsqp"]))
+    got = {(r["i"], r["j"]): r for r in cells.collect()}
+    place, out = {c: i for i, c in enumerate(cols)}, {}
+    for a, b in pairs:
+        x, y = got.get((place[a], place[b])), got.get((place[b], place[a]))
+        out[a, b] = None
+        if x and x["n"] > 1:
+            va, vb = x["q"] - x["s"] ** 2 / x["n"], y["q"] - y["s"] ** 2 / x["n"]
+            if va > 0 and vb > 0:
+                r = (x["p"] - x["s"] * y["s"] / x["n"]) / (math.sqrt(va) * math.sqrt(vb))
+                out[a, b] = max(-1.0, min(1.0, r))
     return out
 
 
@@ -294,12 +350,13 @@ def outlier_rollup(outliers: DataFrame) -> DataFrame:
 def high_cardinality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns with more distinct values than max(50, half the rows)."""
     cols = list(columns or text_columns(df))
-    one = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    limit = F.greatest(F.lit(50), F.floor(F.col("n") * 0.5))
-    return to_long(one, [{"column": F.lit(c), "distinct_count": F.col(f"d{i}"),
-                          "_limit": limit} for i, c in enumerate(cols)]).where(
-        F.col("distinct_count") > F.col("_limit")).drop("_limit")
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.approx_count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    limit = max(50, int(row["n"] * 0.5))
+    # the sketch errs by a few per cent: only columns it cannot rule out are counted exactly
+    exact = distinct_hashes(df, [c for i, c in enumerate(cols) if row[f"d{i}"] > 0.7 * limit])
+    return df.sparkSession.createDataFrame([(c, d) for c, d in exact.items() if d > limit],
+                                           "column string, distinct_count long")
 
 
 def numeric_sentinel_share(column: str) -> Column:

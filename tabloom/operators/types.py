@@ -1,4 +1,4 @@
-"""Semantic column types, task type, and identifier tests, from two scans and a short sample."""
+"""Semantic column types, task type, and identifier tests, from fused aggregates over whole columns."""
 
 from __future__ import annotations
 
@@ -9,14 +9,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..config import BOOLEAN_WORDS, CODE_PATTERN, DIGITS_PATTERN, IDENTIFIER_NAMES, PrepareConfig
-from ..functions.columns import (column_type, count_true, distinct_sketch, is_integral,
-                                 normalize_name, ref, to_long, unpivot_values)
-from ..functions.scratch import settle
+from ..functions.columns import (column_type, count_true, distinct_hashes, distinct_sketch,
+                                 is_integral, normalize_name, ref, to_long)
 
 # With few distinct values the sketch holds their hashes, so an estimate above this proves that a
 # column has more than 20 distinct values; below it they are counted exactly.
 SKETCH_SURE_MANY = 64
-_SAMPLE, _CODE_SAMPLE, _HEAD = 100, 50, 2000
 
 # fixed values: text layouts tried, after ISO, when a string might be a date
 DATE_LAYOUTS = ("M/d/yyyy", "M/d/yyyy H:mm", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy", "d.M.yyyy")
@@ -74,10 +72,7 @@ def column_facts(df: DataFrame, columns: Iterable[str] | None = None) -> ColumnF
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Exact distinct counts (nulls not counted) of the few columns a decision hangs on."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"d{i}"] for i, c in enumerate(columns)}
+    return distinct_hashes(df, columns)
 
 
 def at_most(df: DataFrame, facts: ColumnFacts, columns: Sequence[str], limit: int) -> list[str]:
@@ -87,59 +82,38 @@ def at_most(df: DataFrame, facts: ColumnFacts, columns: Sequence[str], limit: in
     return [c for c in unsure if exact[c] <= limit]
 
 
-# --- leading samples ---------------------------------------------------------------------
+# --- shares of text layouts --------------------------------------------------------------
 
-def leading_samples(df: DataFrame, row_key: str, columns: Sequence[str],
-                    size: int = _SAMPLE) -> DataFrame:
-    """(column, position, value): the first `size` present values of each column by row key.
+def text_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column over all present values: their number, share of digits-only, of dates, of codes.
 
-    One bounded head of the table serves every column that is dense enough there; each of the
-    others takes its own top-n scan.
+    One aggregate for all columns. A share over a prefix would be cheaper, but a table's first rows
+    are one day or one tenant.
     """
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, position int, value string")
-    cols = list(columns)
-    by_key = "_key"
-    head = settle(df.select(ref(row_key).alias(by_key), *[ref(c) for c in cols])
-                  .orderBy(by_key).limit(_HEAD), "head")
-    seen = head.agg(*[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                    F.count(F.lit(1)).alias("rows")).first()
-    short = [c for i, c in enumerate(cols) if seen[f"n{i}"] < size] if seen["rows"] == _HEAD else []
-    dense = [c for c in cols if c not in short]
-    parts = [unpivot_values(head, dense, keep=[by_key])] if dense else []
-    for c in short:
-        own = df.where(ref(c).isNotNull()).select(ref(row_key).alias(by_key), ref(c)).orderBy(
-            by_key).limit(size)
-        parts.append(unpivot_values(own, [c], keep=[by_key]))
-    values = parts[0]
-    for p in parts[1:]:
-        values = values.unionByName(p)
-    w = W.partitionBy("column").orderBy(by_key)
-    return (values.where(F.col("value").isNotNull())
-            .withColumn("position", F.row_number().over(w))
-            .where(F.col("position") <= size).select("column", "position", "value"))
-
-
-def sample_shares(df: DataFrame, row_key: str, columns: Sequence[str]) -> DataFrame:
-    """Per column over its leading sample: size, share of digits-only, of dates, of codes."""
-    early = F.col("position") <= _CODE_SAMPLE
-    return leading_samples(df, row_key, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("sampled"),
-        F.avg(F.col("value").rlike(DIGITS_PATTERN).cast("double")).alias("digits_share"),
-        F.avg(parse_timestamp(F.col("value")).isNotNull().cast("double")).alias("date_share"),
-        F.avg(F.when(early, F.col("value").rlike(CODE_PATTERN).cast("double")))
-        .alias("code_share"))
+        return df.sparkSession.createDataFrame(
+            [], "column string, present long, digits_share double, date_share double, code_share double")
+    aggs = []
+    for i, c in enumerate(columns):
+        v = ref(c).cast("string")
+        aggs += [F.count(v).alias(f"n{i}"),
+                 F.avg(v.rlike(DIGITS_PATTERN).cast("double")).alias(f"g{i}"),
+                 F.avg(F.when(v.isNotNull(), parse_timestamp(v).isNotNull().cast("double"))).alias(f"t{i}"),
+                 F.avg(v.rlike(CODE_PATTERN).cast("double")).alias(f"k{i}")]
+    return to_long(df.agg(*aggs), [{
+        "column": F.lit(c), "present": F.col(f"n{i}"), "digits_share": F.col(f"g{i}"),
+        "date_share": F.col(f"t{i}"), "code_share": F.col(f"k{i}")} for i, c in enumerate(columns)])
 
 
 # --- decisions ---------------------------------------------------------------------------
 
-def datetime_like(df: DataFrame, row_key: str, columns: Sequence[str] | None = None) -> list[str]:
+def datetime_like(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     cols = list(columns if columns is not None else df.columns)
     typed = [c for c in cols if is_temporal(column_type(df, c))]
     text = [c for c in cols if isinstance(column_type(df, c), T.StringType)]
     found = set(typed)
-    for r in sample_shares(df, row_key, text).collect():
-        if r["sampled"] >= 3 and r["digits_share"] <= 0.9 and r["date_share"] >= 0.8:
+    for r in text_shares(df, text).collect():
+        if r["present"] >= 3 and r["digits_share"] <= 0.9 and r["date_share"] >= 0.8:
             found.add(r["column"])
     return [c for c in cols if c in found]
 
@@ -160,12 +134,12 @@ def binary_like(df: DataFrame, facts: ColumnFacts, columns: Sequence[str]) -> li
     return out
 
 
-def detect_types(df: DataFrame, row_key: str, columns: Sequence[str] | None = None,
+def detect_types(df: DataFrame, columns: Sequence[str] | None = None,
                  facts: ColumnFacts | None = None) -> dict[str, str]:
     """{column: datetime | binary | numeric | categorical}, tested in that order."""
     cols = list(columns if columns is not None else df.columns)
     facts = facts or column_facts(df, cols)
-    dates = set(datetime_like(df, row_key, cols))
+    dates = set(datetime_like(df, cols))
     pairs = set(binary_like(df, facts, [c for c in cols if c not in dates]))
 
     def kind(c):
@@ -198,15 +172,17 @@ def sequential_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         v = ref(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.count_distinct(v).alias(f"d{i}"),
-                 (F.max(v) - F.min(v) + 1).alias(f"w{i}"),
+        aggs += [F.count(v).alias(f"n{i}"), (F.max(v) - F.min(v) + 1).alias(f"w{i}"),
                  F.coalesce(F.max((v != F.round(v)).cast("int")), F.lit(1)).alias(f"f{i}")]
-    return to_long(df.agg(*aggs), [{
-        "column": F.lit(c),
-        "is_sequential": F.coalesce((F.col(f"n{i}") >= 5) & (F.col(f"f{i}") == 0)
-                                    & (F.col(f"w{i}") == F.col(f"n{i}"))
-                                    & (F.col(f"d{i}") == F.col(f"n{i}")), F.lit(False)),
-    } for i, c in enumerate(columns)])
+    row = df.agg(*aggs).first()
+    # only a column whose width equals its count can be one, and only that one is counted
+    fits = [c for i, c in enumerate(columns)
+            if row[f"n{i}"] >= 5 and row[f"f{i}"] == 0 and row[f"w{i}"] == row[f"n{i}"]]
+    distinct = distinct_hashes(df, fits)
+    number = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    return df.sparkSession.createDataFrame(
+        [(c, c in distinct and distinct[c] == number[c]) for c in columns],
+        "column string, is_sequential boolean")
 
 
 def identifier_name(name: str) -> str | None:
@@ -224,7 +200,7 @@ def index_like_name(name: str) -> bool:
     return n.startswith("unnamed") or n in ("index", "row_id") or n.endswith("_id")
 
 
-def identifier_columns(df: DataFrame, row_key: str, cfg: PrepareConfig = PrepareConfig(),
+def identifier_columns(df: DataFrame, cfg: PrepareConfig = PrepareConfig(),
                        columns: Sequence[str] | None = None,
                        facts: ColumnFacts | None = None) -> dict[str, str]:
     """{column: detail} for columns that identify rows, by name or by near-unique codes."""
@@ -241,7 +217,7 @@ def identifier_columns(df: DataFrame, row_key: str, cfg: PrepareConfig = Prepare
         distinct = distinct_counts(df, maybe)
         codeable = [c for c in maybe if isinstance(column_type(df, c), T.StringType)
                     or is_integral(column_type(df, c))]
-        codes = {r["column"] for r in sample_shares(df, row_key, codeable).collect()
+        codes = {r["column"] for r in text_shares(df, codeable).collect()
                  if r["code_share"] >= 0.9}
         for c in maybe:
             n, d = facts.present[c], distinct[c]

@@ -52,13 +52,13 @@ def prepare(df: DataFrame, row_key: str, target: str, cfg: PrepareConfig = Prepa
     """
     R.split_target(df, target)
     features = [c for c in df.columns if c not in (target, row_key)]
-    date_plan = P.fit_dates(df, T.datetime_like(df, row_key, features))
+    date_plan = P.fit_dates(df, T.datetime_like(df, features))
     wide = P.apply_dates(df, date_plan)
     features = [c for c in wide.columns if c not in (target, row_key)]
 
     facts = T.column_facts(wide, features)
     ids = [C.Drop(c, "identifier", why)
-           for c, why in T.identifier_columns(wide, row_key, cfg, features, facts).items()]
+           for c, why in T.identifier_columns(wide, cfg, features, facts).items()]
     leaks, _ = C.target_leakage(wide, target, features)
     missing = C.missing_strategy(wide, cfg, features)
     drops = C.merge_drops(ids, C.low_variance(wide, cfg, features, facts), leaks,
@@ -68,7 +68,7 @@ def prepare(df: DataFrame, row_key: str, target: str, cfg: PrepareConfig = Prepa
     kept = [c for c in features if c not in gone]
     model_rows = R.modeling_rows(wide.select(ref(row_key), *[ref(c) for c in kept], ref(target)),
                                  target, kept, missing.drop_rows)
-    types = T.detect_types(model_rows, row_key, kept)
+    types = T.detect_types(model_rows, kept)
     task = T.task_type(model_rows, target)
 
     split = settle(G.train_test_split(model_rows, row_key, target if task == "classification" else None,
@@ -195,8 +195,12 @@ def engineer(df: DataFrame, row_key: str, target: str, task: str,
         ref(row_key), ref(target), *[ref(k) for k in keep], *[ref(c) for c in columns])
     frame = settle(frame, "engineered")
     text = [c for c in columns if c in text]
-    label = label_column(fit_rows(frame), target, task)
-    coded = E.ordinal_encode(fit_rows(frame), fit_rows(frame), text).withColumn("_label", label)
+    rows = fit_rows(frame)
+    coded = E.ordinal_encode(rows, rows, text)
+    if task == "classification":
+        coded = E.with_label_codes(coded, target, settle(E.label_codes(rows, target), "classes"), "_label")
+    else:
+        coded = coded.withColumn("_label", ref(target).cast("double"))
     scores = X.forest_importance(coded, columns, "_label", task == "classification", cfg)
 
     selected = X.select_by_score(columns, scores, cfg)
@@ -225,15 +229,6 @@ def engineer(df: DataFrame, row_key: str, target: str, task: str,
                       reduced.explained if reduced else None)
 
 
-def label_column(df: DataFrame, target: str, task: str):
-    """Class codes in text order, or the number itself."""
-    if task != "classification":
-        return ref(target).cast("double")
-    codes = E.label_codes(df, target)
-    text = ref(target).cast("string")
-    return F.coalesce(*[F.when(text == F.lit(v), F.lit(i)) for v, i in codes.items()])
-
-
 @dataclass
 class Trained:
     model: Any
@@ -275,6 +270,7 @@ def train(vectors: DataFrame, row_key: str, specs: Sequence[M.Spec], task: str,
     cv = M.cross_validate(folded, row_key, specs, task, folds, t, metric)
     board = settle(M.leaderboard(cv.scores, by="tag").join(
         cv.scores.select("tag", "model").distinct(), "tag"), "leaderboard")
+    shown = M.with_failures(board, cv.failed)
     order = board.orderBy("position").collect()
     winner = specs[int(order[0]["tag"][1:])]
     start = time.perf_counter()
@@ -293,7 +289,7 @@ def train(vectors: DataFrame, row_key: str, specs: Sequence[M.Spec], task: str,
                                      [specs[int(g[1:])] for g in tags], tags, task, t)
             name = f"Ensemble ({', '.join(members)})"
             test_score = M.score_model(model, test_rows, task)
-    return Trained(model, name, board, cv, dict(winner.params), single.train_score, test_score, members,
+    return Trained(model, name, shown, cv, dict(winner.params), single.train_score, test_score, members,
                    time.perf_counter() - start)
 
 
@@ -333,7 +329,11 @@ def run_automl(df: DataFrame, row_key: str, target: str,
         order = coded.columns
         coded = lookup(coded, c, table, F.lit(-1.0), "_code").withColumn(c, F.col("_code")).select(
             *[ref(o) for o in order])
-    labelled = coded.withColumn("label", label_column(made.frame, target, task))
+    if task == "classification":
+        names = settle(E.label_codes(made.frame, target), "classes")
+        labelled = E.with_label_codes(coded, target, names)
+    else:
+        labelled = coded.withColumn("label", ref(target).cast("double"))
     vectors = settle(X.assemble(labelled, made.selected, keep=[row_key, "label", "split"]), "vectors")
     fitted = train(vectors, row_key, specs, task, cfg)
 
@@ -355,7 +355,8 @@ def run_automl(df: DataFrame, row_key: str, target: str,
     raw_train = R.rows_with_keys(df, train_rows.select(ref(row_key)), row_key)
     schema = S.fit_serving_schema(raw_train, numeric_in,
                                   [c for c in other_in if c not in ready.date_parts], made.selected)
-    classes = sorted(E.label_codes(made.frame, target)) if task == "classification" else []
+    # the model has one score per class, so its names are no longer list than it
+    classes = [r["value"] for r in names.orderBy("stat").collect()] if task == "classification" else []
     scorer = S.Scorer(schema, fitted.model, task, classes, codes,
                       lambda rows: made.apply(ready.apply(rows)))
     return AutoMLResult(quality, ready, made, specs, fitted, predictions, metrics, verdict["decision"],

@@ -1,5 +1,7 @@
 """Models: invariants of fits, cross-validation, search, ensembles, scoring and history."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +12,14 @@ from tabloom.operators.explain import model_importance
 from tabloom.plans.automl import run_automl
 from tabloom.streaming.scoring import rejected_stream, score_files
 
-QUICK = TrainConfig(cv_folds=3, n_trials=2, parallelism=4,
-                    param_caps={"n_estimators": 3, "max_depth": 3, "max_iter": 20})
+QUICK = TrainConfig(cv_folds=3, n_trials=2, parallelism=4)
+
+
+def small_specs(names, task, cfg=QUICK):
+    """Specs whose models are small, for tests that are about what stands around the fits."""
+    small = {"n_estimators": 3, "max_depth": 3, "max_iter": 20}
+    return [replace(s, params={k: small.get(k, v) for k, v in s.params.items()})
+            for s in M.build_specs(names, task, 600, cfg)]
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +54,7 @@ def test_candidate_rules():
 def test_spec_overrides():
     names = ["RandomForest", "GradientBoosting", "XGBoost"]
     specs = M.build_specs(names, "classification", 50_000, TrainConfig(preferred_model_family="linear"))
-    assert [s.name for s in specs] == ["LogisticRegression", "RandomForest", "GradientBoosting"]
+    assert [s.name for s in specs] == ["LogisticRegression", *names]
     forced = M.build_specs(names, "classification", 500, TrainConfig(force_model_name="XGBoost"))
     assert forced[0].name == "XGBoost" and len(forced) == 3 and forced[0].weight == 0.3333
     small = M.build_specs(names, "classification", 50_000, TrainConfig(reduce_complexity=True))
@@ -73,7 +81,7 @@ def test_ridge_equals_closed_form(rows):
     ("LightGBM", "y", "regression"), ("SVR", "y", "regression"), ("RandomForest", "y", "regression")])
 def test_every_model_fits_scores_and_explains(rows, name, target, task):
     v = vectors(rows, target)
-    spec = M.build_specs([name], task, 600, QUICK)[0]
+    spec = small_specs([name], task)[0]
     model = M.make_estimator(spec, M.fit_context(v, task)).fit(v)
     scored = M.add_scores(v, model, "m")
     assert scored.count() == 600
@@ -88,7 +96,7 @@ def test_every_model_fits_scores_and_explains(rows, name, target, task):
 
 def test_cross_validation_covers_every_row_once(rows):
     v = vectors(rows, "y")
-    specs = M.build_specs(["Ridge", "RandomForest"], "regression", 600, QUICK)
+    specs = small_specs(["Ridge", "RandomForest"], "regression")
     cv = M.cross_validate(v, "id", specs, "regression", 3, QUICK)
     assert cv.oof.count() == 600 and cv.oof.select("id").distinct().count() == 600
     board = M.leaderboard(cv.scores).orderBy("position").collect()
@@ -106,7 +114,7 @@ def test_a_failing_candidate_is_left_out(rows):
 
 
 def test_search_is_reproducible(rows):
-    v, spec = vectors(rows, "y"), M.build_specs(["Ridge"], "regression", 600, QUICK)[0]
+    v, spec = vectors(rows, "y"), small_specs(["Ridge"], "regression")[0]
     first = M.random_search(v, "id", spec, "regression", 3, QUICK)
     again = M.random_search(v, "id", spec, "regression", 3, QUICK)
     assert first[0].params == again[0].params and first[1].count() == 2
@@ -119,7 +127,7 @@ def test_ensembles(rows, kind, target, task):
     cfg = TrainConfig(**{**QUICK.__dict__, "ensemble_type": kind})
     v = vectors(rows, target)
     names = ["RandomForest", "LogisticRegression" if task == "classification" else "Ridge"]
-    specs = M.build_specs(names, task, 600, cfg)
+    specs = small_specs(names, task, cfg)
     cv = M.cross_validate(v, "id", specs, task, 3, cfg)
     metric = M.scoring_metric(task, cfg)
     assert M.ensemble_fold_scores(cv, ["m0", "m1"], task, 3, 3, metric, cfg).count() == 3
@@ -138,7 +146,7 @@ def test_votes(spark):
 
 def test_training_curve_and_class_weights(rows, spark):
     v = vectors(rows, "y")
-    model = M.make_estimator(M.build_specs(["GradientBoosting"], "regression", 600, QUICK)[0],
+    model = M.make_estimator(small_specs(["GradientBoosting"], "regression")[0],
                              M.fit_context(v, "regression")).fit(v)
     curve = M.training_curve(model, v, v, "regression")
     assert curve.count() == 6
@@ -177,7 +185,11 @@ def trained(spark):
         "id long, a double, b double, word string, day string, target string").cache()
     cfg = AutoMLConfig(features=FeatureConfig(importance_trees=4, importance_depth=4),
                        train=TrainConfig(**{**QUICK.__dict__, "optimize": False, "ensemble": True}))
-    return df, run_automl(df, "id", "target", cfg)
+    small, given = {"n_estimators": 3, "max_depth": 3, "max_iter": 20}, M.default_params
+    with pytest.MonkeyPatch.context() as patch:  # small models: the test is about the chain
+        patch.setattr(M, "default_params", lambda name, rows: {
+            k: small.get(k, v) for k, v in given(name, rows).items()})
+        return df, run_automl(df, "id", "target", cfg)
 
 
 def test_full_run(trained):

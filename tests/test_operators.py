@@ -83,7 +83,7 @@ def test_types_of_each_kind(spark):
              str(20240000 + i)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, num double, flag string, day string, word string, bit int, "
                                      "digits string")
-    assert T.detect_types(df, "id", df.columns[1:]) == {
+    assert T.detect_types(df, df.columns[1:]) == {
         "num": "numeric", "flag": "binary", "day": "datetime", "word": "categorical", "bit": "binary",
         "digits": "categorical"}
     assert T.task_type(df, "bit") == "classification" and T.task_type(df, "num") == "regression"
@@ -94,7 +94,7 @@ def test_date_sample_of_a_sparse_column(spark):
     """A column whose first values come after the table head still gets its own sample."""
     rows = [(i, f"2024-02-{i % 28 + 1:02d}" if i >= 2500 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, day string")
-    assert T.datetime_like(df, "id", ["day"]) == ["day"]
+    assert T.datetime_like(df, ["day"]) == ["day"]
 
 
 def test_identifier_and_variance(spark):
@@ -102,7 +102,7 @@ def test_identifier_and_variance(spark):
             for i in range(400)]
     df = spark.createDataFrame(rows, "key long, code string, seq double, noise double, const string, "
                                      "near string")
-    assert set(T.identifier_columns(df, "key", columns=df.columns[1:])) == {"code", "seq"}
+    assert set(T.identifier_columns(df, columns=df.columns[1:])) == {"code", "seq"}
     drops = {d.column: d.reason for d in C.low_variance(df)}
     assert drops == {"const": "constant", "near": "other"}
 

@@ -658,8 +658,9 @@ def run_metadata_sink(spark, sf):
 
 @query("automl_end_to_end")
 def automl_end_to_end(spark, sf):
-    """All stages on orders with the planted label, dates included; the search for parameters is off."""
-    cfg = AutoMLConfig(train=TrainConfig(optimize=False, parallelism=4))
+    """All stages on orders with the planted label, dates included, in single-model mode: the preferred
+    candidate with its default settings on all folds. Comparison and search have queries of their own."""
+    cfg = AutoMLConfig(train=TrainConfig(optimize=False, multi_model=False, parallelism=4))
     d = ord_lab(spark, sf).drop("y")
     r = run_automl(d, KEY, "label", cfg)
     rows = [(k, float(v)) for k, v in r.metrics.items() if v is not None]

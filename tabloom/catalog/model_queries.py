@@ -6,7 +6,7 @@ import random
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import AutoMLConfig, FeatureConfig, TrainConfig
 from ..functions.columns import ref, round_doubles, rounded
@@ -621,6 +621,70 @@ def search_runs(spark, sf):
     return round_doubles(H.search_runs(_run_metrics(spark, sf), "f1", 200000, limit=1000))
 
 
+# settings of a run: how many orders of each priority its year has
+_PARAMS = ("rp", "SELECT CAST(year(o_orderdate) AS string) AS run_id, o_orderpriority AS name, CAST(count(*) AS "
+                 "string) AS value FROM ord GROUP BY ALL")
+_FACTS = {"task_type": "min(o_orderstatus)", "model_name": "max(o_orderpriority)",
+          "deployment_decision": "min(c_mktsegment)"}
+_FACT = ("rt", "SELECT CAST(year(o_orderdate) AS string) AS run_id, " + ", ".join(
+    f"{e} AS {k}" for k, e in _FACTS.items()) + " FROM ord GROUP BY ALL")
+
+
+@query("run_summary", sql("ord", "SELECT run_id, task_type, model_name, deployment_decision, " + ", ".join(
+    f"round(arg_max(value, step) FILTER (WHERE metric = '{m}'), 6) AS {m}" for m in H.SUMMARY_METRICS) +
+    ", any_value(features) AS selected_features, any_value(params) AS hyperparameters FROM rm JOIN rt USING "
+    "(run_id) LEFT JOIN (SELECT run_id, string_agg(feature, ',' ORDER BY feature) AS features FROM rf GROUP BY "
+    "run_id) USING (run_id) LEFT JOIN (SELECT run_id, string_agg(concat(name, '=', value), ',' ORDER BY "
+    "concat(name, '=', value)) AS params FROM rp GROUP BY run_id) USING (run_id) GROUP BY ALL",
+    *_RUN_CTES, _PARAMS, _FACT))
+def run_summary(spark, sf):
+    """The 17 fields that sum up each run; metrics that were not logged are null."""
+    year = F.year("o_orderdate").cast("string").alias("run_id")
+    facts = ord_(spark, sf).groupBy(year).agg(*[F.expr(e).alias(k) for k, e in _FACTS.items()]).select(
+        "run_id", F.lit("metrics").alias("section"), F.explode(F.array(*[F.struct(
+            F.lit(k).alias("key"), F.col(k).alias("value")) for k in _FACTS])).alias("e")).select(
+        "run_id", "section", "e.*")
+    params = ord_(spark, sf).groupBy(year, F.col("o_orderpriority").alias("name")).agg(
+        F.count(F.lit(1)).cast("string").alias("value"))
+    out = H.run_summary(_runs(spark, sf), facts, _run_metrics(spark, sf), _run_features(spark, sf), params)
+    lists = {c: F.when(F.size(c) > 0, F.array_join(c, ",")) for c in ("selected_features", "hyperparameters")}
+    return round_doubles(out.withColumns(lists))
+
+
+# each year compares the market segments by the balance of their orders; the days of the month are its trials
+@query("run_comparison", sql("ord", (
+    "SELECT run_id, arg_min(model, position) AS model, round(arg_min(cv_mean, position), 6) AS best_cv_score, "
+    "round(arg_min(cv_std, position), 6) AS best_cv_std, count(*) AS candidates, CAST(0 AS BIGINT) AS failed FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cv_mean DESC, cv_std, model) AS position FROM "
+    "(SELECT CAST(year(o_orderdate) AS string) AS run_id, c_mktsegment AS model, avg(c_acctbal) AS cv_mean, "
+    "stddev_pop(c_acctbal) AS cv_std FROM ord GROUP BY ALL)) GROUP BY run_id")))
+def run_comparison(spark, sf):
+    """The winner of each run's comparison, with the runner-ups counted, from the stored tables."""
+    d = ord_(spark, sf).groupBy(F.year("o_orderdate").cast("string").alias("run_id"), F.col("c_mktsegment").alias("model")).agg(
+        F.avg("c_acctbal").alias("cv_mean"), F.stddev_pop("c_acctbal").alias("cv_std"))
+    board = settle(d.withColumn("position", F.row_number().over(W.partitionBy("run_id").orderBy(
+        F.desc("cv_mean"), "cv_std", "model"))), "boards")
+    store = H.RunStore(spark, scratch_path(spark, "runs"))
+    for run in sorted(r["run_id"] for r in board.select("run_id").distinct().collect()):
+        store.log_table("run_comparison", run, board.where(F.col("run_id") == run))
+    return round_doubles(H.best_compared(store.read("run_comparison")))
+
+
+@query("run_trials", sql("ord", (
+    "SELECT run_id, model, count(*) AS trials, round(max(value), 6) AS best_value, arg_max(trial, value) AS "
+    "best_trial, arg_max(params, value) AS params FROM (SELECT CAST(year(o_orderdate) AS string) AS run_id, "
+    "o_orderstatus AS model, concat('t', CAST(day(o_orderdate) AS string)) AS trial, avg(o_totalprice) AS value, "
+    "concat('{\"orders\": ', CAST(count(*) AS string), '}') AS params FROM ord GROUP BY ALL) GROUP BY ALL")))
+def run_trials(spark, sf):
+    """The best trial of each model that a run searched."""
+    trials = ord_(spark, sf).groupBy(
+        F.year("o_orderdate").cast("string").alias("run_id"), F.col("o_orderstatus").alias("model"),
+        F.concat(F.lit("t"), F.day("o_orderdate").cast("string")).alias("trial")).agg(
+        F.avg("o_totalprice").alias("value"),
+        F.concat(F.lit('{"orders": '), F.count(F.lit(1)).cast("string"), F.lit("}")).alias("params"))
+    return round_doubles(H.best_trials(trials))
+
+
 @query("run_store", "SELECT 'config' AS kind, 'training' AS section, 'status' AS name, min(o_orderstatus) AS "
                     "before, 'O' AS after FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'feature', "
                     "'feature_engineering', 'a', 'selected', NULL UNION ALL SELECT 'feature', "

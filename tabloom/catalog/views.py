@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_parquet
+
 _ORD = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
         "c_acctbal", "c_mktsegment", "c_nationkey"]
 
@@ -56,7 +58,7 @@ _LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_parquet(spark, f"{sf}/{name}.parquet")
 
 
 def _exprs(columns: dict[str, str]) -> list[str]:

@@ -1,9 +1,14 @@
 """Run history as long append-only tables, and comparison of runs.
 
-runs:        run_id, parent_run_id, seq, reason
-run_values:  run_id, section, key, value         (configs and metrics as text)
-run_metrics: run_id, metric, step, value
-run_features:run_id, feature
+runs:           run_id, parent_run_id, seq, reason
+run_values:     run_id, section, key, value       (configs and metrics as text)
+run_metrics:    run_id, metric, step, value
+run_features:   run_id, feature
+run_params:     run_id, name, value               (hyperparameters of the chosen model)
+run_dropped:    run_id, feature, reason
+run_comparison: run_id, model, cv_mean, cv_std, position, error
+run_trials:     run_id, model, trial, value, params
+run_curve:      run_id, split, round, loss
 """
 
 from __future__ import annotations
@@ -21,6 +26,19 @@ SUMMARY_FIELDS = ("task_type", "model_name", *SUMMARY_METRICS, "deployment_decis
                   "selected_features", "hyperparameters")
 
 
+#: Text entries of a run's metrics section that belong to its summary.
+SUMMARY_TEXTS = tuple(f for f in SUMMARY_FIELDS if f not in SUMMARY_METRICS
+                      and f not in ("selected_features", "hyperparameters"))
+#: Columns of the tables that a run may have beside its values, metrics, features and parameters.
+RUN_TABLES = {
+    "run_dropped": {"feature": "string", "reason": "string"},
+    "run_comparison": {"model": "string", "cv_mean": "double", "cv_std": "double", "position": "int",
+                       "error": "string"},
+    "run_trials": {"model": "string", "trial": "string", "value": "double", "params": "string"},
+    "run_curve": {"split": "string", "round": "int", "loss": "double"},
+}
+
+
 def flatten(values: Mapping, prefix: str = "") -> list[tuple[str, str | None]]:
     """Nested settings as (dotted key, text); private keys (leading underscore) are left out."""
     out: list[tuple[str, str | None]] = []
@@ -61,6 +79,17 @@ class RunStore:
         self._append("run_features", new([(run_id, f) for f in features],
                                          "run_id string, feature string"))
 
+    def log_params(self, run_id: str, params: Mapping) -> None:
+        rows = [(run_id, k, v) for k, v in flatten(params)]
+        self._append("run_params", self.spark.createDataFrame(rows, "run_id string, name string, value string"))
+
+    def log_table(self, table: str, run_id: str, rows: DataFrame) -> None:
+        """Appends rows of one run to run_dropped, run_comparison, run_trials or run_curve; a column that the
+        rows lack is null, others are left behind."""
+        have = set(rows.columns)
+        self._append(table, rows.select(F.lit(run_id).alias("run_id"), *[
+            (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in RUN_TABLES[table].items()]))
+
 
 def diff_values(before: DataFrame, after: DataFrame) -> DataFrame:
     """(section, key, before, after) for the entries that differ; absent is null."""
@@ -92,6 +121,44 @@ def metrics_wide(run_metrics: DataFrame, metrics=SUMMARY_METRICS) -> DataFrame:
         F.max_by("value", "step"))
 
 
+def run_summary(runs: DataFrame, run_values: DataFrame, run_metrics: DataFrame, run_features: DataFrame,
+                run_params: DataFrame) -> DataFrame:
+    """One row per run with the 17 fields that sum it up; what was not logged is null, lists are empty.
+
+    Selected features are a sorted list and hyperparameters a sorted list of name=value; a run has as many as
+    its table has columns and its model settings."""
+    texts = run_values.where(F.col("section") == "metrics").groupBy("run_id").pivot(
+        "key", list(SUMMARY_TEXTS)).agg(F.max("value"))
+    features = run_features.groupBy("run_id").agg(F.sort_array(F.collect_set("feature")).alias("selected_features"))
+    params = run_params.groupBy("run_id").agg(F.sort_array(F.collect_set(F.concat(
+        "name", F.lit("="), F.coalesce("value", F.lit(""))))).alias("hyperparameters"))
+    out = runs.select("run_id").distinct()
+    for part in (texts, metrics_wide(run_metrics), features, params):
+        out = out.join(part, "run_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("run_id", *[F.coalesce(f, none).alias(f) if f in ("selected_features", "hyperparameters")
+                                  else F.col(f) for f in SUMMARY_FIELDS])
+
+
+def best_trials(run_trials: DataFrame) -> DataFrame:
+    """(run_id, model, trials, best_value, best_trial, params): the best trial of each searched model."""
+    best = F.max_by(F.struct("trial", "params"), F.struct("value", "trial"))
+    return run_trials.groupBy("run_id", "model").agg(
+        F.count(F.lit(1)).alias("trials"), F.max("value").alias("best_value"), best.alias("b")).select(
+        "run_id", "model", "trials", "best_value", F.col("b.trial").alias("best_trial"),
+        F.col("b.params").alias("params"))
+
+
+def best_compared(run_comparison: DataFrame) -> DataFrame:
+    """(run_id, model, best_cv_score, best_cv_std, candidates, failed): the winner of each run's comparison."""
+    ranked = F.when(F.col("cv_mean").isNotNull(), F.struct((-F.col("position")).alias("p"), "model", "cv_mean", "cv_std"))
+    return run_comparison.groupBy("run_id").agg(
+        F.max(ranked).alias("b"), F.count(F.lit(1)).alias("candidates"),
+        F.count("error").alias("failed")).select(
+        "run_id", F.col("b.model").alias("model"), F.col("b.cv_mean").alias("best_cv_score"),
+        F.col("b.cv_std").alias("best_cv_std"), "candidates", "failed")
+
+
 def with_previous(runs: DataFrame) -> DataFrame:
     """Adds the run committed just before; one row per run, so one small ordered window."""
     w = W.partitionBy(F.lit(1)).orderBy("seq")

@@ -7,6 +7,7 @@ leaderboard, diversity, voting and stacking are all aggregates or fits over that
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import time
@@ -18,10 +19,11 @@ from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression,
+                                       OneVsRest, OneVsRestModel, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
+                                   RandomForestRegressor)
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import TrainConfig
@@ -301,8 +303,8 @@ def fit_context(train: DataFrame, task: str, seed: int = 42,
 class CrossValidation:
     """Out-of-fold predictions of every candidate and their fold scores."""
 
-    oof: DataFrame               # row_key, label, fold, <i>_pred, <i>_prob
-    scores: DataFrame            # model, fold, score
+    oof: DataFrame | None        # row_key, label, fold, <i>_pred, <i>_prob; None if rows were not kept
+    scores: DataFrame            # model, tag, fold, score
     names: list[str]
     failed: dict[str, str]
 
@@ -333,10 +335,11 @@ def _fold_contexts(data: DataFrame, ctx: FitContext, folds: int) -> list[FitCont
 
 def cross_validate(data: DataFrame, row_key: str, specs: Sequence[Spec], task: str, folds: int,
                    cfg: TrainConfig = TrainConfig(), metric: str | None = None,
-                   prefixes: Sequence[str] | None = None) -> CrossValidation:
+                   prefixes: Sequence[str] | None = None, keep_rows: bool = True) -> CrossValidation:
     """`data` holds row_key, label, features and fold.
 
-    A candidate whose learner fails is left out and named in `failed`; other faults are raised.
+    Without `keep_rows` no out-of-fold rows are written: each fold's held-out rows are summed up where they
+    are scored, and only the fold scores stay. A candidate whose learner fails is left out and named in `failed`; other faults are raised.
     """
     metric = metric or scoring_metric(task, cfg)
     ctx = fit_context(data, task, cfg.seed, "weight" if "weight" in data.columns else None)
@@ -366,23 +369,35 @@ def cross_validate(data: DataFrame, row_key: str, specs: Sequence[Spec], task: s
         for i in good:
             held = add_scores(held, fitted[i, k], tags[i])
         parts.append(held.drop("features"))
-    oof = settle(reduce(DataFrame.unionByName, parts), "oof")
     names = [specs[i].name for i in good]
-    scores = reduce(DataFrame.unionByName, [
-        fold_scores(oof, f"{tags[i]}_pred", task, metric).select(
-            F.lit(specs[i].name).alias("model"), F.lit(tags[i]).alias("tag"), "fold", "score")
-        for i in good])
-    return CrossValidation(oof, scores, names, failed)
+    oof = reduce(DataFrame.unionByName, parts)
+    if keep_rows:
+        oof = settle(oof, "oof")
+    scores = settle(candidate_scores(oof, {tags[i]: specs[i].name for i in good}, task, metric),
+                    "fold-scores")
+    return CrossValidation(oof if keep_rows else None, scores, names, failed)
+
+
+def _group_scores(rows: DataFrame, groups: Sequence[str], task: str, metric: str) -> DataFrame:
+    out = weighted_scores(confusion_counts(rows, groups), groups) if task == "classification" else \
+        regression_metrics(rows, groups)
+    return out.select(*groups, F.col(metric).alias("score"))
+
+
+def candidate_scores(oof: DataFrame, names: Mapping[str, str], task: str, metric: str) -> DataFrame:
+    """(model, tag, fold, score) of all candidates from one scan; `names` maps tag to model.
+
+    A row becomes one (tag, prediction) pair per candidate, summed up before the shuffle."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(t).alias("tag"),
+                               ref(f"{t}_pred").alias("prediction")) for t, n in names.items()])
+    rows = oof.select("fold", "label", F.explode(pairs).alias("c")).select("fold", "label", "c.*")
+    return _group_scores(rows, ["model", "tag", "fold"], task, metric)
 
 
 def fold_scores(oof: DataFrame, prediction: str, task: str, metric: str) -> DataFrame:
     """(fold, score) of one prediction column."""
-    if task == "classification":
-        out = weighted_scores(confusion_counts(oof, ["fold"], "label", prediction), ["fold"])
-    else:
-        out = regression_metrics(oof.select("fold", "label", ref(prediction).alias("prediction")),
-                                 ["fold"])
-    return out.select("fold", F.col(metric).alias("score"))
+    rows = oof.select("fold", "label", ref(prediction).alias("prediction"))
+    return _group_scores(rows, ["fold"], task, metric)
 
 
 def leaderboard(scores: DataFrame, by: str = "model") -> DataFrame:
@@ -432,14 +447,19 @@ def sample_params(space: Mapping[str, tuple], rng: random.Random) -> dict[str, A
 
 def random_search(data: DataFrame, row_key: str, spec: Spec, task: str, folds: int,
                   cfg: TrainConfig = TrainConfig()) -> tuple[Spec, DataFrame]:
-    """Best of the seeded random trials (all trials in one cross-validation) and the trial table."""
+    """Best of the seeded random trials (all in one cross-validation, no rows written) and the trial table
+    with each trial's parameters as JSON."""
     rng = random.Random(cfg.seed)
     trials = []
     for _ in range(cfg.n_trials):
         trials.append(replace(spec, params={**spec.params, **sample_params(spec.space, rng)}))
     tags = [f"t{i}" for i in range(len(trials))]
-    cv = cross_validate(data, row_key, trials, task, folds, cfg, prefixes=tags)
-    board = leaderboard(cv.scores, by="tag").withColumnRenamed("tag", "trial")
+    cv = cross_validate(data, row_key, trials, task, folds, cfg, prefixes=tags, keep_rows=False)
+    params = data.sparkSession.createDataFrame(
+        [(t, json.dumps(s.params, sort_keys=True)) for t, s in zip(tags, trials)], "trial string, params string")
+    # one row per trial on both sides
+    board = settle(leaderboard(cv.scores, by="tag").withColumnRenamed("tag", "trial")
+                   .join(F.broadcast(params), "trial"), "trials")
     best = board.orderBy("position").first()["trial"]
     return trials[tags.index(best)], board
 
@@ -471,12 +491,28 @@ def fit_single(train: DataFrame, test: DataFrame, spec: Spec, task: str,
     return SingleFit(model, score_model(model, train, task), score_model(model, test, task), seconds)
 
 
+def has_rounds(model) -> bool:
+    """Whether a fitted model was boosted in rounds, so that it has a training curve."""
+    inner = model.models[0] if isinstance(model, OneVsRestModel) and model.models else model
+    return isinstance(inner, (GBTClassificationModel, GBTRegressionModel))
+
+
 def training_curve(model, train: DataFrame, test: DataFrame, task: str) -> DataFrame:
-    """(round, split, loss) of a boosted model; one pass per split evaluates every round."""
+    """(round, split, loss) of a boosted model; one pass per split evaluates every round.
+
+    With more than two classes there is one boosted model per class, told apart from the rest; a round's loss
+    is then the mean over the classes, as far as each was boosted."""
     rows = []
     for name, df in (("train", train), ("test", test)):
-        losses = (model.evaluateEachIteration(df) if task == "classification"
-                  else model.evaluateEachIteration(df, "squared"))
+        if isinstance(model, OneVsRestModel):
+            each = [m.evaluateEachIteration(df.withColumn(
+                m.getLabelCol(), (F.col("label") == k).cast("double"))) for k, m in enumerate(model.models)]
+            rounds = [[e[i] for e in each if i < len(e)] for i in range(max(map(len, each)))]
+            losses = [sum(r) / len(r) for r in rounds]
+        elif task == "classification":
+            losses = model.evaluateEachIteration(df)
+        else:
+            losses = model.evaluateEachIteration(df, "squared")
         rows += [(i + 1, name, float(x)) for i, x in enumerate(losses)]
     return train.sparkSession.createDataFrame(rows, "round int, split string, loss double")
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,7 +15,7 @@ from ..config import AutoMLConfig, FeatureConfig, PrepareConfig
 from ..functions.columns import numeric_columns, ref
 from ..functions.lookups import lookup
 from ..functions.scratch import settle
-from ..operators import checks as C, encode as E, evaluate as V, features as X, models as M
+from ..operators import checks as C, encode as E, evaluate as V, features as X, history as H, models as M
 from ..operators import prepare as P, quality as Q, rows as R, scale as Z, score as S, split as G
 from ..operators import types as T
 from ..operators.explain import model_importance
@@ -240,6 +242,8 @@ class Trained:
     test_score: float
     ensemble: list[str] | None
     seconds: float
+    trials: DataFrame | None = None      # model, trial, cv_mean, params of a search
+    curve: DataFrame | None = None       # round, split, loss of a boosted model
 
 
 def train(vectors: DataFrame, row_key: str, specs: Sequence[M.Spec], task: str,
@@ -258,15 +262,19 @@ def train(vectors: DataFrame, row_key: str, specs: Sequence[M.Spec], task: str,
     folded = settle(G.assign_folds(fit_rows, row_key, folds,
                                    "label" if task == "classification" else None, t.seed), "folds")
     specs = list(specs) if t.multi_model else list(specs)[:1]
+    trials = None
     if t.optimize and t.n_trials > 0:
-        tuned = []
+        tuned, boards = [], []
         for s in specs:
             inner = max(2, G.search_folds(folds, rows))
             search_rows = folded if inner == folds else folded.withColumn(
                 "fold", F.col("fold") % inner)
-            tuned.append(M.random_search(search_rows, row_key, s, task, inner, t)[0]
-                         if s.space else s)
+            found, board = M.random_search(search_rows, row_key, s, task, inner, t) if s.space else (s, None)
+            tuned.append(found)
+            if board is not None:
+                boards.append(board.withColumn("model", F.lit(s.name)))
         specs = tuned
+        trials = reduce(DataFrame.unionByName, boards) if boards else None
     cv = M.cross_validate(folded, row_key, specs, task, folds, t, metric)
     board = settle(M.leaderboard(cv.scores, by="tag").join(
         cv.scores.select("tag", "model").distinct(), "tag"), "leaderboard")
@@ -289,8 +297,11 @@ def train(vectors: DataFrame, row_key: str, specs: Sequence[M.Spec], task: str,
                                      [specs[int(g[1:])] for g in tags], tags, task, t)
             name = f"Ensemble ({', '.join(members)})"
             test_score = M.score_model(model, test_rows, task)
+    # the curve is that of the winner itself, whether or not an ensemble took its place
+    curve = M.training_curve(single.model, folded, test_rows, task) \
+        if M.has_rounds(single.model) and test_rows.count() else None
     return Trained(model, name, shown, cv, dict(winner.params), single.train_score, test_score, members,
-                   time.perf_counter() - start)
+                   time.perf_counter() - start, trials, curve)
 
 
 @dataclass
@@ -306,11 +317,15 @@ class AutoMLResult:
     recommendation: str
     importance: dict[str, float]
     scorer: S.Scorer
+    run_id: str | None = None            # its name in the run store, if there is one
 
 
-def run_automl(df: DataFrame, row_key: str, target: str,
-               cfg: AutoMLConfig = AutoMLConfig()) -> AutoMLResult:
-    """All stages in order. Frames that later stages re-read are written to the shared folder."""
+def run_automl(df: DataFrame, row_key: str, target: str, cfg: AutoMLConfig = AutoMLConfig(),
+               store: H.RunStore | None = None, parent: str | None = None,
+               reason: str | None = None) -> AutoMLResult:
+    """All stages in order. Frames that later stages re-read are written to the shared folder.
+
+    With a `store` the run's settings, metrics, features, comparison, trials and curve are appended to it."""
     quality = Q.data_quality(df.drop(row_key), target)
     ready = prepare(df, row_key, target, cfg.prepare)
     task = ready.task
@@ -359,9 +374,39 @@ def run_automl(df: DataFrame, row_key: str, target: str,
     classes = [r["value"] for r in names.orderBy("stat").collect()] if task == "classification" else []
     scorer = S.Scorer(schema, fitted.model, task, classes, codes,
                       lambda rows: made.apply(ready.apply(rows)))
-    return AutoMLResult(quality, ready, made, specs, fitted, predictions, metrics, verdict["decision"],
-                        verdict["recommendation"], model_importance(fitted.model, made.selected),
-                        scorer)
+    result = AutoMLResult(quality, ready, made, specs, fitted, predictions, metrics, verdict["decision"],
+                          verdict["recommendation"], model_importance(fitted.model, made.selected), scorer)
+    if store is not None:
+        result.run_id = uuid.uuid4().hex
+        log_result(store, result, cfg, parent, reason)
+    return result
+
+
+#: Steps of the feature stage that take columns away.
+DROPPING = ("drop_index_like_columns", "correlation_filter", "feature_importance_filter", "selection_cap")
+
+
+def log_result(store: H.RunStore, result: AutoMLResult, cfg: AutoMLConfig, parent: str | None = None,
+               reason: str | None = None) -> None:
+    """Appends a finished run to the store; runs are ordered by the time they are logged at."""
+    run_id, fitted, new = result.run_id, result.trained, store.spark.createDataFrame
+    settings = {"preprocessing": asdict(cfg.prepare), "feature_engineering": asdict(cfg.features),
+                "training": asdict(cfg.train), "evaluation": asdict(cfg.evaluate)}
+    best = fitted.leaderboard.where("position = 1").first()
+    facts = {**result.metrics, "best_score": best["cv_mean"] if best else None, "task_type": result.prepared.task,
+             "model_name": fitted.name, "deployment_decision": result.decision}
+    # a column's last drop is the one that counts
+    dropped = {d.column: d.reason for d in result.prepared.drops}
+    dropped |= {c: kind for _, kind, columns in result.features.log if kind in DROPPING for c in columns
+                if c not in result.features.selected}
+    store.log_run(run_id, time.time_ns() // 1000, settings, facts, result.features.selected, parent, reason)
+    store.log_params(run_id, fitted.params)
+    store.log_table("run_dropped", run_id, new(list(dropped.items()), "feature string, reason string"))
+    store.log_table("run_comparison", run_id, fitted.leaderboard)
+    if fitted.trials is not None:
+        store.log_table("run_trials", run_id, fitted.trials.withColumn("value", F.col("cv_mean")))
+    if fitted.curve is not None:
+        store.log_table("run_curve", run_id, fitted.curve)
 
 
 def _signal_counts(quality: DataFrame) -> dict[str, int]:

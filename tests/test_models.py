@@ -1,5 +1,6 @@
 """Models: invariants of fits, cross-validation, search, ensembles, scoring and history."""
 
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -118,6 +119,17 @@ def test_search_is_reproducible(rows):
     first = M.random_search(v, "id", spec, "regression", 3, QUICK)
     again = M.random_search(v, "id", spec, "regression", 3, QUICK)
     assert first[0].params == again[0].params and first[1].count() == 2
+    best = first[1].where("position = 1").first()
+    assert json.loads(best["params"]) == first[0].params
+
+
+def test_scores_without_rows_are_the_same(rows):
+    v, specs = vectors(rows, "c"), small_specs(["RandomForest", "LogisticRegression"], "classification")
+    kept = M.cross_validate(v, "id", specs, "classification", 3, QUICK)
+    bare = M.cross_validate(v, "id", specs, "classification", 3, QUICK, keep_rows=False)
+    assert bare.oof is None and sorted(bare.scores.collect()) == sorted(kept.scores.collect())
+    one = {r["fold"]: r["score"] for r in M.fold_scores(kept.oof, "m1_pred", "classification", "accuracy").collect()}
+    assert one == {r["fold"]: r["score"] for r in kept.scores.where("tag = 'm1'").collect()}
 
 
 @pytest.mark.parametrize("kind,target,task", [("voting", "c", "classification"),
@@ -154,6 +166,12 @@ def test_training_curve_and_class_weights(rows, spark):
     assert best["best_round"] == 3
     scaled = M.normalized_losses(curve).agg(F.min("scaled"), F.max("scaled")).first()
     assert tuple(scaled) == (0.0, 1.0)
+    three = vectors(rows, "c")
+    model = M.make_estimator(small_specs(["GradientBoosting"], "classification")[0],
+                             M.fit_context(three, "classification")).fit(three)
+    assert M.has_rounds(model)
+    losses = {(r["split"], r["round"]): r["loss"] for r in M.training_curve(model, three, three, "classification").collect()}
+    assert len(losses) == 6 and losses["train", 3] < losses["train", 1]
     w = M.with_class_weights(rows.withColumn("label", F.col("c").cast("double")))
     assert abs(w.agg(F.sum("weight")).first()[0] - 600) < 1e-9
 
@@ -173,7 +191,7 @@ def test_pick_best_and_ensemble_rule(spark):
 # --- the whole chain ---------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
-def trained(spark):
+def trained(spark, tmp_path_factory):
     rng = np.random.default_rng(1)
     n = 400
     a, b = rng.normal(size=n), rng.lognormal(size=n)
@@ -189,11 +207,27 @@ def trained(spark):
     with pytest.MonkeyPatch.context() as patch:  # small models: the test is about the chain
         patch.setattr(M, "default_params", lambda name, rows: {
             k: small.get(k, v) for k, v in given(name, rows).items()})
-        return df, run_automl(df, "id", "target", cfg)
+        store = H.RunStore(spark, str(tmp_path_factory.mktemp("store") / "runs"))
+        return df, run_automl(df, "id", "target", cfg, store, reason="first"), store
+
+
+def test_run_is_logged(trained):
+    _, r, store = trained
+    row = H.run_summary(*[store.read(t) for t in ("runs", "run_values", "run_metrics", "run_features", "run_params")]).first()
+    assert row["run_id"] == r.run_id and row["task_type"] == "classification"
+    assert row["model_name"] == r.trained.name and row["deployment_decision"] == r.decision
+    assert row["selected_features"] == sorted(r.features.selected) and row["r2"] is None
+    assert abs(row["accuracy"] - r.metrics["accuracy"]) < 1e-12
+    assert len(row["hyperparameters"]) == len(r.trained.params)
+    won = H.best_compared(store.read("run_comparison")).first()
+    assert won["candidates"] == r.trained.leaderboard.count() and won["best_cv_score"] == row["best_score"]
+    assert store.read("run_dropped").where("feature is null or reason is null").count() == 0
+    if r.trained.curve is not None:
+        assert store.read("run_curve").count() == r.trained.curve.count()
 
 
 def test_full_run(trained):
-    df, r = trained
+    df, r, _ = trained
     assert r.prepared.task == "classification" and r.decision in ("deploy", "iterate", "reject")
     assert r.metrics["accuracy"] > r.metrics["baseline_accuracy"]
     assert 0.5 < r.metrics["roc_auc"] <= 1
@@ -202,7 +236,7 @@ def test_full_run(trained):
 
 
 def test_scoring_raw_rows_batch_and_stream(trained, spark, tmp_path):
-    df, r = trained
+    df, r, _ = trained
     # the raw rows of the training split pass validation and give the same predictions as training did
     train_ids = r.prepared.frame.where("split = 'train'").select("id")
     raw = df.join(train_ids, "id", "left_semi").drop("target")
@@ -222,7 +256,7 @@ def test_scoring_raw_rows_batch_and_stream(trained, spark, tmp_path):
 
 
 def test_scorer_agrees_with_test_predictions(trained):
-    df, r = trained
+    df, r, _ = trained
     raw = df.join(r.predictions.select("id"), "id", "left_semi").drop("target")
     again = {x["id"]: x["prediction"] for x in r.scorer.score(raw, ["id"]).collect()}
     names = {0.0: "no", 1.0: "yes"}

@@ -7,6 +7,11 @@ fit, it takes the one whose demand has the largest dot product with the sequence
 dimension weighed by its mean demand. Equal demands are one class with a count, so a step costs at
 most `capacity` comparisons whatever the group's size.
 
+A token bears loss unless a piece starts with it. Where `loss_spans` names a column of spans (start, length in characters, as
+op6 writes them), a token also needs to start inside one of its document's spans; a null list has none.
+
+Added tokens of the tokenizer file are recognised inside a text, as its own library does.
+
 Defined cases: a null or empty text is one piece holding only the end id; a null doc_id stays null;
 repeated rows are packed once each; an empty table gives an empty result; further columns are ignored.
 """
@@ -46,15 +51,36 @@ def encoder(path: str):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with matching rules of their own are not supported")
         ranks = {bytes(byte_of[c] for c in token): i
                  for token, i in spec["model"]["vocab"].items() if token not in special}
         _encoders[path] = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN,
-                                            mergeable_ranks=ranks, special_tokens={})
+                                            mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
-def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
+def ids_of(enc, text: str) -> np.ndarray:
+    """The text's ids and the end id."""
+    return np.append(enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()), END_ID).astype("<u4")
+
+
+def under_loss(enc, text: str, ids: np.ndarray, spans) -> np.ndarray:
+    """Which ids start inside a span of (start, length) characters; the end id is in none."""
+    size = [len(enc.decode_single_token_bytes(int(i))) for i in ids[:-1]]
+    starts = np.cumsum([0, *size])[:len(size)]
+    # the byte that each character starts at, and the text's end
+    lead = np.frombuffer(text.encode("utf-8") + b" ", np.uint8)
+    at = np.flatnonzero((lead & 0xC0) != 0x80)
+    bears = np.zeros(len(ids), bool)
+    for s in spans or ():
+        low, high = (min(max(int(v), 0), len(at) - 1) for v in (s["start"], s["start"] + s["length"]))
+        bears[:-1] |= (starts >= at[low]) & (starts < at[high])
+    return bears
+
+
+def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, loss_spans: str | None = None) -> DataFrame:
     """One row per piece of each document: where it starts, its length, checksum and loss-bearing tokens.
 
     A piece's first token is predicted from nothing, so it bears no loss."""
@@ -64,17 +90,21 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame
         for batch in batches:
             for part in slices(batch, ["doc_id", "text"]):
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.append(enc.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
+                spans = part.column(2).to_pylist() if loss_spans else [None] * part.num_rows
+                for doc_id, text, own_spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), spans):
+                    ids = ids_of(enc, text or "")
+                    bears = under_loss(enc, text or "", ids, own_spans) if loss_spans else None
                     for s in range(0, len(ids), capacity):
                         own = ids[s:s + capacity]
-                        rows.append((doc_id, s, len(own), zlib.crc32(own.tobytes()), len(ids), len(own) - 1))
+                        loss = len(own) - 1 if bears is None else int(bears[s + 1:s + capacity].sum())
+                        rows.append((doc_id, s, len(own), zlib.crc32(own.tobytes()), len(ids), loss))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss"])
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    extra = [F.col(loss_spans)] if loss_spans else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *extra).mapInArrow(run, PIECES)
 
 
 def fill(length: np.ndarray, loss: np.ndarray, capacity: int, segments: int, loss_cap: int):
@@ -130,6 +160,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, segments: int = 64, loss_cap:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, segments: int = 64,
-                   loss_cap: int = 2048) -> DataFrame:
-    pieces = settle(cut(docs, tokenizer_path, capacity), "pieces")
+                   loss_cap: int = 2048, loss_spans: str | None = None) -> DataFrame:
+    pieces = settle(cut(docs, tokenizer_path, capacity, loss_spans), "pieces")
     return pack(pieces, capacity, segments, loss_cap)

@@ -720,13 +720,25 @@ def run_metadata_sink(spark, sf):
     return round_doubles(spark.read.parquet(path))
 
 
-@query("automl_end_to_end")
-def automl_end_to_end(spark, sf):
-    """All stages on orders with the planted label, dates included, in single-model mode: the preferred
-    candidate with its default settings on all folds. Comparison and search have queries of their own."""
-    cfg = AutoMLConfig(train=TrainConfig(optimize=False, multi_model=False, parallelism=4))
-    d = ord_lab(spark, sf).drop("y")
-    r = run_automl(d, KEY, "label", cfg)
+def _end_to_end(spark, sf, **train):
+    r = run_automl(ord_lab(spark, sf).drop("y"), KEY, "label", AutoMLConfig(train=TrainConfig(parallelism=4, **train)))
     rows = [(k, float(v)) for k, v in r.metrics.items() if v is not None]
     rows += [(f"importance:{k}", v) for k, v in r.importance.items()]
+    rows += [(f"candidate:{b['model']}", b["cv_mean"]) for b in r.trained.leaderboard.collect()]
+    if r.trained.trials is not None:
+        rows += [(f"trials:{t['model']}", float(t["count"])) for t in r.trained.trials.groupBy("model").count().collect()]
+    rows += [("ensemble_members", float(len(r.trained.ensemble or [])))]
     return spark.createDataFrame(rows, "metric string, value double")
+
+
+@query("automl_end_to_end")
+def automl_end_to_end(spark, sf):
+    """All stages on orders with the planted label, dates included, with the default settings: every candidate is
+    searched with all trials and compared."""
+    return _end_to_end(spark, sf)
+
+
+@query("automl_ensemble_end_to_end")
+def automl_ensemble_end_to_end(spark, sf):
+    """The same with the ensemble on: the best candidates are combined where that scores higher."""
+    return _end_to_end(spark, sf, ensemble=True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, binpack, chat, curriculum, merkle, outliers, simhash, suffix, textcnn, urltree
+from . import (ann, binpack, chat, convfix, curriculum, merkle, outliers, periods, simhash, sketches, suffix, textcnn,
+               urltree)
 from tabloom.functions.scratch import settle
 
 from .common import table
@@ -75,8 +76,22 @@ def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(archive.select("file", "offset", "length", "digest"), replica)
 
 
+def op11_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return convfix.report(rows, convfix.damage(rows))
+
+
 QUERIES = {f.__name__: f for f in (op1_pruned_graph, op2_suffix_dedup, op3_mcd_outliers, op4_url_templates, op5_curriculum_mix, op6_chat_format, op7_simhash,
-                                  op8_quality_cnn, op9_vector_packing, op10_merkle_fixity)}
+                                  op8_quality_cnn, op9_vector_packing, op10_merkle_fixity, op11_lookup_sketch,
+                                  op12_periodic_runs, op13_repair)}
 
 
 def _chat_sql() -> str:
@@ -116,4 +131,5 @@ SELECT file, "offset", CASE WHEN turn = 500 THEN 'missing' ELSE 'changed' END AS
                                          || substr(record, instr(record, 'o') + 1)) END AS found
 FROM placed WHERE turn = 500 OR (turn < 3 AND contains(record, 'o'))"""
 
-ORACLES = {"op10_merkle_fixity": MERKLE_SQL, "op5_curriculum_mix": curriculum.mix_sql(), "op6_chat_format": _chat_sql()}
+ORACLES = {"op10_merkle_fixity": MERKLE_SQL, "op5_curriculum_mix": curriculum.mix_sql(), "op6_chat_format": _chat_sql(),
+           "op13_repair": convfix.repair_sql()}

@@ -37,6 +37,7 @@ class ScaleLimits:
     rows_per_bucket: int = 200_000            # target rows per ordering bucket
     small_table_rows: int = 100_000           # rows a single window task may rank
     correlation_columns: int = 20             # columns handled by one fused aggregate
+    tree_block_bytes: int = 32_000_000        # binned rows that a task may hold as a whole
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Candidate models on Spark ML: specs, fitting, cross-validation, search and comparison.
+"""Candidate models: specs, fitting, cross-validation, search and comparison.
 
 Folds are a column. One cross-validation fits each candidate once per fold and writes a single
 wide out-of-fold table (a prediction and a probability column per candidate); scores, the
@@ -19,19 +19,19 @@ from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression,
-                                       OneVsRest, OneVsRestModel, RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import TrainConfig
 from ..functions.columns import ref
 from ..functions.lookups import lookup
 from ..functions.scratch import settle
+from . import trees as T
 from .evaluate import (confusion_counts, probabilities_from_margin, probabilities_from_margins,
                        regression_metrics, weighted_scores)
+from .ridge import RidgeLearner, fold_grams, held_scores, solve_without
 
 
 # --- candidates --------------------------------------------------------------------------
@@ -194,48 +194,43 @@ class FitContext:
     weight_col: str | None = None
 
 
-def _subset(value: Any) -> str:
-    """Feature-subset setting of a forest from a name or a share."""
-    if isinstance(value, float) and 0 < value < 1:
-        return str(value)
-    return value if value in ("sqrt", "log2", "all") else "all"
-
-
 #: Models that class weights reach; boosted models and regressors learn without.
 WEIGHTED = ("LogisticRegression", "RandomForest", "SVM")
+TREES = ("RandomForest", "GradientBoosting", "XGBoost", "LightGBM")
+
+
+def tree_params(spec: Spec, task: str, seed: int = 42) -> T.TreeParams:
+    """The settings of a tree model; each of the boosted names keeps its own defaults of regularisation."""
+    p, name = spec.params, spec.name
+    common = {"trees": int(p.get("n_estimators", 100)), "depth": min(int(p.get("max_depth", 5)), 30), "seed": seed}
+    if name == "RandomForest":
+        columns = p.get("max_features", "sqrt" if task == "classification" else "all")
+        return T.TreeParams(False, columns=1.0 if columns == "all" else columns, least_rows=int(p.get("min_samples_leaf", 1)), **common)
+    boosted = common | {"rate": float(p.get("learning_rate", 0.1)), "rows": float(p.get("subsample", 1.0)),
+                        "columns": float(p.get("colsample_bytree", 1.0)), "l1": float(p.get("reg_alpha", 0.0))}
+    if name == "XGBoost":
+        return T.TreeParams(True, l2=float(p.get("reg_lambda", 1.0)), least_weight=float(p.get("min_child_weight", 1)),
+                            least_gain=float(p.get("gamma", 0.0)), **boosted)
+    if name == "LightGBM":
+        return T.TreeParams(True, leaves=int(p.get("num_leaves", 31)), least_rows=int(p.get("min_child_samples", 20)),
+                            least_weight=1e-3, l2=float(p.get("reg_lambda", 0.0)), **boosted)
+    return T.TreeParams(True, least_rows=int(p.get("min_samples_leaf", 1)), **boosted)
 
 
 def make_estimator(spec: Spec, ctx: FitContext):
-    """Spark ML estimator for a spec. Boosted variants share Spark's gradient-boosted trees,
-    margin models its linear ones; binary-only learners are wrapped one-vs-rest."""
+    """The learner for a spec: histogram trees, ridge by its normal equations, or a Spark ML estimator. Margin models
+    are linear; binary-only learners are wrapped one-vs-rest."""
     p, name = spec.params, spec.name
     cols = {"featuresCol": "features", "labelCol": "label"}
     weight = {"weightCol": ctx.weight_col} if ctx.weight_col and name in WEIGHTED else {}
-    classify = ctx.task == "classification"
-    depth = min(int(p.get("max_depth", 5)), 30)
-    leaf = int(p.get("min_samples_leaf", p.get("min_child_samples", 1)))
-    if name == "RandomForest":
-        kind = RandomForestClassifier if classify else RandomForestRegressor
-        return kind(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth, seed=ctx.seed,
-                    minInstancesPerNode=leaf, subsamplingRate=1.0,
-                    featureSubsetStrategy=_subset(p.get("max_features", "sqrt" if classify else "all")),
-                    **cols, **weight)
-    if name in ("GradientBoosting", "XGBoost", "LightGBM"):
-        kind = GBTClassifier if classify else GBTRegressor
-        gbt = kind(maxIter=int(p.get("n_estimators", 100)), maxDepth=depth, seed=ctx.seed,
-                   stepSize=float(p.get("learning_rate", 0.1)), minInstancesPerNode=leaf,
-                   subsamplingRate=float(p.get("subsample", 1.0)),
-                   minInfoGain=float(p.get("gamma", 0.0)),
-                   featureSubsetStrategy=_subset(p.get("colsample_bytree", "all")), **cols, **weight)
-        return OneVsRest(classifier=gbt, **cols, **weight) if classify and ctx.classes > 2 else gbt
+    if name in TREES:
+        return T.TreeLearner(tree_params(spec, ctx.task, ctx.seed), ctx.task)
+    if name == "Ridge":
+        return RidgeLearner(float(p.get("alpha", 1.0)))
     if name == "LogisticRegression":
         return LogisticRegression(regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)),
                                   maxIter=int(p.get("max_iter", 1000)), standardization=False,
                                   **cols, **weight)
-    if name == "Ridge":
-        return LinearRegression(solver="normal", standardization=False, elasticNetParam=0.0,
-                                regParam=float(p.get("alpha", 1.0)) * ctx.label_std / max(ctx.rows, 1),
-                                **cols, **weight)
     if name == "SVM":
         svm = LinearSVC(regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)), maxIter=100,
                         **cols, **weight)
@@ -335,47 +330,101 @@ def _fold_contexts(data: DataFrame, ctx: FitContext, folds: int) -> list[FitCont
 
 def cross_validate(data: DataFrame, row_key: str, specs: Sequence[Spec], task: str, folds: int,
                    cfg: TrainConfig = TrainConfig(), metric: str | None = None,
-                   prefixes: Sequence[str] | None = None, keep_rows: bool = True) -> CrossValidation:
-    """`data` holds row_key, label, features and fold.
+                   prefixes: Sequence[str] | None = None, keep_rows: bool = True,
+                   binned: T.Binned | None = None) -> CrossValidation:
+    """`data` holds row_key, label, features and fold; `binned` its rows from trees.bin_rows, if they are there already.
 
-    Without `keep_rows` no out-of-fold rows are written: each fold's held-out rows are summed up where they
-    are scored, and only the fold scores stay. A candidate whose learner fails is left out and named in `failed`; other faults are raised.
+    All tree fits of all folds share their passes, and all ridge fits one Gram matrix per fold. Without `keep_rows` no
+    out-of-fold rows are written: each fold's held-out rows are summed up where they are scored, and only the fold
+    scores stay. A candidate whose learner fails is left out and named in `failed`; other faults are raised.
     """
     metric = metric or scoring_metric(task, cfg)
-    ctx = fit_context(data, task, cfg.seed, "weight" if "weight" in data.columns else None)
-    contexts = _fold_contexts(data, ctx, folds)
     tags = list(prefixes or [f"m{i}" for i in range(len(specs))])
     failed: dict[str, str] = {}
-
-    def job(i: int, k: int):
-        def run():
-            try:
-                train = data.where(F.col("fold") != k)
-                return make_estimator(specs[i], contexts[k]).fit(train)
-            except (IllegalArgumentException, Py4JJavaError) as e:
-                # the learner refused these rows: reported, and left out of the comparison
-                failed[tags[i]] = f"{type(e).__name__}: {e}"
-                return None
-        return run
-
-    todo = [(i, k) for k in range(folds) for i in range(len(specs))]
-    fitted = dict(zip(todo, fit_all([job(i, k) for i, k in todo], cfg.parallelism)))
-    good = [i for i in range(len(specs)) if all(fitted[i, k] is not None for k in range(folds))]
+    trees, ridges, others = _by_learner(specs, tags, task, cfg, failed)
+    parts: list[DataFrame] = []
+    fitted: dict[tuple[int, int], Any] = {}
+    if trees:
+        binned = binned or T.bin_rows(data, row_key, task)
+        fits = [T.Fit(tags[i], tree_params(specs[i], task, cfg.seed), k) for i in trees for k in range(folds)]
+        if keep_rows:
+            fitted |= dict(zip([(i, k) for i in trees for k in range(folds)], T.fit_models(binned, fits)))
+        else:
+            parts.append(_held_scores(T.held_out(binned, fits), {tags[i]: specs[i].name for i in trees}, task, metric))
+    if ridges:
+        grams = fold_grams(data)
+        if keep_rows:
+            fitted |= {(i, k): solve_without(grams, k, [float(specs[i].params.get("alpha", 1.0))])[0]
+                       for i in ridges for k in range(folds)}
+        else:
+            found = held_scores(grams, folds, {tags[i]: float(specs[i].params.get("alpha", 1.0)) for i in ridges})
+            names = {tags[i]: specs[i].name for i in ridges}
+            parts.append(data.sparkSession.createDataFrame(
+                [(names[t], t, k, s) for t, k, s in found], "model string, tag string, fold int, score double"))
+    if others:
+        ctx = fit_context(data, task, cfg.seed, "weight" if "weight" in data.columns else None)
+        contexts = _fold_contexts(data, ctx, folds)
+
+        def job(i: int, k: int):
+            def run():
+                try:
+                    return make_estimator(specs[i], contexts[k]).fit(data.where(F.col("fold") != k))
+                except (IllegalArgumentException, Py4JJavaError) as e:
+                    # the learner refused these rows: reported, and left out of the comparison
+                    failed[tags[i]] = f"{type(e).__name__}: {e}"
+                    return None
+            return run
+
+        todo = [(i, k) for k in range(folds) for i in others]
+        fitted |= dict(zip(todo, fit_all([job(i, k) for i, k in todo], cfg.parallelism)))
+    good = [i for i in range(len(specs)) if tags[i] not in failed]
     if not good:
         raise RuntimeError(f"every candidate failed: {failed}")
-    parts = []
-    for k in range(folds):
-        held = data.where(F.col("fold") == k).select(ref(row_key), "label", "fold", "features")
-        for i in good:
-            held = add_scores(held, fitted[i, k], tags[i])
-        parts.append(held.drop("features"))
-    names = [specs[i].name for i in good]
-    oof = reduce(DataFrame.unionByName, parts)
-    if keep_rows:
-        oof = settle(oof, "oof")
-    scores = settle(candidate_scores(oof, {tags[i]: specs[i].name for i in good}, task, metric),
-                    "fold-scores")
-    return CrossValidation(oof if keep_rows else None, scores, names, failed)
+    scored = sorted({i for i, _ in fitted} & set(good))
+    oof = None
+    if scored:
+        held_out = []
+        for k in range(folds):
+            held = data.where(F.col("fold") == k).select(ref(row_key), "label", "fold", "features")
+            for i in scored:
+                held = add_scores(held, fitted[i, k], tags[i])
+            held_out.append(held.drop("features"))
+        oof = reduce(DataFrame.unionByName, held_out)
+        if keep_rows:
+            oof = settle(oof, "oof")
+        parts.append(candidate_scores(oof, {tags[i]: specs[i].name for i in scored}, task, metric))
+    scores = settle(reduce(DataFrame.unionByName, parts), "fold-scores")
+    return CrossValidation(oof if keep_rows else None, scores, [specs[i].name for i in good], failed)
+
+
+def _by_learner(specs: Sequence[Spec], tags: Sequence[str], task: str, cfg: TrainConfig,
+                failed: dict[str, str]) -> tuple[list[int], list[int], list[int]]:
+    """Places of the specs that share tree passes, that share Gram matrices, and of the rest; trees that cannot grow are
+    entered in `failed`."""
+    trees, ridges, others = [], [], []
+    for i, s in enumerate(specs):
+        if s.name in TREES:
+            try:
+                tree_params(s, task, cfg.seed).check()
+                trees.append(i)
+            except ValueError as e:
+                failed[tags[i]] = f"ValueError: {e}"
+        else:
+            (ridges if s.name == "Ridge" else others).append(i)
+    return trees, ridges, others
+
+
+def _held_scores(outcome: DataFrame, names: Mapping[str, str], task: str, metric: str) -> DataFrame:
+    """(model, tag, fold, score) from the summed outcomes of held-out rows."""
+    if task == "classification":
+        text = outcome.withColumns({c: F.col(c).cast("string") for c in ("label", "prediction")})
+        scores = weighted_scores(text, ["tag", "fold"]).select("tag", "fold", F.col(metric).alias("score"))
+    else:
+        r2 = F.when(F.col("spread") > 0, 1 - F.try_divide(F.col("mse"), F.col("spread"))).otherwise(
+            F.when(F.col("mse") == 0, 1.0).otherwise(0.0))
+        scores = outcome.select("tag", "fold", r2.alias("score"))
+    model = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("tag"))
+    return scores.select(model.alias("model"), "tag", F.col("fold").cast("int").alias("fold"), "score")
 
 
 def _group_scores(rows: DataFrame, groups: Sequence[str], task: str, metric: str) -> DataFrame:
@@ -446,7 +495,7 @@ def sample_params(space: Mapping[str, tuple], rng: random.Random) -> dict[str, A
 
 
 def random_search(data: DataFrame, row_key: str, spec: Spec, task: str, folds: int,
-                  cfg: TrainConfig = TrainConfig()) -> tuple[Spec, DataFrame]:
+                  cfg: TrainConfig = TrainConfig(), binned: T.Binned | None = None) -> tuple[Spec, DataFrame]:
     """Best of the seeded random trials (all in one cross-validation, no rows written) and the trial table
     with each trial's parameters as JSON."""
     rng = random.Random(cfg.seed)
@@ -454,7 +503,7 @@ def random_search(data: DataFrame, row_key: str, spec: Spec, task: str, folds: i
     for _ in range(cfg.n_trials):
         trials.append(replace(spec, params={**spec.params, **sample_params(spec.space, rng)}))
     tags = [f"t{i}" for i in range(len(trials))]
-    cv = cross_validate(data, row_key, trials, task, folds, cfg, prefixes=tags, keep_rows=False)
+    cv = cross_validate(data, row_key, trials, task, folds, cfg, prefixes=tags, keep_rows=False, binned=binned)
     params = data.sparkSession.createDataFrame(
         [(t, json.dumps(s.params, sort_keys=True)) for t, s in zip(tags, trials)], "trial string, params string")
     # one row per trial on both sides
@@ -493,27 +542,14 @@ def fit_single(train: DataFrame, test: DataFrame, spec: Spec, task: str,
 
 def has_rounds(model) -> bool:
     """Whether a fitted model was boosted in rounds, so that it has a training curve."""
-    inner = model.models[0] if isinstance(model, OneVsRestModel) and model.models else model
-    return isinstance(inner, (GBTClassificationModel, GBTRegressionModel))
-
-
-def training_curve(model, train: DataFrame, test: DataFrame, task: str) -> DataFrame:
-    """(round, split, loss) of a boosted model; one pass per split evaluates every round.
-
-    With more than two classes there is one boosted model per class, told apart from the rest; a round's loss
-    is then the mean over the classes, as far as each was boosted."""
-    rows = []
-    for name, df in (("train", train), ("test", test)):
-        if isinstance(model, OneVsRestModel):
-            each = [m.evaluateEachIteration(df.withColumn(
-                m.getLabelCol(), (F.col("label") == k).cast("double"))) for k, m in enumerate(model.models)]
-            rounds = [[e[i] for e in each if i < len(e)] for i in range(max(map(len, each)))]
-            losses = [sum(r) / len(r) for r in rounds]
-        elif task == "classification":
-            losses = model.evaluateEachIteration(df)
-        else:
-            losses = model.evaluateEachIteration(df, "squared")
-        rows += [(i + 1, name, float(x)) for i, x in enumerate(losses)]
+    return isinstance(model, T.TreeModel) and model.rounds > 0
+
+
+def training_curve(model: T.TreeModel, train: DataFrame, test: DataFrame, task: str) -> DataFrame:
+    """(round, split, loss) of a boosted model: mean squared error, or mean log loss over all classes. One pass per split
+    evaluates every round."""
+    rows = [(i + 1, name, float(x)) for name, df in (("train", train), ("test", test))
+            for i, x in enumerate(model.losses(df))]
     return train.sparkSession.createDataFrame(rows, "round int, split string, loss double")
 
 

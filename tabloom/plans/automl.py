@@ -17,7 +17,7 @@ from ..functions.lookups import lookup
 from ..functions.scratch import settle
 from ..operators import checks as C, encode as E, evaluate as V, features as X, history as H, models as M
 from ..operators import prepare as P, quality as Q, rows as R, scale as Z, score as S, split as G
-from ..operators import types as T
+from ..operators import trees as TR, types as T
 from ..operators.explain import model_importance
 from ..operators.profile import class_balance
 
@@ -262,20 +262,23 @@ def train(vectors: DataFrame, row_key: str, specs: Sequence[M.Spec], task: str,
     folded = settle(G.assign_folds(fit_rows, row_key, folds,
                                    "label" if task == "classification" else None, t.seed), "folds")
     specs = list(specs) if t.multi_model else list(specs)[:1]
-    trials = None
+    trials, binned = None, {}
+    inner = max(2, G.search_folds(folds, rows))
+    if any(s.name in M.TREES for s in specs):  # rows are binned once for all fits on the same folds
+        binned[folds] = TR.bin_rows(folded, row_key, task)
     if t.optimize and t.n_trials > 0:
+        search_rows = folded if inner == folds else settle(folded.withColumn("fold", F.col("fold") % inner), "search-folds")
+        if binned and inner != folds:
+            binned[inner] = TR.bin_rows(search_rows, row_key, task)
         tuned, boards = [], []
         for s in specs:
-            inner = max(2, G.search_folds(folds, rows))
-            search_rows = folded if inner == folds else folded.withColumn(
-                "fold", F.col("fold") % inner)
-            found, board = M.random_search(search_rows, row_key, s, task, inner, t) if s.space else (s, None)
+            found, board = M.random_search(search_rows, row_key, s, task, inner, t, binned.get(inner)) if s.space else (s, None)
             tuned.append(found)
             if board is not None:
                 boards.append(board.withColumn("model", F.lit(s.name)))
         specs = tuned
         trials = reduce(DataFrame.unionByName, boards) if boards else None
-    cv = M.cross_validate(folded, row_key, specs, task, folds, t, metric)
+    cv = M.cross_validate(folded, row_key, specs, task, folds, t, metric, binned=binned.get(folds))
     board = settle(M.leaderboard(cv.scores, by="tag").join(
         cv.scores.select("tag", "model").distinct(), "tag"), "leaderboard")
     shown = M.with_failures(board, cv.failed)

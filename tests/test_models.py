@@ -18,7 +18,7 @@ QUICK = TrainConfig(cv_folds=3, n_trials=2, parallelism=4)
 
 def small_specs(names, task, cfg=QUICK):
     """Specs whose models are small, for tests that are about what stands around the fits."""
-    small = {"n_estimators": 3, "max_depth": 3, "max_iter": 20}
+    small = {"n_estimators": 3, "max_depth": 3, "max_iter": 20, "learning_rate": 0.3}
     return [replace(s, params={k: small.get(k, v) for k, v in s.params.items()})
             for s in M.build_specs(names, task, 600, cfg)]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
@@ -15,7 +16,7 @@ from ..operators import encode as E, features as X, history as H, models as M, p
 from ..operators import score as S, split as G
 from ..operators.explain import importance_table as importance_rows, model_importance
 from ..plans.automl import run_automl
-from ..sources.tables import append_run_metadata, load_model, save_model
+from ..sources.tables import append_run_metadata
 from ..streaming.scoring import score_files
 from .registry import query
 from .views import ord_, ord_dirty, ord_lab, sql, table, union
@@ -482,29 +483,60 @@ def stream_score(spark, sf):
     return _agreement(spark.read.parquet(out), d, scorer)
 
 
-@query("model_roundtrip", _AGREES)
+@query("model_roundtrip", "SELECT name, count(*) AS n_rows, CAST(0 AS BIGINT) AS mismatches FROM orders JOIN customer ON "
+                          "o_custkey = c_custkey, (VALUES ('RandomForest'), ('XGBoost'), ('LogisticRegression')) AS m(name) GROUP BY name")
 def model_roundtrip(spark, sf):
-    """A stored and reloaded model against the one that was stored, row by row."""
-    from pyspark.ml import Pipeline
+    """Stored and reloaded models against those that were stored, row by row: a forest, boosted trees, a Spark ML model."""
     data = _data(spark, sf)
-    est = M.make_estimator(_specs(["RandomForest"], data)[0], M.fit_context(data, "classification"))
-    model = Pipeline(stages=[est]).fit(data)
-    path = scratch_path(spark, "model")
-    save_model(model, path)
-    a = model.transform(data).select("row_key", F.col("prediction").alias("a"))
-    b = load_model(path).transform(data).select("row_key", F.col("prediction").alias("b"))
-    return a.join(b, "row_key", "full").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("a").eqNullSafe(F.col("b")), 0).otherwise(1)), F.lit(0)).alias("mismatches"))
+    ctx, out = M.fit_context(data, "classification"), []
+    for spec in _specs(["RandomForest", "XGBoost", "LogisticRegression"], data):
+        model, path = M.make_estimator(spec, ctx).fit(data), scratch_path(spark, "model")
+        S.save_model_data(model, path, spark)
+        a = model.transform(data).select("row_key", F.col("prediction").alias("a"))
+        b = S.load_model_data(path, spark).transform(data).select("row_key", F.col("prediction").alias("b"))
+        out.append(a.join(b, "row_key", "full").agg(
+            F.lit(spec.name).alias("name"), F.count(F.lit(1)).alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("a").eqNullSafe(F.col("b")), 0).otherwise(1)), F.lit(0)).alias("mismatches")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _run_scorer(spark, sf, **train):
+    """Raw rows and the scorer of a run on them: dates, rare levels, logs, derived columns and codes included."""
+    d = ord_lab(spark, sf).drop("y")
+    cfg = AutoMLConfig(train=TrainConfig(parallelism=4, optimize=False, **train))
+    return d.drop("label"), run_automl(d, KEY, "label", cfg).scorer
+
+
+def _roundtrip(spark, rows, scorer):
+    """Rows scored by a scorer, and those that differ after it was stored and read into a fresh object."""
+    path = scratch_path(spark, "scorer")
+    S.save_scorer(scorer, path)
+    again = S.load_scorer(spark, path)
+    both = [s.score(rows, [KEY]).select(ref(KEY), F.struct("prediction", F.transform_values("probabilities", lambda k, v: F.round(v, 9)).alias("p")).alias(n))
+            for s, n in ((scorer, "a"), (again, "b"))]
+    same = F.coalesce((F.col("a.prediction") == F.col("b.prediction")) & (F.map_entries("a.p") == F.map_entries("b.p")), F.lit(False))
+    return both[0].join(both[1], KEY, "full").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.when(same, 0).otherwise(1)), F.lit(0)).alias("mismatches"))
 
 
 @query("scorer_roundtrip", _AGREES)
 def scorer_roundtrip(spark, sf):
-    """A scorer stored with its schema and level tables, reloaded, scoring all raw rows."""
-    d, scorer = _scorer(spark, sf)
-    path = scratch_path(spark, "scorer")
-    S.save_scorer(scorer, path)
-    return _agreement(S.load_scorer(spark, path).predict_batch(d, [KEY]), d, scorer)
+    """The scorer of a real run, stored with its fitted plan, model and tables, reloaded, scoring all raw rows."""
+    return _roundtrip(spark, *_run_scorer(spark, sf))
+
+
+@query("ensemble_roundtrip", _AGREES)
+def ensemble_roundtrip(spark, sf):
+    """The same with an ensemble in the scorer: every member and the meta-learner are stored."""
+    data = _data(spark, sf)
+    folded = settle(G.assign_folds(data.where("split = 'train'").drop("split"), "row_key", 3, "label"), "folds")
+    specs = [replace(s, params={**s.params, "n_estimators": 20}) for s in _specs(["RandomForest", "XGBoost"], folded)]
+    cfg = replace(_DEFAULTS, ensemble_type="stacking")
+    cv = M.cross_validate(folded, "row_key", specs, "classification", 3, cfg)
+    made = M.build_ensemble(folded.drop("fold"), cv, specs, ["m0", "m1"], "classification", cfg)
+    d = ord_lab(spark, sf).withColumn("priority", F.substring("o_orderpriority", 1, 1).cast("int"))
+    schema = S.fit_serving_schema(d, _FEATURES, [], _FEATURES)
+    return _roundtrip(spark, d, S.Scorer(schema, made, "classification", ["0", "1"]))
 
 
 # --- run history -------------------------------------------------------------------------

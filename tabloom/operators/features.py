@@ -249,6 +249,15 @@ class PcaPlan:
     center: StandardScalerModel
     model: PCAModel
 
+    @property
+    def means(self) -> list[float]:
+        return [float(x) for x in self.center.mean.toArray()]
+
+    @property
+    def weights(self) -> list[list[float]]:
+        """One list of column weights per component."""
+        return [[float(x) for x in column] for column in self.model.pc.toArray().T]
+
     @property
     def cumulative(self) -> list[float]:
         return [sum(self.explained[:i + 1]) for i in range(len(self.explained))]

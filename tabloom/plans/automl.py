@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from typing import Any
@@ -19,12 +19,10 @@ from ..operators import checks as C, encode as E, evaluate as V, features as X,
 from ..operators import prepare as P, quality as Q, rows as R, scale as Z, score as S, split as G
 from ..operators import trees as TR, types as T
 from ..operators.explain import model_importance
+from ..operators.plan import Cleaning, Components, DateParts, Derived, FittedPlan, Logs, RareGroups, ShiftedLogs
 from ..operators.profile import class_balance
 
 
-Step = Callable[[DataFrame], DataFrame]
-
-
 @dataclass
 class Prepared:
     """Result of the preparation stage."""
@@ -43,7 +41,10 @@ class Prepared:
     scaler: str
     date_parts: dict[str, list[str]]
     inputs: tuple[list[str], list[str]]  # raw numeric and other columns the kept features need
-    apply: Step                          # the fitted steps on new raw rows
+    plan: FittedPlan                     # the fitted steps, for new raw rows too
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return self.plan.apply(rows)
 
 
 def prepare(df: DataFrame, row_key: str, target: str, cfg: PrepareConfig = PrepareConfig(),
@@ -82,24 +83,18 @@ def prepare(df: DataFrame, row_key: str, target: str, cfg: PrepareConfig = Prepa
     text = categorical + binary
     medians, modes = P.fit_medians(train, numeric), P.fit_modes(train, text)
 
-    def clean(frame):
-        return P.apply_cleaning(frame, numeric, text, medians, modes)
-
-    clean_train = clean(train)
+    cleaning = Cleaning(numeric, text, medians, modes)
+    clean_train = cleaning.apply(train)
     rare_plans = [p for p in (P.fit_rare(clean_train, c, cfg) for c in categorical) if p] \
         if cfg.rare_category_grouping else []
     grouped_train = P.apply_rare(clean_train, rare_plans)
     logged = P.skewed_columns(grouped_train, numeric, cfg.skew_threshold)
     scaler = Z.choose_scaler(grouped_train, numeric, cfg)
 
-    def finish(frame):
-        return P.apply_logs(P.apply_rare(clean(frame), rare_plans), logged)
-
-    ready = settle(finish(split), "prepared")
-
-    def apply_raw(rows):
-        expanded = P.apply_dates(rows, {c: p for c, p in date_plan.items() if c in rows.columns})
-        return finish(expanded)
+    # few rare levels are listed in the plan, many stay a table
+    finish = FittedPlan([cleaning, *[RareGroups(p.column, p.inline, p.table if p.inline is None else None) for p in rare_plans],
+                         Logs(logged)])
+    ready = settle(finish.apply(split), "prepared")
 
     raw = [c for c in df.columns if c in kept
            or any(f"{c}__{p}" in kept for p in date_plan.get(c, ()))]
@@ -118,7 +113,7 @@ def prepare(df: DataFrame, row_key: str, target: str, cfg: PrepareConfig = Prepa
         encoded = Z.apply_scaler(matrix, scaling)
     return Prepared(ready, encoded, task, types, drops, strategy, medians, modes,
                     [p.column for p in rare_plans], logged, encoding, scaler.scaler, date_plan,
-                    inputs, apply_raw)
+                    inputs, FittedPlan([DateParts(date_plan)]) + finish)
 
 
 @dataclass
@@ -132,10 +127,13 @@ class Engineered:
     generated: list[str]
     scores: dict[str, float]
     log: list[tuple[int, str, list[str]]]
-    apply: Step                          # the fitted steps on new prepared rows
+    plan: FittedPlan                     # the fitted steps, for new prepared rows too
     shifts: dict[str, float] = field(default_factory=dict)
     explained: list[float] | None = None
 
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return self.plan.apply(rows)
+
     def log_frame(self) -> DataFrame:
         return self.frame.sparkSession.createDataFrame(
             self.log, "seq int, type string, columns array<string>")
@@ -173,19 +171,20 @@ def engineer(df: DataFrame, row_key: str, target: str, task: str,
     medians, modes = P.fit_medians(fit_rows(df), numeric), P.fit_modes(fit_rows(df), text)
     note("numeric_imputation", list(medians))
     note("categorical_imputation", list(modes))
-    frame = P.apply_cleaning(df.select(ref(row_key), ref(target), *[ref(k) for k in keep],
-                                       *[ref(c) for c in columns]), numeric, text, medians, modes)
+    steps: list = [Cleaning(list(numeric), text, medians, modes)]
+    frame = steps[0].apply(df.select(ref(row_key), ref(target), *[ref(k) for k in keep], *[ref(c) for c in columns]))
     shifts = P.fit_shifted_logs(fit_rows(frame), numeric)
     note("log1p_transform", list(shifts))
-    frame = P.apply_shifted_logs(frame, shifts)
+    steps.append(ShiftedLogs(shifts))
+    frame = steps[-1].apply(frame)
 
-    in_numeric, made = list(numeric), []
     generated: list[str] = []
     if cfg.use_interactions:
         sources = X.top_variance(X.variances(fit_rows(frame), numeric), cfg.interaction_sources)
         generated = X.interaction_names(sources, columns) if sources else []
         note("generated_interactions", generated)
-        frame, made = X.add_derived(frame, generated), list(generated)
+        steps.append(Derived(list(generated)))
+        frame = steps[-1].apply(frame)
     columns, numeric = columns + generated, numeric + generated
     redundant = X.redundant_columns(numeric, X.moments(fit_rows(frame), numeric),
                                     cfg.correlation_threshold)
@@ -216,18 +215,14 @@ def engineer(df: DataFrame, row_key: str, target: str, task: str,
         numbers, words = X.split_selected(frame, selected)
         reduced = X.fit_pca(fit_rows(frame), numbers, cfg.n_pca_components)
         if reduced:
-            frame = reduced.apply(frame)
+            steps.append(Components(list(reduced.columns), reduced.means, reduced.weights, list(reduced.components)))
+            frame = steps[-1].apply(frame)
             selected = words + reduced.components
             generated = [g for g in generated if g not in numbers] + reduced.components
             note("pca", reduced.components)
     numbers, words = X.split_selected(frame, selected)
 
-    def apply_prepared(rows):
-        out = P.apply_shifted_logs(P.apply_cleaning(rows, in_numeric, text, medians, modes), shifts)
-        out = X.add_derived(out, made)
-        return reduced.apply(out) if reduced else out
-
-    return Engineered(frame, selected, numbers, words, generated, scores, log, apply_prepared, shifts,
+    return Engineered(frame, selected, numbers, words, generated, scores, log, FittedPlan(steps), shifts,
                       reduced.explained if reduced else None)
 
 
@@ -375,8 +370,7 @@ def run_automl(df: DataFrame, row_key: str, target: str, cfg: AutoMLConfig = Aut
                                   [c for c in other_in if c not in ready.date_parts], made.selected)
     # the model has one score per class, so its names are no longer list than it
     classes = [r["value"] for r in names.orderBy("stat").collect()] if task == "classification" else []
-    scorer = S.Scorer(schema, fitted.model, task, classes, codes,
-                      lambda rows: made.apply(ready.apply(rows)))
+    scorer = S.Scorer(schema, fitted.model, task, classes, codes, ready.plan + made.plan)
     result = AutoMLResult(quality, ready, made, specs, fitted, predictions, metrics, verdict["decision"],
                           verdict["recommendation"], model_importance(fitted.model, made.selected), scorer)
     if store is not None:

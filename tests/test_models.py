@@ -263,6 +263,19 @@ def test_scorer_agrees_with_test_predictions(trained):
     assert all(again[x["id"]] == names[x["prediction"]] for x in r.predictions.collect())
 
 
+def test_the_scorer_of_a_run_is_stored(trained, spark, tmp_path):
+    df, r, _ = trained
+    raw = df.join(r.prepared.frame.where("split = 'train'").select("id"), "id", "left_semi").drop("target")
+    S.save_scorer(r.scorer, str(tmp_path / "scorer"))
+    again = S.load_scorer(spark, str(tmp_path / "scorer"))
+    assert again.steps.to_json() == r.scorer.steps.to_json() and again.schema.feature_order == r.scorer.schema.feature_order
+    one, two = (sorted((x["id"], x["prediction"]) for x in s.predict_batch(raw, ["id"]).collect()) for s in (r.scorer, again))
+    assert one == two and len(one) == raw.count()
+    raw.write.parquet(str(tmp_path / "in"))
+    score_files(spark, str(tmp_path / "in"), raw.schema, again, ["id"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted((x["id"], x["prediction"]) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == one
+
+
 # --- history -----------------------------------------------------------------------------
 
 def test_run_history(spark, tmp_path):

@@ -53,17 +53,21 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long. bytes.lower and bytes.split follow the ASCII rules."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the columns of `keep`. bytes.lower and bytes.split follow the
+    ASCII rules."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, ["doc_id", "text"]):
                 fps = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fps.view(np.int64)), *[part.column(2 + i) for i in range(len(keep))]],
+                    names=["doc_id", "fp", *keep])
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", `{c}` {t}" for c, t in rows.dtypes[2:]))
 
 
 def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -188,9 +192,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable)."""
-    prints = settle(fingerprints(docs, shingle), "fingerprints")
+def labelled(docs: DataFrame, shingle: int = 3, distance: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep`, fp, root (a name of the component) and component_id (its smallest doc_id)."""
+    prints = settle(fingerprints(docs, shingle, keep), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = settle(links(classes.select("fp"), distance), "fingerprint-links")
     hung = components(edges)
@@ -199,6 +203,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
         "fp", "first_id", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # one row per fingerprint; only fingerprints in links need the detour over their root
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(
+    labels = rooted.join(named, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable)."""
+    return labelled(docs, shingle, distance).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

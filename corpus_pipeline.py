@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, near-dedup by shingle similarity, suffix-array dedup, source mixing, packing.
+"""The corpus pipeline: quality classifier, SimHash near-dedup, suffix-array dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first four return the
 columns of `documents`; other columns that docs may have are left behind. The last returns the packed pieces.
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.scratch import settle
-from tabloom.llm import binpack, curriculum, jaccard, suffix, textcnn
+from tabloom.functions.scratch import scratch_path, scratch_scope, settle
+from tabloom.llm import binpack, curriculum, simhash, suffix, textcnn
 from tabloom.llm.common import table
 from tabloom.llm.queries import tokenizer_path
 
@@ -18,28 +18,45 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network accepts. It learns from `labels` on this stage's own input."""
+    """Documents that the network accepts. It learns from `labels` on this stage's own input.
+
+    Texts of any length are scored whole; null and empty texts get the network's score of no bytes; repeated rows get
+    equal scores; an empty table gives an empty result."""
     docs = docs.select(*COLUMNS)
     model = textcnn.fit(docs, table(spark, sf_dir, "labels"))
     return textcnn.score(docs, model, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (Jaccard of 5-word shingles 0.8 or more) the document with the smallest
-    id; rows without id stay."""
+    """Of each component of near-duplicates (3-word shingles, at most 3 differing bits) the document with the smallest id.
+
+    A document is an id with its text: different texts under one id are different documents, and where one id has two
+    texts in a component the smaller text hash stays. Rows that repeat id and text are one row, the least by its other
+    columns. Rows without id stay. Null, empty and blank texts are near-duplicates of each other; an empty table gives an
+    empty result."""
     docs = docs.select(*COLUMNS)
-    # dropped documents are few rows of ids; rows that repeat one id are one document, so the first stays
-    found = jaccard.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    single = left.join(again, "doc_id", "left_anti")
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).select(*COLUMNS)
+    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    path = scratch_path(spark, "near-components")
+    with scratch_scope(spark):  # only the components outlive the search for them
+        simhash.labelled(keyed, keep=("text_hash",)).write.parquet(path)
+    found = spark.read.parquet(path)
+    named = found.where("doc_id is not null")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = named.join(first, "root").where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
+    again = named.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    left = keyed.join(gone, ["doc_id", "text_hash"], "left_anti")
+    single = left.join(again, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
+    # equal rows are put together before the shuffle
+    repeated = left.join(again, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(
+        F.min(F.struct("text", "lang", "source", "n_chars")).alias("one")).select("doc_id", "one.*")
+    return single.unionByName(repeated.select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that also occur elsewhere; n_chars follows the text."""
+    """Every document, without the passages that also occur elsewhere; n_chars follows the text.
+
+    A null text becomes empty; what occurs twice goes in every place, so repeated rows lose their whole texts where these
+    reach 200 bytes; an empty table gives an empty result."""
     docs = docs.select(*COLUMNS)
     rest = suffix.remove_repeats(docs, keep=("lang", "source"), as_text=True)
     return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source",
@@ -47,12 +64,17 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The curriculum's mix in training order: documents left out are gone, those taken twice are two rows."""
+    """The curriculum's mix in training order: documents left out are gone, those taken twice are two rows.
+
+    Texts without words are never taken; the null source is a source; equal positions go by doc_id; repeated rows count
+    once each; an empty table gives an empty result."""
     return (curriculum.mixed(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
             .select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2,048 tokens; rows that repeat an id are documents of their own. A null or
+    empty text is its end token alone; an empty table gives an empty result."""
     return binpack.pack_documents(docs, tokenizer_path())
 
 

@@ -6,8 +6,11 @@ A full suffix array sorts a suffix for each byte of the corpus. This one is spar
    leftmost of equals). Equal strings have equal anchors at equal places. Neighbouring strings share
    anchors, so a text falls into blocks: the consecutive strings of one anchor. There is about one block per 85
    bytes; it travels as two 64-bit digests from two polynomials, of its gram and of its whole content.
-2. Blocks whose gram occurs once hold nothing repeated. Blocks whose content occurs twice (128 bits) are
-   repeated throughout. Both are plain aggregates with partial sums, so frequent passages are no hot spot.
+2. About eight neighbouring blocks, cut where a gram's digest says so, make a chunk. Chunks whose content occurs twice
+   (two digests) are repeated throughout, in each of their places; only one place of each content goes on, and counts as
+   two. So copies and near copies travel once, but for the chunks that differ. Of the blocks that go on, those
+   whose gram occurs once hold nothing repeated, and those whose content occurs twice (two digests) are
+   repeated throughout. All are aggregates with partial sums, so frequent passages are no hot spot.
 3. What is left, blocks whose gram is repeated but whose content is not, are sorted as suffixes: starting
    at the anchor, one per distinct content, by mergesort. A comparison finds the common extension of two
    suffixes by binary search over prefix polynomial hashes, so it takes logarithmic time. Neighbours in
@@ -17,7 +20,9 @@ A full suffix array sorts a suffix for each byte of the corpus. This one is spar
 4. A gram with more than `hot` distinct contents is not sorted in one task: its strings are counted one by one
    by an aggregate over their 128-bit digests, which is linear in their number.
 
-Text moves once, to meet its spans; matches never cross documents.
+Texts are known by two 64-bit hashes, so equal texts share their spans, which are found once. Text moves once, to meet its
+spans; matches never cross documents. Equality of whole chunks and blocks (step 2) and of strings of step 4 rests on
+128 bits of polynomial digests; matches of the suffix sort (step 3) are compared byte by byte.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; repeated rows (also with the
 same doc_id) are repetitions of each other; null doc_id is a value like any other; an empty table gives an empty
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.scratch import settle
+from tabloom.functions.scratch import scratch_path, scratch_scope, settle
 
 from .common import ready, slices
 
@@ -39,7 +44,8 @@ LENGTH, GRAM = 200, 32
 #: Odd bases of the two polynomials over 64-bit words, and the mixer of their values.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-BLOCKS = "did long, th long, lo int, n int, off int, kg long, bh long"
+CHUNKS = ("did long, th long, at int, m int, cg long, ch long, lo array<int>, n array<int>, off array<int>, kg array<long>, "
+          "bh array<long>")
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -83,10 +89,16 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 def blocks_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Per block: its text, first string (lo), number of strings (n), anchor from lo (off), and two digests."""
+    return _cut(texts, length, gram)[:6]
+
+
+def _cut(texts: list[bytes], length: int, gram: int):
+    """blocks_of, and chunks: the place of each one's first block, and two digests of its content."""
     keep = [i for i, t in enumerate(texts) if len(t) >= length]
     none = np.empty(0, np.int64)
     if not keep:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        void = none.astype(np.uint64)
+        return none, none, none, none, void, void, none, void, void
     data = np.frombuffer(b"".join(texts[i] for i in keep), np.uint8)
     sizes = np.array([len(texts[i]) for i in keep], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -106,22 +118,34 @@ def blocks_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     ok = lo <= last  # strings that would run into the next text are none
     lo, hi, text = lo[ok], hi[ok], text[ok]
     a = anchor[lo]
-    return (np.array(keep)[text], lo - starts[text], hi - lo + 1, a - lo, g[a], whole.digest(lo, hi + length))
+    begins = np.ones(len(lo), bool)
+    # an anchor has a small digest, so the choice takes its low bits
+    begins[1:] = (text[1:] != text[:-1]) | (g[a][1:] & np.uint64(7) == 0)
+    head = np.flatnonzero(begins)
+    stop = hi[np.append(head[1:], len(lo)) - 1] + length
+    return (np.array(keep)[text], lo - starts[text], hi - lo + 1, a - lo, g[a], whole.digest(lo, hi + length),
+            head, grams.digest(lo[head], stop), whole.digest(lo[head], stop))
 
 
-def _blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _chunks(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row per chunk: its first string (at), its number of strings (m), two digests, and its blocks as lists."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, ["did", "th", "text"], most=1 << 20):
+            # the search for anchors takes some hundred bytes for each byte of text
+            for part in slices(batch, ["did", "th", "text"], most=1 << 18):
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()]
-                text, lo, n, off, kg, bh = blocks_of(texts, length, gram)
-                own = pa.array(text)
+                text, lo, n, off, kg, bh, head, cg, ch = _cut(texts, length, gram)
+                own = pa.array(text[head])
+                ends = pa.array(np.append(head, len(lo)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (
+                    *(v.astype(np.int32) for v in (lo, n, off)), kg.view(np.int64), bh.view(np.int64))]
+                strings = np.add.reduceat(n, head) if len(head) else n
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(own), part.column(1).take(own), *[pa.array(x.astype(np.int32)) for x in (lo, n, off)],
-                     pa.array(kg.view(np.int64)), pa.array(bh.view(np.int64))],
-                    names=["did", "th", "lo", "n", "off", "kg", "bh"])
+                    [part.column(0).take(own), part.column(1).take(own), pa.array(lo[head].astype(np.int32)),
+                     pa.array(strings.astype(np.int32)), pa.array(cg.view(np.int64)), pa.array(ch.view(np.int64)), *lists],
+                    names=["did", "th", "at", "m", "cg", "ch", "lo", "n", "off", "kg", "bh"])
 
-    return docs.select("did", "th", "text").mapInArrow(run, BLOCKS)
+    return docs.select("did", "th", "text").mapInArrow(run, CHUNKS)
 
 
 class Suffixes:
@@ -286,7 +310,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  names=["did", "th", "lo", "n", "off", "kg", "many", "hot", "bytes"])
 
-    return docs.select("did", "th", "text").join(listed, ["did", "th"]).mapInArrow(run, schema)
+    # one of the rows of equal texts; the join has sorted them
+    return docs.select("did", "th", "text").join(listed, ["did", "th"]).dropDuplicates(["did", "th"]).mapInArrow(run, schema)
 
 
 def _runs(dup, base, n):
@@ -322,8 +347,8 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
+        for part in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
+            t = pa.Table.from_batches([part])
             t = t if held is None else pa.concat_tables([held, t])
             if not len(t):
                 continue
@@ -372,21 +397,32 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096) -> DataFrame:
-    """did, th, start, stop: byte spans of repeated strings. `docs` has did, th (key of a text) and text."""
+    """did, th, start, stop: byte spans of repeated strings. `docs` has did, th (two hashes of a text) and text."""
     ready(docs.sparkSession)
-    blocks = settle(_blocks(docs, length, gram), "blocks")
+    chunks = settle(_chunks(docs, length, gram), "chunks")
+    place = F.xxhash64("did", "th", "at")
+    places = chunks.select("did", "th", "at", "m", "cg", "ch")
+    twice = settle(places.groupBy("cg", "ch").agg(F.count("*").alias("c"), F.min(place).alias("one")).where("c > 1").drop("c"),
+                   "repeated-chunks")
+    whole = places.join(twice.drop("one"), ["cg", "ch"], "left_semi").select(
+        "did", "th", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("m") - 1 + length).cast("long").alias("stop")).distinct()
+    firsts = chunks.join(twice, ["cg", "ch"], "left").where(F.col("one").isNull() | (F.col("one") == place))
+    blocks = settle(firsts.select("did", "th", F.col("one").isNotNull().alias("copied"),
+                                  F.explode(F.arrays_zip("lo", "n", "off", "kg", "bh")).alias("b")).select("did", "th", "copied", "b.*"),
+                    "blocks")
+    weight = F.when(F.col("copied"), 2).otherwise(1)
     # written, so that the join shuffles both sides anew and Spark may split a frequent gram
-    twice = settle(blocks.groupBy("kg").count().where("count > 1").select("kg"), "repeated-grams")
-    hits = settle(blocks.join(twice, "kg"), "repeated-blocks")
+    grams = settle(blocks.groupBy("kg").agg(F.sum(weight).alias("c")).where("c > 1").select("kg"), "repeated-grams")
+    hits = settle(blocks.join(grams, "kg", "left_semi"), "repeated-blocks")
     kinds = settle(hits.groupBy("kg", "bh").agg(
-        F.count("*").alias("c"), F.min(F.struct("did", "th", "lo", "n", "off")).alias("one")), "block-kinds")
-    known = hits.join(kinds.where("c > 1").select("kg", "bh"), ["kg", "bh"]).select(
+        F.sum(weight).alias("c"), F.min(F.struct("did", "th", "lo", "n", "off")).alias("one")), "block-kinds")
+    known = hits.where(~F.col("copied")).join(kinds.where("c > 1").select("kg", "bh"), ["kg", "bh"], "left_semi").select(
         "did", "th", F.col("lo").cast("long").alias("start"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("stop"))
     mixed = settle(kinds.groupBy("kg").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
                    .where("kinds > 1 and least = 1").select("kg", (F.col("kinds") > hot).alias("hot")), "mixed-grams")
     wanted = kinds.join(mixed, "kg").select("one.*", "kg", (F.col("c") > 1).alias("many"), "hot")
     contexts = settle(_contexts(docs, wanted, length), "block-contexts")
-    return known.unionByName(_sorted_spans(contexts, length)).unionByName(_counted_spans(contexts, length))
+    return whole.unionByName(known).unionByName(_sorted_spans(contexts, length)).unionByName(_counted_spans(contexts, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 4096,
@@ -394,11 +430,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `keep`.
 
     `as_text`: kept is a string; a character that a cut went through is left out, the rest of it too."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"),
-                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text",
+    own = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.xxhash64(F.lit(1), own).alias("did"), F.xxhash64(own).alias("th"), "text",
                         F.col("doc_id").cast("long").alias("doc_id"), *keep)
-    spans = (repeated_spans(keyed, length, gram, hot).groupBy("did", "th")
-             .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")))
+    # only the spans outlive the search for them
+    path = scratch_path(docs.sparkSession, "spans")
+    with scratch_scope(docs.sparkSession):
+        repeated_spans(keyed, length, gram, hot).write.parquet(path)
+    spans = docs.sparkSession.read.schema("did long, th long, start long, stop long").parquet(path).groupBy("did", "th").agg(
+        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     joined = keyed.join(spans, ["did", "th"], "left").drop("did", "th")
     names = [c for c in joined.columns if c not in ("text", "spans")]
     schema = ", ".join(f"`{c}` {t}" for c, t in joined.select(*names).dtypes)
@@ -406,7 +446,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, batch.schema.names, most=8 << 20):
+            for part in slices(batch, batch.schema.names, most=2 << 20):
                 at = part.schema.names.index
                 sizes, removed, runs, kept = [], [], [], []
                 for text, own in zip(part.column(at("text")).to_pylist(), part.column(at("spans")).to_pylist()):

@@ -4,7 +4,7 @@
    words. No target exceeds `most` times its source; what exceeds is shared out again by weight. That is
    the level L with sum(min(cap, weight * L)) = budget: sorted by cap / weight, a prefix stands at its
    cap, so L comes from running sums over the table of sources.
-2. Documents of a source stand in the order of a digest of their id. Counting words along it gives each
+2. Documents of a source stand in the order of a digest of their id and text. Counting words along it gives each
    document the interval of demand it meets, in a first pass over the source and, above one pass, in a
    second. The document that a target ends in is taken in part.
 3. A source's weight schedule is a list of (time, weight) knots. Its integral is the cumulative demand;
@@ -15,7 +15,7 @@ A running sum never gathers a source in one task: digests are cut into buckets o
 bucket totals are summed first (a small table), then rows within their bucket.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; the null source is a source; repeated rows
-count once each, and are told apart by nothing; an empty table gives an empty result; a document that
+count once each, in any order among each other; an empty table gives an empty result; a document that
 is not taken has a null position and comes last; other columns are carried only by `mix`'s `keep`.
 """
 
@@ -78,12 +78,17 @@ def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def plan(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
          bucket_rows: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with its target, the words taken in each pass, and its training positions."""
-    rows = settle(sized(docs, keep).withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
-                  "sizes")
+    """Every document with its target, the words taken in each pass, and its training positions.
+
+    Sizes are written; the columns of `keep` are not, they are read again and go through one shuffle, by bucket."""
+    told = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"),
+                          F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    digested = sized(docs.withColumn("mix_digest", told), ("mix_digest", *keep)).withColumnRenamed("mix_digest", "digest")
+    rows = settle(digested.select("doc_id", "source", "size", "digest"), "sizes")
     n = rows.count()
     bits = max(1, min(28, (max(n // bucket_rows, 1)).bit_length()))
     bucket = F.shiftright(F.conv(F.substring("digest", 1, 7), 16, 10).cast("long"), 28 - bits)
+    full = digested.withColumn("bucket", bucket) if keep else rows.withColumn("bucket", bucket)
     rows = rows.withColumn("bucket", bucket)
     # a null-safe key for joins: the source's place in code-point order
     targets = source_targets(rows, weights, budget, most)
@@ -95,7 +100,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float =
                           "weight", "target"))
     inside = (Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = full.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, (F.col("source").eqNullSafe(F.col("at_source")))
                          & (F.col("bucket") == F.col("at_bucket")))
     begin = F.col("bucket_start") + F.col("inside")
@@ -131,21 +136,17 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Where a pass takes only some words of a document (the one its source's target ends in), the row's
     text is those first words, joined by blanks."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = Window.partitionBy("mix_id", "mix_text").orderBy(F.lit(0))
-    keyed = lambda df, t: df.withColumns({
-        "mix_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "mix_text": t})
-    # rows that repeat an id and text are told apart by a number, equal on both sides
-    chosen = keyed(plan(docs.withColumn("mix_text", text), keep=("mix_text",), **options), F.col("mix_text"))
-    chosen = chosen.where("taken > 0").select("mix_id", "mix_text", F.row_number().over(same).alias("mix_nth"), F.filter(F.array(
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    carried = docs.select("*", F.struct("source", *others).alias("mix_row"))
+    chosen = plan(carried, keep=("mix_row",), **options).where("taken > 0")
+    taken = chosen.withColumn("mix_pass", F.explode(F.filter(F.array(
         F.struct(F.col("position").alias("at"), F.col("first_words").alias("n")),
-        F.struct(F.col("again_position").alias("at"), F.col("second_words").alias("n"))),
-        lambda p: p["n"] > 0).alias("mix_passes"), F.col("size").alias("mix_size"))
-    rows = keyed(docs, text).withColumn("mix_nth", F.row_number().over(same))
-    taken = rows.join(chosen, ["mix_id", "mix_text", "mix_nth"]).withColumn("mix_pass", F.explode("mix_passes"))
-    part = F.array_join(F.slice(words(F.col("text")), 1, F.col("mix_pass.n").cast("int")), " ")
-    cut = F.when(F.col("mix_pass.n") < F.col("mix_size"), part).otherwise(F.col("text"))
-    return taken.orderBy("mix_pass.at", "doc_id").withColumn("text", cut).select(*docs.columns)
+        F.struct(F.col("again_position").alias("at"), F.col("second_words").alias("n"))), lambda p: p["n"] > 0)))
+    text = F.col("mix_row.text")
+    part = F.array_join(F.slice(words(text), 1, F.col("mix_pass.n").cast("int")), " ")
+    cut = F.when(F.col("mix_pass.n") < F.col("size"), part).otherwise(text)
+    return taken.orderBy("mix_pass.at", "doc_id").select(*[
+        F.col("doc_id") if c == "doc_id" else cut.alias(c) if c == "text" else F.col(f"mix_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix_sql(weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules=SCHEDULES) -> str:
@@ -171,7 +172,7 @@ def mix_sql(weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules
     listed = ", ".join(f"{float(w)}::double" for w in weights)
     return f"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::varchar, '')) AS digest,
+  SELECT doc_id, source, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) AS digest,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
   FROM documents),
 per AS (

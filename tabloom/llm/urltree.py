@@ -4,8 +4,9 @@ Every url is split into host and path. Urls that a rule fits are judged by the l
 judged, are the labelled examples from which the rest is learnt:
 
 1. The tree. From the host downwards, level by level, a node's children are the path's next segments. Where
-   children are many and most occur once or twice, the segment is variable and becomes a wildcard. (A segment
-   beyond `max_depth` levels joins its parent's template.)
+   children are many and none of them holds much (their urls spread as if over more than `many` equal ones, whatever
+   the number of urls), the segment is variable and becomes a wildcard. A path that has a node to itself ends there: the
+   rest of its segments is one child, so the tree is as deep as paths share segments, and every segment is in it.
 2. Statistics. Each node counts its urls, and its labelled and blocked ones.
 3. Merging. A child whose blocked share cannot be told from its siblings' pooled share (two-proportion
    z-test) is merged into one branch with all such siblings; the others stay on their own.
@@ -22,6 +23,7 @@ empty table gives an empty result; further columns are ignored; empty segments a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,35 +71,39 @@ def matched(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def templates(urls: DataFrame, max_depth: int = 8, many: int = 8, per_child: float = 3.0) -> DataFrame:
+def templates(urls: DataFrame, many: int = 8) -> DataFrame:
     """Distinct (host, path, n, labelled, blocked) -> the same rows with `trail`, the templates from root to leaf."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = settle(urls.withColumn("segments", segments)
-                  .withColumn("trail", F.array(F.lit(""))), "url-segments")
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(deepest, max_depth)):
-        here = rows.where(F.size("segments") > level)
+    rows = settle(urls.withColumn("segments", segments).withColumn("trail", F.array(F.lit(""))), "url-segments")
+    done, level = [rows.where(F.size("segments") == 0)], 0
+    rows = rows.where(F.size("segments") > 0)
+    exact = "decimal(38,0)"
+    while rows.limit(1).count():
         child = F.element_at("segments", level + 1)
-        nodes = (here.groupBy("host", F.element_at("trail", -1).alias("node"), child.alias("child"))
-                 .agg(F.sum("n").alias("n")).groupBy("host", "node")
-                 .agg(F.count("*").alias("children"), F.sum("n").alias("urls")))
-        variable = (nodes.where((F.col("children") > many) & (F.col("urls") < per_child * F.col("children")))
-                    .select("host", "node", F.lit(True).alias("variable")))
-        rows = (rows.withColumn("node", F.element_at("trail", -1)).join(variable, ["host", "node"], "left")
-                .withColumn("trail", F.when(F.size("segments") > level, F.concat("trail", F.array(F.concat(
-                    F.element_at("trail", -1), F.when(F.col("variable"), F.lit(WILD)).otherwise(
-                        F.concat(F.lit("/"), child)))))).otherwise(F.col("trail")))
-                .drop("node", "variable"))
-        rows = settle(rows, "url-templates")
-    return rows
+        nodes = (rows.groupBy("host", F.element_at("trail", -1).alias("node"), child.alias("child"))
+                 .agg(F.sum("n").alias("n"), F.count("*").alias("paths")).groupBy("host", "node")
+                 .agg(F.count("*").alias("children"), F.sum("paths").alias("paths"), F.sum("n").cast(exact).alias("urls"),
+                      F.sum((F.col("n").cast("decimal(18,0)") * F.col("n").cast("decimal(18,0)")).cast(exact)).alias("squares")))
+        # the number of equal children that would be spread as evenly is urls^2 / squares
+        even = F.col("urls").cast("double") * F.col("urls").cast("double") > many * F.col("squares").cast("double")
+        marked = nodes.select("host", "node", ((F.col("children") > many) & even).alias("variable"), (F.col("paths") == 1).alias("alone"))
+        last = F.element_at("trail", -1)
+        rest = F.concat(last, F.lit("/"), F.array_join(F.slice("segments", level + 1, F.size("segments")), "/"))
+        below = F.when(F.col("alone"), rest).when(F.col("variable"), F.concat(last, F.lit(WILD))).otherwise(F.concat(last, F.lit("/"), child))
+        level += 1
+        rows = settle(rows.withColumn("node", last).join(marked, ["host", "node"]).withColumn("trail", F.concat("trail", F.array(below)))
+                      .withColumn("over", F.col("alone") | (F.size("segments") <= level)).drop("node", "variable", "alone"), "url-templates")
+        done.append(rows.where("over").drop("over"))
+        rows = rows.where(~F.col("over")).drop("over")
+    return reduce(DataFrame.unionByName, done)
 
 
 def purities(tree: DataFrame, smoothing: float = 4.0, z: float = 2.58) -> tuple[DataFrame, int]:
     """Per (host, template): its smoothed purity, after merging similar siblings; and the tree's depth."""
     counted = settle(
-        tree.select("host", "n", "labelled", "blocked", F.posexplode("trail").alias("depth", "node"))
-        .groupBy("host", "depth", "node").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        .withColumn("parent", F.when(F.col("depth") > 0, F.regexp_replace("node", r"(?s)/[^/]*$", ""))), "url-nodes")
+        tree.select("host", "n", "labelled", "blocked", "trail", F.posexplode("trail").alias("depth", "node"))
+        .withColumn("parent", F.when(F.col("depth") > 0, F.element_at("trail", F.greatest("depth", F.lit(1)))))
+        .groupBy("host", "depth", "node", "parent").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]), "url-nodes")
     deepest = counted.agg(F.max("depth")).first()[0] or 0
     done = counted.where("depth = 0").select(
         "host", "node", "depth", F.lit(None).cast("string").alias("branch"),
@@ -126,8 +132,7 @@ def purities(tree: DataFrame, smoothing: float = 4.0, z: float = 2.58) -> tuple[
     return done, deepest
 
 
-def judge(pages: DataFrame, rules=RULES, purity: float = 0.8, smoothing: float = 4.0, z: float = 2.58,
-          max_depth: int = 8) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, purity: float = 0.8, smoothing: float = 4.0, z: float = 2.58) -> DataFrame:
     """page_id, host, path, rule, verdict, template and the template's purity."""
     host, path = parts(F.col("url"))
     split = settle(pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -136,7 +141,7 @@ def judge(pages: DataFrame, rules=RULES, purity: float = 0.8, smoothing: float =
     seen = split.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count("rule").alias("labelled"),
         F.sum(F.when(F.col("rule").isin(blocking), 1).otherwise(0)).alias("blocked"))
-    tree = templates(seen, max_depth)
+    tree = settle(templates(seen), "url-tree")
     pure, _ = purities(tree, smoothing, z)
     leaf = tree.select("host", "path", F.element_at("trail", -1).alias("node")).join(
         pure.select("host", "node", "branch", "purity"), ["host", "node"]).select(

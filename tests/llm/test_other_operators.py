@@ -75,24 +75,26 @@ def plain_rule(host, path):
     return max((r.name for r in fit), key=len, default=None)
 
 
-def brute_judge(urls, purity=0.8, smoothing=4.0, z=2.58, many=8, per_child=3.0):
+def brute_judge(urls, purity=0.8, smoothing=4.0, z=2.58, many=8):
     """The template tree in plain Python."""
     parts = [plain_parts(u) for u in urls]
     verdict = {r.name: r.verdict for r in urltree.RULES}
     rules = [plain_rule(*p) for p in parts]
     segs = [[s for s in p.split("/") if s] for _, p in parts]
     trail = [[""] for _ in urls]
+    over = [not s for s in segs]
     for level in range(max((len(s) for s in segs), default=0)):
-        kids = collections.defaultdict(collections.Counter)
-        for (h, _), s, t in zip(parts, segs, trail):
-            if len(s) > level:
+        kids, paths = collections.defaultdict(collections.Counter), collections.defaultdict(set)
+        for (h, p), s, t, o in zip(parts, segs, trail, over):
+            if not o:
                 kids[h, t[-1]][s[level]] += 1
-        wild = {k for k, c in kids.items() if len(c) > many and sum(c.values()) < per_child * len(c)}
-        new = [t[-1] + ("/*" if (h, t[-1]) in wild else "/" + s[level]) if len(s) > level else None
-               for (h, _), s, t in zip(parts, segs, trail)]
-        for t, n in zip(trail, new):
-            if n is not None:
-                t.append(n)
+                paths[h, t[-1]].add(p)
+        wild = {k for k, c in kids.items() if len(c) > many and sum(c.values()) ** 2 > many * sum(n * n for n in c.values())}
+        for i, ((h, _), s, t) in enumerate(zip(parts, segs, trail)):
+            if not over[i]:
+                alone = len(paths[h, t[-1]]) == 1
+                over[i] = alone or len(s) == level + 1
+                t.append(t[-1] + "/" + ("/".join(s[level:]) if alone else "*" if (h, t[-1]) in wild else s[level]))
     lab, bad = collections.Counter(), collections.Counter()
     nodes, parent = set(), {}
     for (h, _), t, r in zip(parts, trail, rules):
@@ -142,6 +144,23 @@ def test_urls_equal_brute_force(spark):
     assert any(w[3] == "block" and w[2] is None for w in want.values())
 
 
+def test_wildcards_do_not_follow_the_number_of_urls_or_the_depth(spark):
+    for times in (1, 2, 6):
+        urls = [f"https://h.net/es/{i}" for i in range(60)] * times + [f"https://h.net/{'a/' * 12}{i}/x/{'y' * i}" for i in range(20)] * times
+        urls += ["https://h.net/main"] * 400 + [f"https://k.net/{s}" for s in "abcdefghijkl"] + ["https://k.net/a"] * 90
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        got = {r.page_id: r.template for r in urltree.judge(df).collect()}
+        assert got == {i: t[4] for i, t in enumerate(brute_judge(urls))}
+        assert got[0] == "/es/*" and got[60 * times].startswith("/a" * 12 + "/*/x")
+        assert got[len(urls) - 1] == "/a"  # one child holds most, so segments are names
+
+
+def test_a_long_and_deep_url(spark):
+    urls = ["https://h.net/" + "/".join(f"s{i}" for i in range(5000)), "https://h.net/" + "q" * 500_000, "https://h.net/s0/s1/other"]
+    got = {r.page_id: r.template for r in urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: urls[0][13:], 1: urls[1][13:], 2: "/s0/s1/other"}
+
+
 def test_urls_of_nothing(spark):
     assert urltree.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 

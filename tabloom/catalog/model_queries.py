@@ -17,7 +17,7 @@ from ..operators import score as S, split as G
 from ..operators.explain import importance_table as importance_rows, model_importance
 from ..plans.automl import run_automl
 from ..sources.tables import append_run_metadata
-from ..streaming.scoring import score_files
+from ..streaming.scoring import route_files, score_files
 from .registry import query
 from .views import ord_, ord_dirty, ord_lab, sql, table, union
 
@@ -79,8 +79,102 @@ def candidates(spark, sf):
     return spark.createDataFrame(rows, "scope string, task string, position int, model string")
 
 
+# each nation is a table whose signals are counts of its orders, so that every rule fires for some of them
+_SIGNALS = ("sig", "SELECT c_nationkey AS scope, count(*) * (1 + c_nationkey % 30) AS n, CASE WHEN c_nationkey % 4 = 0 THEN count(*) * 20 "
+                   "ELSE 5 END AS features, min(m) / max(m) AS balance, count(*) % 5 AS gaps, count(*) % 7 AS pairs, count(*) % 3 AS "
+                   "outliers FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, o_orderstatus) AS m FROM ord) AS o GROUP BY c_nationkey")
+_BOTH = "XGBoost', 'LightGBM"
+_RULES = ("rules", f"""
+SELECT scope, task, CASE
+    WHEN n < 1000 THEN (CASE task WHEN 'classification' THEN ['LogisticRegression', 'SVM'] ELSE ['Ridge', 'SVR'] END) || ['RandomForest']
+    WHEN task = 'regression' AND n < 10000 THEN ['RandomForest', 'GradientBoosting', 'XGBoost', 'Ridge']
+    ELSE ['RandomForest', 'GradientBoosting', '{_BOTH}'] END
+  || CASE WHEN task = 'classification' AND balance < 0.1 THEN ['{_BOTH}', 'RandomForest'] ELSE [] END
+  || CASE WHEN features > n * 0.5 THEN [CASE task WHEN 'classification' THEN 'LogisticRegression' ELSE 'Ridge' END] ELSE [] END
+  || CASE WHEN pairs > 3 THEN CASE task WHEN 'classification' THEN ['RandomForest', 'GradientBoosting', 'LightGBM'] ELSE ['Ridge', 'LightGBM'] END ELSE [] END
+  || CASE WHEN task = 'classification' AND gaps > 2 THEN ['RandomForest', 'GradientBoosting', 'LightGBM'] ELSE [] END
+  || CASE WHEN outliers > 0 THEN CASE task WHEN 'classification' THEN ['RandomForest', 'GradientBoosting']
+     ELSE ['RandomForest', 'GradientBoosting', 'LightGBM'] END ELSE [] END AS names,
+  CASE WHEN outliers > 0 OR task = 'classification' AND features > n * 0.5
+       THEN CASE task WHEN 'classification' THEN 'SVM' ELSE 'SVR' END ELSE '' END AS blocked
+FROM sig, (VALUES ('classification'), ('regression')) AS t(task)""")
+
+
+@query("candidate_rules", sql("ord", (
+    "SELECT scope, task, CAST(row_number() OVER (PARTITION BY scope, task ORDER BY min(i)) AS INT) AS position, model FROM (SELECT scope, "
+    "task, blocked, unnest(names) AS model, unnest(range(len(names))) AS i FROM rules) WHERE model <> blocked GROUP BY scope, task, model"),
+    _SIGNALS, _RULES))
+def candidate_rules(spark, sf):
+    """The full list of candidates for each nation's signals, whatever rule they come from."""
+    ord_(spark, sf).createOrReplaceTempView("ord")
+    rows = []
+    for r in spark.sql(_SIGNALS[1]).collect():  # one row per nation
+        for task in ("classification", "regression"):
+            signals = M.TableSignals(r["n"], r["features"], float(r["balance"]) if task == "classification" else 1.0, r["gaps"], r["pairs"],
+                                     r["outliers"])
+            rows += [(r["scope"], task, i + 1, m) for i, m in enumerate(M.choose_candidates(task, signals, top=9))]
+    return spark.createDataFrame(rows, "scope long, task string, position int, model string")
+
+
+_SPEC_NAMES = ("RandomForest", "GradientBoosting", "LogisticRegression", "Ridge")
+
+
+@query("model_specs", union([
+    f"SELECT '{s}' AS scope, '{m}' AS model, '{M._FAMILY[m]}' AS family, {i + 1} AS priority, 0.25 AS weight, "
+    + {"RandomForest": f"concat('max_depth=10,n_estimators=', CAST(least(100, greatest(10, (SELECT count(*) FROM {s}) // 100)) AS VARCHAR))",
+       "GradientBoosting": "'learning_rate=0.1,max_depth=5,n_estimators=100'", "LogisticRegression": "'C=1.0,max_iter=1000'",
+       "Ridge": "'alpha=1.0'"}[m] + " AS params" for s in _SCOPES for i, m in enumerate(_SPEC_NAMES)]))
+def model_specs(spark, sf):
+    """The settings that each model starts with, which follow the number of rows."""
+    rows = []
+    for scope in _SCOPES:
+        for s in M.build_specs(_SPEC_NAMES, "classification", table(spark, sf, scope).count()):
+            params = ",".join(f"{k}={v}" for k, v in sorted(s.params.items()))
+            rows.append((scope, s.name, s.family, s.priority, s.weight, params))
+    return spark.createDataFrame(rows, "scope string, model string, family string, priority int, weight double, params string")
+
+
 # --- fits --------------------------------------------------------------------------------
 
+def _urgent(spark, sf, label):
+    """Key, one feature that is 0 or 1, and a label."""
+    d = ord_lab(spark, sf).withColumn("urgent", (F.col("o_orderpriority") == "1-URGENT").cast("double"))
+    return X.assemble(d.withColumn("label", F.expr(label).cast("double")), ["urgent"], keep=[KEY, "label", "urgent"])
+
+
+def _first_round(spark, sf, name, task, label, **params):
+    rows = _urgent(spark, sf, label)
+    spec = M.Spec(name, "boosted_trees", {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, **params})
+    return M.make_estimator(spec, M.fit_context(rows, task)).fit(rows).transform(rows)
+
+
+@query("boost_step", sql("ord_lab", "SELECT CAST(o_orderpriority = '1-URGENT' AS DOUBLE) AS urgent, round(avg(y), 2) AS prediction, "
+                                    "count(*) AS n FROM ord_lab GROUP BY ALL"))
+def boost_step(spark, sf):
+    """One boosted tree with one split and rate 1: the mean of either side."""
+    scored = _first_round(spark, sf, "GradientBoosting", "regression", "y")
+    return scored.groupBy("urgent").agg(F.round(F.avg("prediction"), 2).alias("prediction"), F.count(F.lit(1)).alias("n"))
+
+
+@query("boost_logistic_step", sql("ord_lab", (
+    "SELECT urgent, round(1 / (1 + exp(-(ln(p / (1 - p)) + 0.5 * sum(label - p) / (count(*) * p * (1 - p) + 1)))), 4) AS probability "
+    "FROM (SELECT CAST(o_orderpriority = '1-URGENT' AS DOUBLE) AS urgent, label, avg(label) OVER () AS p FROM ord_lab) GROUP BY urgent, p")))
+def boost_logistic_step(spark, sf):
+    """One round of regularised logistic boosting: start from the log odds, add rate * G / (H + 1)."""
+    scored = _first_round(spark, sf, "XGBoost", "classification", "label", learning_rate=0.5)
+    return scored.select("urgent", M.class_probabilities_of("probability")[1].alias("p")).groupBy("urgent").agg(
+        F.round(F.avg("p"), 4).alias("probability"))
+
+
+@query("forest_step", sql("ord_lab", "SELECT CAST(o_orderpriority = '1-URGENT' AS DOUBLE) AS urgent, CAST(o_orderpriority = '1-URGENT' AS "
+                                     "DOUBLE) AS prediction, count(*) AS n, CAST(1.0 AS DOUBLE) AS importance FROM ord_lab GROUP BY ALL"))
+def forest_step(spark, sf):
+    """A forest on the one feature that is the label: every tree finds it, whatever rows it draws."""
+    rows = _urgent(spark, sf, "CAST(o_orderpriority = '1-URGENT' AS INT)")
+    model = M.make_estimator(_specs(["RandomForest"], rows)[0], M.fit_context(rows, "classification")).fit(rows)
+    weight = model_importance(model, ["urgent"])["urgent"]
+    return model.transform(rows).groupBy("urgent", "prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("importance", F.lit(round(weight, 9)))
+
 def _fit_report(spark, sf, name, task="classification", target="label"):
     data = _data(spark, sf, target)
     spec = _specs([name], data, task)[0]
@@ -131,6 +225,22 @@ def ridge_fit(spark, sf):
         F.round("coefficient", 6).alias("coefficient"), F.round("intercept", 4).alias("intercept"))
 
 
+@query("single_ridge", sql("ord_lab", (
+    "SELECT round(any_value(w), 6) AS coefficient, round(max(r2) FILTER (part = 'train'), 5) AS train_score, round(max(r2) FILTER (part = "
+    "'test'), 5) AS test_score FROM (SELECT part, any_value(w) AS w, 1 - sum((y - my - w * (x - mx)) ** 2) / (var_pop(y) * count(*)) AS r2 "
+    "FROM (SELECT *, CASE WHEN rn > cut THEN 'train' ELSE 'test' END AS part FROM k, (SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS cut FROM "
+    "k)), (SELECT covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 1.0) AS w, avg(x) AS mx, avg(y) AS my FROM k WHERE rn > (SELECT "
+    "CAST(ceil(0.2 * count(*)) AS BIGINT) FROM k)) GROUP BY part)"),
+    ("k", "SELECT c_acctbal / 1000 AS x, y, row_number() OVER (ORDER BY md5(concat('42:', CAST(o_orderkey AS string)))) AS rn FROM ord_lab")))
+def single_ridge(spark, sf):
+    """One model fitted on the train rows and scored on both splits, in closed form."""
+    data = _data(spark, sf, "y", ["x"])
+    fit = M.fit_single(data.where("split = 'train'"), data.where("split = 'test'"), _specs(["Ridge"], data, "regression")[0], "regression",
+                       _DEFAULTS)
+    return spark.createDataFrame([(round(fit.model.coef[0], 6), round(fit.train_score, 5), round(fit.test_score, 5))],
+                                 "coefficient double, train_score double, test_score double")
+
+
 @query("rf_importance")
 def rf_importance(spark, sf):
     d = X.add_derived(ord_lab(spark, sf).select("label", "o_totalprice", "c_acctbal", "c_nationkey"),
@@ -483,6 +593,28 @@ def stream_score(spark, sf):
     return _agreement(spark.read.parquet(out), d, scorer)
 
 
+_PRICED = "SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM ord_lab WHERE o_totalprice < 200000"
+
+
+@query("stream_routes", sql("ord_lab", (
+    "SELECT CASE WHEN o_totalprice BETWEEN lo AND hi THEN 'scored' ELSE 'rejected' END AS route, count(*) AS n, count(DISTINCT o_orderkey) "
+    f"AS keys FROM ord_lab, ({_PRICED}) GROUP BY ALL")))
+def stream_routes(spark, sf):
+    """Both routes of a stream whose files arrive in two steps with a restart between them: every row is on one, once."""
+    d, scorer = _scorer(spark, sf)
+    ends = d.where("o_totalprice < 200000").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).first()
+    schema = replace(scorer.schema, ranges=scorer.schema.ranges | {"o_totalprice": (ends["lo"], ends["hi"])})
+    scorer = replace(scorer, schema=schema)
+    source, scored, rejected = (scratch_path(spark, n) for n in ("incoming", "scored", "rejected"))
+    checkpoint = scratch_path(spark, "checkpoint")
+    rows = d.select(KEY, "o_totalprice", "c_acctbal", "o_orderpriority")
+    for part in (0, 1):
+        rows.where(F.pmod(KEY, F.lit(2)) == part).write.mode("append").parquet(source)
+        route_files(spark, source, rows.schema, scorer, [KEY], scored, rejected, checkpoint).awaitTermination()
+    out = [spark.read.parquet(p).select(F.lit(n).alias("route"), KEY) for n, p in (("scored", scored), ("rejected", rejected))]
+    return out[0].unionByName(out[1]).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(KEY).alias("keys"))
+
+
 @query("model_roundtrip", "SELECT name, count(*) AS n_rows, CAST(0 AS BIGINT) AS mismatches FROM orders JOIN customer ON "
                           "o_custkey = c_custkey, (VALUES ('RandomForest'), ('XGBoost'), ('LogisticRegression')) AS m(name) GROUP BY name")
 def model_roundtrip(spark, sf):
@@ -737,6 +869,30 @@ def run_store(spark, sf):
     return H.compare_last_two(store.read("runs"), store.read("run_values"), store.read("run_features"))
 
 
+@query("run_retry", sql("ord", (
+    "SELECT concat('run-', o_orderstatus) AS run_id, count(DISTINCT c_mktsegment) AS features, CAST(1 AS BIGINT) AS metrics, "
+    "round(avg(c_acctbal), 4) AS bal FROM ord GROUP BY o_orderstatus")))
+def run_retry(spark, sf):
+    """Runs whose first attempt dies after half of its tables: nothing of it is read, and the retry counts once."""
+    store = H.RunStore(spark, scratch_path(spark, "runs"))
+    d = ord_(spark, sf)
+    facts = d.groupBy("o_orderstatus").agg(F.avg("c_acctbal").alias("bal"), F.sort_array(F.collect_set("c_mktsegment")).alias("segments"))
+    for seq, r in enumerate(sorted(facts.collect())):  # one row per status
+        run = f"run-{r['o_orderstatus']}"
+        for dies in (True, False):
+            try:
+                with store.attempt(run):
+                    store.log_run(run, seq, {"training": {"dies": dies}}, {"bal": r["bal"]}, r["segments"])
+                    if dies:
+                        raise InterruptedError(run)
+                    store.log_params(run, {"seq": seq})
+            except InterruptedError:
+                continue
+    features = store.read("run_features").groupBy("run_id").agg(F.count(F.lit(1)).alias("features"))
+    metrics = store.read("run_metrics").groupBy("run_id").agg(F.count(F.lit(1)).alias("metrics"), F.round(F.max("value"), 4).alias("bal"))
+    return features.join(metrics, "run_id")
+
+
 @query("run_metadata_sink", sql("ord", (
     "SELECT concat('run-', o_orderstatus) AS run_id, 'RandomForest' AS model_name, CAST(NULL AS VARCHAR) AS "
     "task_type, round(avg((c_acctbal > 0)::INT), 6) AS accuracy, CAST(NULL AS DOUBLE) AS f1, CAST(NULL AS "

@@ -9,11 +9,19 @@ run_dropped:    run_id, feature, reason
 run_comparison: run_id, model, cv_mean, cv_std, position, error
 run_trials:     run_id, model, trial, value, params
 run_curve:      run_id, split, round, loss
+manifest:       run_id, attempt, at, whole
+
+Rows are written under an attempt first; they become visible when the manifest names the attempt, which is the last
+write. A run that dies on the way leaves rows that nobody reads, and its retry is a new attempt. Where a run was
+published more than once, the latest whole attempt counts, with what was added to the run after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import contextlib
+import time
+import uuid
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -53,42 +61,79 @@ def flatten(values: Mapping, prefix: str = "") -> list[tuple[str, str | None]]:
     return out
 
 
+_MANIFEST = "run_id string, attempt string, at long, whole boolean"
+
+
 class RunStore:
-    """Appends run tables under one path and reads them back."""
+    """Appends run tables under one path and reads back what was published.
+
+    `attempt` collects all writes of a run and publishes them together; a write outside of it is published at once, as an
+    addition to its run."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _append(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{table}")
+        self._open: tuple[str, str] | None = None
+
+    @contextlib.contextmanager
+    def attempt(self, run_id: str) -> Iterator[RunStore]:
+        """All that is logged inside becomes visible at the end, or not at all."""
+        if self._open:
+            raise ValueError(f"an attempt of run {self._open[0]!r} is open")
+        self._open = run_id, uuid.uuid4().hex
+        try:
+            yield self
+            self._publish(*self._open, True)
+        finally:
+            self._open = None
+
+    def _publish(self, run_id: str, attempt: str, whole: bool) -> None:
+        self.spark.createDataFrame([(run_id, attempt, time.time_ns() // 1000, whole)], _MANIFEST).write.mode("append").parquet(
+            f"{self.path}/manifest")
+
+    def _append(self, run_id: str, tables: Mapping[str, DataFrame]) -> None:
+        if self._open and self._open[0] != run_id:
+            raise ValueError(f"an attempt of run {self._open[0]!r} is open, not of {run_id!r}")
+        attempt = self._open[1] if self._open else uuid.uuid4().hex
+        for table, df in tables.items():
+            df.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.path}/{table}")
+        if not self._open:
+            self._publish(run_id, attempt, False)
+
+    def published(self) -> DataFrame:
+        """(run_id, attempt) whose rows count: one row per run and later addition."""
+        manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
+        last = manifest.where("whole").groupBy("run_id").agg(F.max(F.struct("at", "attempt")).alias("last"))
+        known = manifest.join(last, "run_id", "left")
+        return known.where(F.col("last").isNull() | (F.struct("at", "attempt") == F.col("last"))
+                           | (~F.col("whole") & (F.col("at") >= F.col("last.at")))).select("run_id", "attempt")
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}")
+        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        return rows.join(self.published(), ["run_id", "attempt"], "left_semi").drop("attempt")
 
     def log_run(self, run_id: str, seq: int, configs: Mapping[str, Mapping], metrics: Mapping,
                 features: list[str], parent: str | None = None, reason: str | None = None) -> None:
         new = self.spark.createDataFrame
-        self._append("runs", new([(run_id, parent, seq, reason)],
-                                 "run_id string, parent_run_id string, seq long, reason string"))
         rows = [(run_id, stage, k, v) for stage, cfg in configs.items() for k, v in flatten(cfg)]
         rows += [(run_id, "metrics", k, v) for k, v in flatten(metrics)]
-        self._append("run_values", new(rows, "run_id string, section string, key string, value string"))
         numbers = [(run_id, k, 0, float(v)) for k, v in metrics.items()
                    if isinstance(v, (int, float)) and not isinstance(v, bool)]
-        self._append("run_metrics", new(numbers, "run_id string, metric string, step int, value double"))
-        self._append("run_features", new([(run_id, f) for f in features],
-                                         "run_id string, feature string"))
+        self._append(run_id, {
+            "runs": new([(run_id, parent, seq, reason)], "run_id string, parent_run_id string, seq long, reason string"),
+            "run_values": new(rows, "run_id string, section string, key string, value string"),
+            "run_metrics": new(numbers, "run_id string, metric string, step int, value double"),
+            "run_features": new([(run_id, f) for f in features], "run_id string, feature string")})
 
     def log_params(self, run_id: str, params: Mapping) -> None:
         rows = [(run_id, k, v) for k, v in flatten(params)]
-        self._append("run_params", self.spark.createDataFrame(rows, "run_id string, name string, value string"))
+        self._append(run_id, {"run_params": self.spark.createDataFrame(rows, "run_id string, name string, value string")})
 
     def log_table(self, table: str, run_id: str, rows: DataFrame) -> None:
         """Appends rows of one run to run_dropped, run_comparison, run_trials or run_curve; a column that the
         rows lack is null, others are left behind."""
         have = set(rows.columns)
-        self._append(table, rows.select(F.lit(run_id).alias("run_id"), *[
-            (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in RUN_TABLES[table].items()]))
+        self._append(run_id, {table: rows.select(F.lit(run_id).alias("run_id"), *[
+            (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in RUN_TABLES[table].items()])})
 
 
 def diff_values(before: DataFrame, after: DataFrame) -> DataFrame:

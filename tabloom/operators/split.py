@@ -18,7 +18,7 @@ from ..functions.ordering import (MAX_RANGES, bucket_offsets, digest_fraction, r
 from ..functions.scratch import settle
 
 _EXACT = "decimal(38,0)"
-SPLIT_PREFIX = 4  # hex digits: 65,536 buckets
+SPLIT_PREFIX = 4  # hex digits that buckets start with: 65,536 of them
 
 
 def test_sizes(classes: DataFrame, rows: int, test_size: float) -> DataFrame:
@@ -84,20 +84,33 @@ def train_test_split(df: DataFrame, row_key: str, target: str | None = None,
         "_cls", "_cut_cls", "_cut")
 
 
-def _cut_digests(keyed: DataFrame, counts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _cut_digests(keyed: DataFrame, counts: DataFrame, wanted: DataFrame, most: int = LIMITS.rows_per_bucket) -> DataFrame:
     """(cls, k, digest): the digest of the k-th row of a class, for each wanted (cls, k).
 
-    Only buckets that hold a wanted row are ranked: each has 1/65,536 of the rows of its class.
+    Only buckets that hold a wanted row are ranked. A bucket of more than `most` rows is counted again by four more
+    digits of the digest, as often as it takes, so what one task ranks does not grow with the table.
     """
-    wanted = wanted.select(F.col("cls").alias("_w"), "k")
-    located = bucket_offsets(counts, ["cls"]).join(
-        wanted, F.col("cls").eqNullSafe(F.col("_w"))).where(
-        (F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("n")))
-    located = settle(located.select(
-        F.col("cls").alias("_lc"), F.col("bucket").alias("_lb"), "k",
-        (F.col("k") - F.col("before")).alias("_need")), "located")
-    here = F.col("cls").eqNullSafe(F.col("_lc")) & (F.col("bucket") == F.col("_lb"))
-    w = W.partitionBy("cls", "bucket").orderBy("digest")
+    def placed(counted: DataFrame, groups: list[str], found: DataFrame, same) -> DataFrame:
+        """The bucket that holds each wanted row, and the row's place in it."""
+        at = bucket_offsets(counted, groups).join(found, same).where(
+            (F.col("before") < F.col("_need")) & (F.col("_need") <= F.col("before") + F.col("n")))
+        return settle(at.select(F.col("cls").alias("_lc"), F.col("bucket").alias("_lb"), "k",
+                                (F.col("_need") - F.col("before")).alias("_need"), F.col("n").alias("_n")), "located")
+
+    first = wanted.select(F.col("cls").alias("_w"), "k", F.col("k").alias("_need"))
+    located = placed(counts, ["cls"], first, F.col("cls").eqNullSafe(F.col("_w")))
+    digits = SPLIT_PREFIX
+    while digits < 32 and (located.agg(F.max("_n")).first()[0] or 0) > most:
+        # the wanted buckets' rows alone are counted anew
+        inner = F.col("cls").eqNullSafe(F.col("_lc")) & (F.substring("digest", 1, digits) == F.col("_lb"))
+        parent, digits = digits, digits + 4
+        rows = keyed.join(located.select("_lc", "_lb").distinct(), inner, "left_semi")
+        finer = settle(rows.groupBy("cls", F.substring("digest", 1, parent).alias("parent"), F.substring("digest", 1, digits).alias(
+            "bucket")).agg(F.count(F.lit(1)).alias("n")), "buckets")
+        located = placed(finer, ["cls", "parent"], located.drop("_n"),
+                         F.col("cls").eqNullSafe(F.col("_lc")) & (F.col("parent") == F.col("_lb")))
+    here = F.col("cls").eqNullSafe(F.col("_lc")) & (F.substring("digest", 1, digits) == F.col("_lb"))
+    w = W.partitionBy("cls", F.substring("digest", 1, digits)).orderBy("digest")
     ranked = keyed.join(located.select("_lc", "_lb").distinct(), here, "left_semi").withColumn(
         "_rn", F.row_number().over(w))
     return ranked.join(located, here & (F.col("_rn") == F.col("_need"))).select("cls", "k", "digest")

@@ -385,7 +385,7 @@ DROPPING = ("drop_index_like_columns", "correlation_filter", "feature_importance
 
 def log_result(store: H.RunStore, result: AutoMLResult, cfg: AutoMLConfig, parent: str | None = None,
                reason: str | None = None) -> None:
-    """Appends a finished run to the store; runs are ordered by the time they are logged at."""
+    """Publishes a finished run in the store as a whole; runs are ordered by the time they are logged at."""
     run_id, fitted, new = result.run_id, result.trained, store.spark.createDataFrame
     settings = {"preprocessing": asdict(cfg.prepare), "feature_engineering": asdict(cfg.features),
                 "training": asdict(cfg.train), "evaluation": asdict(cfg.evaluate)}
@@ -396,14 +396,15 @@ def log_result(store: H.RunStore, result: AutoMLResult, cfg: AutoMLConfig, paren
     dropped = {d.column: d.reason for d in result.prepared.drops}
     dropped |= {c: kind for _, kind, columns in result.features.log if kind in DROPPING for c in columns
                 if c not in result.features.selected}
-    store.log_run(run_id, time.time_ns() // 1000, settings, facts, result.features.selected, parent, reason)
-    store.log_params(run_id, fitted.params)
-    store.log_table("run_dropped", run_id, new(list(dropped.items()), "feature string, reason string"))
-    store.log_table("run_comparison", run_id, fitted.leaderboard)
-    if fitted.trials is not None:
-        store.log_table("run_trials", run_id, fitted.trials.withColumn("value", F.col("cv_mean")))
-    if fitted.curve is not None:
-        store.log_table("run_curve", run_id, fitted.curve)
+    with store.attempt(run_id):
+        store.log_run(run_id, time.time_ns() // 1000, settings, facts, result.features.selected, parent, reason)
+        store.log_params(run_id, fitted.params)
+        store.log_table("run_dropped", run_id, new(list(dropped.items()), "feature string, reason string"))
+        store.log_table("run_comparison", run_id, fitted.leaderboard)
+        if fitted.trials is not None:
+            store.log_table("run_trials", run_id, fitted.trials.withColumn("value", F.col("cv_mean")))
+        if fitted.curve is not None:
+            store.log_table("run_curve", run_id, fitted.curve)
 
 
 def _signal_counts(quality: DataFrame) -> dict[str, int]:

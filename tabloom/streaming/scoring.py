@@ -1,4 +1,4 @@
-"""Stateless scoring of a stream of files."""
+"""Scoring of a stream of files: valid rows alone, or both routes at once."""
 
 from __future__ import annotations
 
@@ -29,3 +29,23 @@ def score_files(spark: SparkSession, source: str, schema, scorer: Scorer, keep:
     return (score_stream(rows, scorer, keep).writeStream.format("parquet").outputMode("append")
             .option("path", out).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def route_files(spark: SparkSession, source: str, schema, scorer: Scorer, keep: Sequence[str], scored: str,
+                rejected: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+    """Writes every row not yet seen to one of two places: predictions of valid rows, and invalid rows with their problems.
+
+    Each micro-batch is read and validated once. It goes to a folder of its own number in both places, which a replay
+    after a failure overwrites, so each row is there once."""
+    def write(batch: DataFrame, number: int) -> None:
+        marked = validate_rows(batch, scorer.schema).persist()
+        try:
+            valid, bad = split_valid(marked)
+            scorer.score(valid, keep).write.mode("overwrite").parquet(f"{scored}/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        finally:
+            marked.unpersist()
+
+    rows = spark.readStream.format(fmt).schema(schema).load(source)
+    return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

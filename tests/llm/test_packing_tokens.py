@@ -22,6 +22,19 @@ def test_added_tokens_are_recognised(spark):
     assert {r.doc_id: (r.length, r.ids_crc32, r.doc_tokens) for r in got.collect()} == want
 
 
+def test_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = [" " * 2_000_000 + "word", "a\t\n" * 3 + "\t" * 1_200_000, "ab" * 1_000_000, "=" * 2_000_000, "x " * 4000 + "\u00e9" * 6000 + " end",
+             "word" + " " * 4999 + "a" * 4999, " " * 5000]
+    enc = binpack.encoder(tokenizer_path())
+    for t in texts:
+        assert binpack.ids_of(enc, t).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+    packed = binpack.pack_documents(spark.createDataFrame(list(enumerate(texts[:2])), "doc_id long, text string"), tokenizer_path())
+    assert {r[0]: r[1] for r in packed.groupBy("doc_id").sum("length").collect()} == {i: len(binpack.ids_of(enc, t)) for i, t in enumerate(texts[:2])}
+
+
 def test_loss_spans_bind(spark):
     rows = [(i, "é one two three four five <|endoftext|> six", [(2, 7)] if i % 2 else None) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:long,length:long>>")

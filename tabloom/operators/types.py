@@ -20,9 +20,16 @@ SKETCH_SURE_MANY = 64
 DATE_LAYOUTS = ("M/d/yyyy", "M/d/yyyy H:mm", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy", "d.M.yyyy")
 
 
+# the sign that a value of each layout holds; a value that lacks it, or does not end in a digit, has not that shape
+LAYOUT_SIGNS = dict(zip(DATE_LAYOUTS, ("/", ":", "/", "-", ",", ".")))
+
+
 def parse_timestamp(c: Column) -> Column:
+    """ISO first; a layout is tried only on values of its shape, because a parse that fails costs an exception."""
+    ends_in_digit = F.substring(c, -1, 1).between("0", "9")
     return F.coalesce(c.try_cast("timestamp_ntz"), *[
-        F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in DATE_LAYOUTS])
+        F.when(ends_in_digit & c.contains(sign), F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz"))
+        for p, sign in LAYOUT_SIGNS.items()])
 
 
 def is_temporal(dtype: T.DataType) -> bool:

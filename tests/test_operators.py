@@ -450,3 +450,24 @@ def test_row_helpers(spark):
 def test_config_defaults():
     cfg = TrainConfig()
     assert (cfg.cv_folds, cfg.n_trials, cfg.ensemble_top_k) == (5, 20, 3)
+
+
+def test_layout_shapes_lose_no_date(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from tabloom.operators import types as T
+
+    rng = random.Random(0)
+    days = ["3/4/2021", "03/14/2021", "3/4/2021 7:05", "2021/3/4", "4-Mar-2021", "04-MAR-2021", "Mar 4, 2021", "4.3.2021", "2021-03-04",
+            "2021-03-04 10:11:12", " 2021-03-04 ", "2021", "+12021/3/4", "3/4/12021", "N/A", "1-URGENT", "CUST12", "", "12", "3/4/2021 ",
+            "31/31/2021", "10.5", "a,1", "T12:00", "4-Mar-2021\t", "2021-3-4T5:6", "\u0663/4/2021"]
+    alphabet = "0123456789/-.,: MarTZ+"
+    rows = days + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    rows += [list_of[:k] + rng.choice(alphabet) + list_of[k + rng.randrange(2):] for list_of in days for k in range(len(list_of))]
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    plain = F.coalesce(F.col("v").try_cast("timestamp_ntz"), *[
+        F.try_to_timestamp("v", F.lit(p)).cast("timestamp_ntz") for p in T.DATE_LAYOUTS])
+    both = df.select("v", plain.alias("a"), T.parse_timestamp(F.col("v")).alias("b"))
+    assert both.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+    assert both.where("b is not null").count() > 30

@@ -113,6 +113,19 @@ def test_stratified_split_sizes_and_members(skewed, monkeypatch, size, prefix):
     assert len(got) == math.ceil(size * len(rows))
 
 
+@pytest.mark.parametrize("prefix,most", [(1, 2), (2, 1), (1, 400)])
+def test_large_buckets_are_counted_again(skewed, monkeypatch, prefix, most):
+    rows, df = skewed
+    cut = G._cut_digests
+    monkeypatch.setattr(G, "SPLIT_PREFIX", prefix)
+    monkeypatch.setattr(G, "_cut_digests", lambda keyed, counts, wanted: cut(keyed, counts, wanted, most))
+    got = {r["id"] for r in G.train_test_split(df, "id", "cls", 0.2).where("split = 'test'").collect()}
+    assert got == brute_split([(r[0], r[1]) for r in rows], 0.2, 42)
+    folds = G.assign_folds(df, "id", 5, "cls")
+    monkeypatch.setattr(G, "_cut_digests", cut)
+    assert sorted(folds.select("id", "fold").collect()) == sorted(G.assign_folds(df, "id", 5, "cls").select("id", "fold").collect())
+
+
 def test_split_falls_back_when_a_class_is_too_small(spark):
     df = spark.createDataFrame([(i, "a" if i else "lonely") for i in range(50)], "id long, cls string")
     out = G.train_test_split(df, "id", "cls").collect()

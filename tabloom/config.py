@@ -88,6 +88,7 @@ class FeatureConfig:
 class TrainConfig:
     cv_folds: int = 5
     n_trials: int = 20
+    search: str = "model"  # "model": generations proposed from earlier scores, or "random"
     optimize: bool = True
     multi_model: bool = True
     ensemble: bool = False

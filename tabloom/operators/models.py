@@ -513,6 +513,112 @@ def random_search(data: DataFrame, row_key: str, spec: Spec, task: str, folds: i
     return trials[tags.index(best)], board
 
 
+def _scaled(kind: tuple, value: float) -> float:
+    """A numeric setting's place between its ends, on the scale that it is drawn on."""
+    low, high = kind[1], kind[2]
+    if kind[0] == "log":
+        low, high, value = math.log(low), math.log(high), math.log(value)
+    return (value - low) / (high - low) if high > low else 0.5
+
+
+def _unscaled(kind: tuple, place: float) -> Any:
+    low, high = kind[1], kind[2]
+    if kind[0] == "log":
+        return math.exp(math.log(low) + place * (math.log(high) - math.log(low)))
+    value = low + place * (high - low)
+    return min(max(round(value), low), high) if kind[0] == "int" else value
+
+
+def _log_density(kind: tuple, seen: Sequence[Any], value: Any) -> float:
+    """Log density of a value under bumps at the seen ones, with one flat part, so that nothing is impossible."""
+    if kind[0] == "choice":
+        options = list(kind[1])
+        return math.log((1 + sum(v == value for v in seen)) / (len(options) + len(seen)))
+    x, at = _scaled(kind, value), [_scaled(kind, v) for v in seen]
+    width = max(0.05, 0.5 / (1 + len(at)))
+    bumps = [math.exp(-0.5 * ((x - a) / width) ** 2) / (width * math.sqrt(2 * math.pi)) for a in at]
+    return math.log((1 + sum(bumps)) / (1 + len(at)))
+
+
+def propose_params(space: Mapping[str, tuple], done: Sequence[tuple[Mapping[str, Any], float]], rng: random.Random,
+                   drawn: int = 24, good_share: float = 0.25) -> dict[str, Any]:
+    """Settings for the next trial: of some drawn near the better trials, those that are the likelier among the better
+    the less likely among the rest. `done` holds settings and scores; failed or running trials count as -inf."""
+    ranked = sorted(done, key=lambda t: -t[1])
+    good = [t[0] for t in ranked[:max(1, math.ceil(good_share * len(ranked)))] if t[1] > -math.inf]
+    bad = [t[0] for t in ranked[len(good):]]
+    if not good:
+        return sample_params(space, rng)
+
+    def draw() -> dict[str, Any]:
+        flat = sample_params(space, rng)
+        out: dict[str, Any] = {}
+        for name in sorted(space):
+            kind, near = space[name], rng.randrange(len(good) + 1)
+            if near == len(good):
+                out[name] = flat[name]
+            elif kind[0] == "choice":
+                out[name] = good[near][name]
+            else:
+                width = max(0.05, 0.5 / (1 + len(good)))
+                out[name] = _unscaled(kind, min(max(rng.gauss(_scaled(kind, good[near][name]), width), 0.0), 1.0))
+        return out
+
+    def gain(params: Mapping[str, Any]) -> float:
+        return sum(_log_density(space[n], [g[n] for g in good], params[n]) - _log_density(space[n], [b[n] for b in bad], params[n])
+                   for n in space)
+
+    return max((draw() for _ in range(drawn)), key=gain)
+
+
+def search_loop(space: Mapping[str, tuple], trials: int, rng: random.Random, evaluate, first: int = 5,
+                generation: int = 5) -> list[tuple[dict[str, Any], float]]:
+    """Settings and scores of all trials. The first ones are random; after them each generation is proposed from all
+    scores so far. `evaluate` scores a list of settings at once; a trial that failed is -inf."""
+    done: list[tuple[dict[str, Any], float]] = []
+    while len(done) < trials:
+        n = min(trials - len(done), generation if done else first)
+        batch: list[dict[str, Any]] = []
+        for _ in range(n):
+            # proposals of one generation keep away from each other
+            running = [(p, -math.inf) for p in batch]
+            batch.append(propose_params(space, [*done, *running], rng) if done else sample_params(space, rng))
+        done += list(zip(batch, evaluate(batch)))
+    return done
+
+
+def model_search(data: DataFrame, row_key: str, spec: Spec, task: str, folds: int, cfg: TrainConfig = TrainConfig(),
+                 binned: T.Binned | None = None) -> tuple[Spec, DataFrame]:
+    """Like random_search, but trials come in generations that are proposed from the scores before them. A trial whose
+    learner fails takes part as the worst, and is left out of the trial table."""
+    scores, specs = [], {}
+
+    def evaluate(batch: list[dict[str, Any]]) -> list[float]:
+        own = {f"t{len(specs) + i}": replace(spec, params={**spec.params, **p}) for i, p in enumerate(batch)}
+        specs.update(own)
+        try:
+            cv = cross_validate(data, row_key, list(own.values()), task, folds, cfg, prefixes=list(own), keep_rows=False, binned=binned)
+        except RuntimeError:  # every trial of the generation failed
+            return [-math.inf] * len(batch)
+        scores.append(cv.scores)
+        means = {r["tag"]: r["m"] for r in cv.scores.groupBy("tag").agg(F.avg("score").alias("m")).collect()}
+        return [means[t] if means.get(t) is not None else -math.inf for t in own]
+
+    found = search_loop(spec.space, cfg.n_trials, random.Random(cfg.seed), evaluate)
+    if not scores:
+        raise RuntimeError(f"every trial of {spec.name} failed")
+    params = data.sparkSession.createDataFrame(
+        [(t, json.dumps(s.params, sort_keys=True)) for t, s in specs.items()], "trial string, params string")
+    # one row per trial on both sides
+    board = settle(leaderboard(reduce(DataFrame.unionByName, scores), by="tag").withColumnRenamed("tag", "trial")
+                   .join(F.broadcast(params), "trial"), "trials")
+    best = max(range(len(found)), key=lambda i: (found[i][1], -i))
+    return specs[f"t{best}"], board
+
+
+SEARCHES = {"random": random_search, "model": model_search}
+
+
 # --- single model ------------------------------------------------------------------------
 
 @dataclass

@@ -267,7 +267,7 @@ def train(vectors: DataFrame, row_key: str, specs: Sequence[M.Spec], task: str,
             binned[inner] = TR.bin_rows(search_rows, row_key, task)
         tuned, boards = [], []
         for s in specs:
-            found, board = M.random_search(search_rows, row_key, s, task, inner, t, binned.get(inner)) if s.space else (s, None)
+            found, board = M.SEARCHES[t.search](search_rows, row_key, s, task, inner, t, binned.get(inner)) if s.space else (s, None)
             tuned.append(found)
             if board is not None:
                 boards.append(board.withColumn("model", F.lit(s.name)))

@@ -272,6 +272,13 @@ def row_filter(spark, sf):
         KEY, "target")
 
 
+@query("split_target", sql("ord_dirty", f"SELECT target, {len(DIRTY_COLUMNS) - 1} AS features, count(*) AS n FROM ord_dirty GROUP BY target"))
+def split_target(spark, sf):
+    """The target apart from its features: how often each value occurs, beside the number of features."""
+    features, target = R.split_target(ord_dirty(spark, sf), "target")
+    return target.groupBy("target").agg(F.lit(len(features.columns)).alias("features"), F.count(F.lit(1)).alias("n"))
+
+
 @query("missing_target_filter", sql(
     "ord_dirty", "SELECT count(*) FILTER (WHERE target IS NULL) AS rows_removed, "
     "count(target) AS rows_kept FROM ord_dirty"))

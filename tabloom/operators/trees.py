@@ -504,15 +504,17 @@ def _grow(growth: Growth, bins: np.ndarray, times: np.ndarray, h: np.ndarray, g:
         node = 2 * rank + (bins[feature[node], np.arange(len(node))] > edge[node])
 
 
-def fit_block(block: Block, fit: Fit, goal: Goal) -> tuple[Trees, np.ndarray]:
-    """The trees of one fit, and the margins of all rows (outputs x rows). Held rows are scored, not learnt from."""
+def fit_block(block: Block, fit: Fit, goal: Goal, first: int = 0, count: int = 0) -> tuple[Trees, np.ndarray]:
+    """The trees of one fit, and the margins of all rows (outputs x rows). Held rows are scored, not learnt from.
+
+    Trees of a forest do not depend on each other, so `count` of them from `first` on can be grown alone (0: all)."""
     p, features = fit.params, block.bins.shape[0]
     seen = np.flatnonzero(block.fold != fit.held)
     part = Block(block.bins[:, seen], *(x[seen] for x in (block.label, block.weight, block.fold, block.hash)))
     margins = goal.margins(p, len(block.label))
     parts, output = [], []
     forest = None if p.boosted else goal.gradients(p, part, None)
-    for t in range(p.trees):
+    for t in range(first, min(first + (count or p.trees), p.trees)):
         times = drawn(p, t, part.hash)
         if p.boosted:
             g, h = goal.gradients(p, part, margins[:, seen])
@@ -831,15 +833,28 @@ def _sent_block(binned: Binned) -> Block:
     return Block(whole.bins[:, order], whole.label[order], whole.weight[order], whole.fold[order], whole.hash[order])
 
 
-def _dealt(spark: SparkSession, jobs: Sequence[tuple], run, schema: str) -> DataFrame:
-    """Runs `run` in one task per job."""
+def _dealt(spark: SparkSession, jobs: Sequence[tuple[Fit, int, int]], run, schema: str) -> DataFrame:
+    """Runs `run` in one task per job: a fit, its first tree, and how many."""
     # long jobs first
-    order = sorted(jobs, key=lambda f: -f.params.trees * 2 ** min(f.params.depth, 8))
-    frame = importable(spark).createDataFrame([(k, json.dumps(asdict(f.params)) + "\n" + f.tag, f.held) for k, f in enumerate(order)],
-                                              "rank int, job string, held int")
+    order = sorted(jobs, key=lambda j: -(j[2] or j[0].params.trees) * 2 ** min(j[0].params.depth, 8))
+    frame = importable(spark).createDataFrame([(k, _named(f), f.held, first, count) for k, (f, first, count) in enumerate(order)],
+                                              "rank int, job string, held int, first int, count int")
     return frame.repartitionByRange(max(1, len(jobs)), "rank").mapInArrow(run, schema)
 
 
+def _named(fit: Fit) -> str:
+    return json.dumps(asdict(fit.params)) + "\n" + fit.tag
+
+
+def _appended(parts: Sequence[Trees]) -> Trees:
+    """Trees of several parts as one model."""
+    size = np.array([len(p.feature) for p in parts])
+    at = np.cumsum(size) - size
+    cat = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return Trees(np.concatenate([p.root + a for p, a in zip(parts, at)]), cat("output"), cat("feature"), cat("bin"),
+                 np.concatenate([p.left + a for p, a in zip(parts, at)]), cat("value"), cat("gain"), cat("rows"))
+
+
 def _job(row) -> Fit:
     settings, tag = row["job"].split("\n", 1)
     return Fit(tag, TreeParams(**json.loads(settings)), row["held"])
@@ -866,13 +881,21 @@ def fit_models(binned: Binned, fits: Sequence[Fit], limit: int = LIMITS.tree_blo
 
         for batch in batches:
             for row in batch.to_pylist():
-                trees, _ = fit_block(sent.value, _job(row), goal)
-                yield pa.RecordBatch.from_pylist([{"job": row["job"], "held": row["held"], "trees": pickle.dumps(trees)}])
+                trees, _ = fit_block(sent.value, _job(row), goal, row["first"], row["count"])
+                yield pa.RecordBatch.from_pylist([{"job": row["job"], "held": row["held"], "first": row["first"], "trees": pickle.dumps(trees)}])
 
-    found = {(r["job"], r["held"]): pickle.loads(r["trees"])
-             for r in _dealt(spark, fits, run, "job string, held long, trees binary").collect()}
+    # few fits leave tasks idle, so that forests are cut into parts
+    share = max(1, spark.sparkContext.defaultParallelism // max(1, len(fits)))
+    jobs = []
+    for f in fits:
+        step = f.params.trees if f.params.boosted else max(5, -(-f.params.trees // share))
+        jobs += [(f, first, step) for first in range(0, f.params.trees, step)]
+    parts: dict[tuple, list] = {}
+    for r in _dealt(spark, jobs, run, "job string, held long, first long, trees binary").collect():
+        parts.setdefault((r["job"], r["held"]), []).append((r["first"], pickle.loads(r["trees"])))
     sent.unpersist()
-    return [TreeModel(f.params, goal, binned.edges, found[json.dumps(asdict(f.params)) + "\n" + f.tag, f.held]) for f in fits]
+    found = {k: _appended([t for _, t in sorted(v, key=lambda p: p[0])]) for k, v in parts.items()}
+    return [TreeModel(f.params, goal, binned.edges, found[_named(f), f.held]) for f in fits]
 
 
 def held_out(binned: Binned, fits: Sequence[Fit], limit: int = LIMITS.tree_block_bytes) -> DataFrame:
@@ -908,7 +931,7 @@ def held_out(binned: Binned, fits: Sequence[Fit], limit: int = LIMITS.tree_block
                     if own.any():
                         yield pa.RecordBatch.from_pylist(told(fit, block.label[own], margins[:, own]))
 
-        rows = _dealt(spark, fits, run, schema)
+        rows = _dealt(spark, [(f, 0, 0) for f in fits], run, schema)
     else:
         parts = []
         for kind in (True, False):

@@ -58,6 +58,16 @@ def test_many_blocks_grow_the_trees_of_one(vectors, target):
         assert sorted(map(tuple, T.held_out(binned, fits).collect())) == sorted(map(tuple, T.held_out(binned, fits, 0).collect()))
 
 
+def test_parts_of_a_forest_are_the_forest(vectors):
+    binned = T.bin_rows(labelled(vectors, "three"), "id", "classification")
+    params = T.TreeParams(False, 23, 4, columns="sqrt")
+    cut = T.fit_models(binned, [T.Fit("f", params)])[0]                                     # alone: cut into parts
+    whole = T.fit_models(binned, [T.Fit(f"f{i}", params, i % 3 - 1) for i in range(12)])[0]  # many fits: one task each
+    for name in ("root", "output", "feature", "bin", "left", "value", "gain", "rows"):
+        assert np.array_equal(getattr(cut.trees, name), getattr(whole.trees, name)), name
+    assert len(cut.trees.root) == 23
+
+
 def test_jobs_do_not_grow_with_fits(vectors, spark):
     binned = T.bin_rows(labelled(vectors, "y"), "id", "regression")
     counts = []

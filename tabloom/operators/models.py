@@ -31,6 +31,7 @@ from ..functions.scratch import settle
 from . import trees as T
 from .evaluate import (confusion_counts, probabilities_from_margin, probabilities_from_margins,
                        regression_metrics, weighted_scores)
+from .kernel import KernelLearner
 from .ridge import RidgeLearner, fold_grams, held_scores, solve_without
 
 
@@ -131,7 +132,7 @@ def default_params(name: str, rows: int) -> dict[str, Any]:
         "XGBoost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1},
         "LightGBM": {"n_estimators": 100, "max_depth": 8, "learning_rate": 0.1},
         "LogisticRegression": {"max_iter": 1000, "C": 1.0},
-        "Ridge": {"alpha": 1.0}, "SVM": {"C": 1.0}, "SVR": {"C": 1.0},
+        "Ridge": {"alpha": 1.0}, "SVM": {"C": 1.0, "kernel": "rbf"}, "SVR": {"C": 1.0, "kernel": "rbf"},
     }[name]
 
 
@@ -219,7 +220,7 @@ def tree_params(spec: Spec, task: str, seed: int = 42) -> T.TreeParams:
 
 def make_estimator(spec: Spec, ctx: FitContext):
     """The learner for a spec: histogram trees, ridge by its normal equations, or a Spark ML estimator. Margin models
-    are linear; binary-only learners are wrapped one-vs-rest."""
+    have a Gaussian kernel, or none with kernel="linear"; binary-only learners are wrapped one-vs-rest."""
     p, name = spec.params, spec.name
     cols = {"featuresCol": "features", "labelCol": "label"}
     weight = {"weightCol": ctx.weight_col} if ctx.weight_col and name in WEIGHTED else {}
@@ -231,16 +232,23 @@ def make_estimator(spec: Spec, ctx: FitContext):
         return LogisticRegression(regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)),
                                   maxIter=int(p.get("max_iter", 1000)), standardization=False,
                                   **cols, **weight)
-    if name == "SVM":
-        svm = LinearSVC(regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)), maxIter=100,
-                        **cols, **weight)
-        return OneVsRest(classifier=svm, **cols, **weight) if ctx.classes > 2 else svm
-    if name == "SVR":  # robust linear fit: quadratic near the line, linear beyond
-        return LinearRegression(loss="huber", epsilon=1.35, standardization=False,
-                                regParam=1 / (float(p.get("C", 1.0)) * max(ctx.rows, 1)), **cols)
+    if name in ("SVM", "SVR") and p.get("kernel", "rbf") == "rbf":
+        return KernelLearner(ctx.task, float(p.get("C", 1.0)), ctx.classes, int(p.get("n_features", 256)), ctx.seed, p.get("gamma"),
+                             weight.get("weightCol"), label_std=ctx.label_std)
+    if name in ("SVM", "SVR"):
+        return _linear_margin(spec, ctx, cols | weight)
     raise ValueError(f"unknown model {name!r}")
 
 
+def _linear_margin(spec: Spec, ctx: FitContext, columns: dict[str, str]):
+    """Hinge loss for classes, Huber loss (quadratic near the line, linear beyond) for numbers."""
+    penalty = 1 / (float(spec.params.get("C", 1.0)) * max(ctx.rows, 1))
+    if spec.name == "SVR":
+        return LinearRegression(loss="huber", epsilon=1.35, standardization=False, regParam=penalty, **columns)
+    svm = LinearSVC(regParam=penalty, maxIter=100, **columns)
+    return OneVsRest(classifier=svm, **columns) if ctx.classes > 2 else svm
+
+
 def class_probabilities(scored: DataFrame) -> Column | None:
     """Array of class probabilities of a scored frame, from margins where a model has no own."""
     if "probability" in scored.columns:

@@ -12,11 +12,10 @@ from pyspark.ml.feature import (PCA, PCAModel, StandardScaler, StandardScalerMod
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import COPY_WORDS, LIMITS, FeatureConfig
-from ..functions.columns import count_true, numeric_columns, ref
+from ..functions.columns import numeric_columns, ref
 from .profile import CoMoments, column_centers, correlations
 
 MUL, DIV, ADD, SUB = "__mul__", "__div__", "__add__", "__sub__"
@@ -100,30 +99,23 @@ class Moments:
     r: dict[tuple[str, str], float]
 
 
-def moments(df: DataFrame, columns: Sequence[str], limit: int = LIMITS.correlation_columns) -> Moments:
-    """Variances and pairwise r of all numeric columns.
+def moments(df: DataFrame, columns: Sequence[str], limit: int = LIMITS.correlation_columns,
+            at_least: float | None = None) -> Moments:
+    """Variances and pairwise r of all numeric columns (those of at least a |r|, if given).
 
-    A modest number of columns shares one aggregate. Wide, complete data goes through the
-    distributed Gram matrix of Spark ML; wide data with gaps through batches of pairs.
+    A modest number of columns shares one aggregate; more go through tiles, of which only the wanted pairs return.
     """
     cols, pairs = list(columns), list(combinations(columns, 2))
+    variances = [F.var_pop(ref(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
     if len(cols) <= limit:
         co = CoMoments(column_centers(df, cols), pairs)
-        row = df.agg(*[F.var_pop(ref(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)],
-                     *co.sums()).first()
-        return Moments({c: row[f"v{i}"] or 0.0 for i, c in enumerate(cols)},
-                       {p: r for p, r in co.solve(row).items() if r is not None})
-    head = df.agg(*[F.var_pop(ref(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)],
-                  *[count_true(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    variance = {c: head[f"v{i}"] or 0.0 for i, c in enumerate(cols)}
-    if any(head[f"m{i}"] for i in range(len(cols))):
-        return Moments(variance, {p: r for p, r in correlations(df, pairs).items() if r is not None})
-    spread = [c for c in cols if variance[c] > 0]
-    doubles = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(spread)])
-    vectors = VectorAssembler(inputCols=doubles.columns, outputCol="v").transform(doubles)
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    return Moments(variance, {(a, b): float(matrix[i, j])
-                              for (i, a), (j, b) in combinations(enumerate(spread), 2)})
+        row = df.agg(*variances, *co.sums()).first()
+        r = co.solve(row)
+    else:
+        row = df.agg(*variances).first()
+        r = correlations(df, pairs, at_least=at_least)
+    return Moments({c: row[f"v{i}"] or 0.0 for i, c in enumerate(cols)},
+                   {p: x for p, x in r.items() if x is not None and (at_least is None or abs(x) >= at_least)})
 
 
 def weaker_of_pair(left: str, right: str, variance: Mapping[str, float]) -> str:

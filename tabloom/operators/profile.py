@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -128,6 +129,7 @@ class Centers:
 
     mean: dict[str, float]
     gaps: frozenset[str]
+    rows: int = 0
 
 
 def column_centers(df: DataFrame, columns: Sequence[str]) -> Centers:
@@ -136,7 +138,7 @@ def column_centers(df: DataFrame, columns: Sequence[str]) -> Centers:
     row = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(cols) for e in (
         F.avg(ref(c).cast("double")).alias(f"a{i}"), F.count(ref(c)).alias(f"n{i}"))]).first()
     return Centers({c: row[f"a{i}"] or 0.0 for i, c in enumerate(cols)},
-                   frozenset(c for i, c in enumerate(cols) if row[f"n{i}"] < row["n"]))
+                   frozenset(c for i, c in enumerate(cols) if row[f"n{i}"] < row["n"]), row["n"])
 
 
 class CoMoments:
@@ -196,71 +198,173 @@ class CoMoments:
         return out
 
 
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]],
-                 batch: int = 200) -> dict[tuple[str, str], float | None]:
-    """r per pair: one light scan for the means, then one scan for all pairs.
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], batch: int = 200,
+                 at_least: float | None = None) -> dict[tuple[str, str], float | None]:
+    """r per pair on the driver: one light scan for the means, then one scan for all pairs.
 
-    Up to `batch` pairs are plain sums; more are taken from Gram matrices.
+    Up to `batch` pairs are plain sums; more come from tiles. With `at_least`, pairs of a smaller |r| or none are left
+    out, before anything is collected.
     """
     if not pairs:
         return {}
     centers = column_centers(df, [c for p in pairs for c in p])
     if len(pairs) > batch:
-        return gram_correlations(df, centers, pairs)
+        found = tile_correlations(df, centers, tiles_of_pairs(pairs))
+        if at_least is not None:
+            found = found.where(F.abs("r") >= at_least)
+        return {(x["col_a"], x["col_b"]): x["r"] for x in found.collect()}
     m = CoMoments(centers, pairs)
-    return m.solve(df.agg(*m.sums()).first())
+    out = m.solve(df.agg(*m.sums()).first())
+    return out if at_least is None else {p: r for p, r in out.items() if r is not None and abs(r) >= at_least}
 
 
-def gram_correlations(df: DataFrame, centers: Centers, pairs: Sequence[tuple[str, str]]
-                      ) -> dict[tuple[str, str], float | None]:
-    """Pairwise-complete r of many pairs from one scan.
+@dataclass(frozen=True)
+class Tile:
+    """Left against right columns; `wanted` tells which of their pairs are asked for (all if None)."""
+
+    left: tuple[str, ...]
+    right: tuple[str, ...]
+    wanted: np.ndarray | None = None
+
+
+TILE = 256
+
+
+def tiles_of_columns(cols: Sequence[str], diagonal: bool = False) -> list[Tile]:
+    """Every pair of the columns once, earlier column first; with itself too if `diagonal`."""
+    blocks = [tuple(cols[i:i + TILE]) for i in range(0, len(cols), TILE)]
+    own = [Tile(b, b, np.triu(np.ones((len(b), len(b)), bool), 0 if diagonal else 1)) for b in blocks]
+    return own + [Tile(a, b) for a, b in combinations(blocks, 2)]
+
+
+def tiles_of_pairs(pairs: Sequence[tuple[str, str]]) -> list[Tile]:
+    """Pairs by the blocks of their columns: pairs with one target make narrow tiles, a product of vectors."""
+    place = {c: i for i, c in enumerate(dict.fromkeys(c for p in pairs for c in p))}
+    groups: dict[tuple[int, int], list] = {}
+    for a, b in dict.fromkeys(pairs):
+        groups.setdefault((place[a] // TILE, place[b] // TILE), []).append((a, b))
+    out = []
+    for group in groups.values():
+        left, right = (list(dict.fromkeys(p[k] for p in group)) for k in (0, 1))
+        at_left, at_right = ({c: i for i, c in enumerate(side)} for side in (left, right))
+        wanted = np.zeros((len(left), len(right)), bool)
+        for a, b in group:
+            wanted[at_left[a], at_right[b]] = True
+        out.append(Tile(tuple(left), tuple(right), wanted))
+    return out
 
-    Each task multiplies its blocks of centred, zero-filled values V, squares Q and presence marks M:
-    M'M counts the rows of a pair, V'M and Q'M are one column's sums where the other is present, V'V
-    are the products. Only these square matrices leave a task, and are summed by cell.
-    """
-    cols = list(dict.fromkeys(c for p in pairs for c in p))
-    shift = [float(centers.mean[c]) for c in cols]
 
-    def run(batches):
-        total = None
+def tile_correlations(df: DataFrame, centers: Centers, tiles: Sequence[Tile], cells: int = 16_000_000) -> DataFrame:
+    """(col_a, col_b, r): pairwise-complete r of the pairs of all tiles; r is null where a side does not vary.
+
+    A task adds up the products of its rows per tile; tiles are summed by number, first in several tasks each, and
+    solved where their sum ends, so that nothing of the size of the pairs comes to the driver. A tile of complete columns
+    holds their own sums and one product matrix; one with gaps, six matrices of the rows where both values are
+    present. A scan reads the columns of as many tiles as fit `cells` numbers in a task.
+    """
+    scans, room = [], 0
+    for t in tiles:
+        size = len(t.left) * len(t.right) * (6 if centers.gaps.intersection(t.left + t.right) else 1)
+        if not scans or room + size > cells:
+            scans.append([])
+            room = 0
+        scans[-1].append(t)
+        room += size
+    if not scans:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    return reduce(DataFrame.unionAll, [_scan_tiles(df, centers, s) for s in scans])
+
+
+def _scan_tiles(df: DataFrame, centers: Centers, tiles: Sequence[Tile]) -> DataFrame:
+    cols = list(dict.fromkeys(c for t in tiles for c in t.left + t.right))
+    place = {c: i for i, c in enumerate(cols)}
+    shift = np.array([float(centers.mean[c]) for c in cols])
+    sides = [([place[c] for c in t.left], [place[c] for c in t.right]) for t in tiles]
+    names = [(t.left, t.right, t.wanted) for t in tiles]
+    gappy = [bool(centers.gaps.intersection(t.left + t.right)) for t in tiles]
+
+    def products(batches):
+        sums = [None] * len(names)
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], 1)
+            if not batch.num_rows:
+                continue
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], 1) - shift
             mark = ~np.isnan(x)
-            v = np.where(mark, x - shift, 0.0)
-            m = mark.astype(np.float64)
-            part = np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
-            total = part if total is None else total + part
-        if total is not None:
-            k = len(shift)
-            i, j = np.divmod(np.arange(k * k), k)
+            m, v = mark.astype(np.float64), np.where(mark, x, 0.0)
+            q = v * v
+            total, square = v.sum(0), q.sum(0)
+            for k, (a, b) in enumerate(sides):
+                va, vb = v[:, a], v[:, b]
+                if gappy[k]:
+                    ma, mb = m[:, a], m[:, b]
+                    part = [ma.T @ mb, va.T @ mb, q[:, a].T @ mb, ma.T @ vb, ma.T @ q[:, b], va.T @ vb]
+                else:
+                    part = [np.array([len(v)]), total[a], square[a], total[b], square[b], va.T @ vb]
+                flat = np.concatenate([y.ravel() for y in part])
+                sums[k] = flat if sums[k] is None else sums[k] + flat
+        yield from told({k: y for k, y in enumerate(sums) if y is not None})
+
+    def told(sums):
+        for k, y in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([y], pa.list_(pa.float64()))],
+                                             names=["tile", "sums"])
+
+    def summed(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                y = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                sums[k] = sums[k] + y if k in sums else np.array(y)
+        return sums
+
+    def added(batches):
+        yield from told(summed(batches))
+
+    def solved(batches):
+        for k, y in summed(batches).items():
+            left, right, wanted = names[k]
+            w, h = len(left), len(right)
+            if gappy[k]:
+                n, sa, qa, sb, qb, p = (z.reshape(w, h) for z in np.split(y, 6))
+            else:
+                n, sa, qa, sb, qb, p = np.split(y, np.cumsum([1, w, w, h, h]))
+                sa, qa, p = sa[:, None], qa[:, None], p.reshape(w, h)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                spread = [q - s * s / n for s, q in ((sa, qa), (sb, qb))]
+                # what rounding leaves of a constant column is not spread
+                varies = (n > 0) & (spread[0] > qa * 1e-13) & (spread[1] > qb * 1e-13)
+                r = np.clip((p - sa * sb / n) / (np.sqrt(spread[0]) * np.sqrt(spread[1])), -1.0, 1.0)
+            i, j = np.nonzero(np.ones((w, h), bool) if wanted is None else wanted)
+            varies = np.broadcast_to(varies, (w, h))[i, j]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i), pa.array(j), *[pa.array(t.ravel()) for t in total]],
-                names=["i", "j", "n", "s", "q", "p"])
+                [pa.array([left[x] for x in i], pa.string()), pa.array([right[x] for x in j], pa.string()),
+                 pa.array(r[i, j], pa.float64(), mask=~varies)], names=["col_a", "col_b", "r"])
 
     numbers = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    cells = (numbers.mapInArrow(run, "i long, j long, n double, s double, q double, p double")
-             .groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in "nsqp"]))
-    got = {(r["i"], r["j"]): r for r in cells.collect()}
-    place, out = {c: i for i, c in enumerate(cols)}, {}
-    for a, b in pairs:
-        x, y = got.get((place[a], place[b])), got.get((place[b], place[a]))
-        out[a, b] = None
-        if x and x["n"] > 1:
-            va, vb = x["q"] - x["s"] ** 2 / x["n"], y["q"] - y["s"] ** 2 / x["n"]
-            if va > 0 and vb > 0:
-                r = (x["p"] - x["s"] * y["s"] / x["n"]) / (math.sqrt(va) * math.sqrt(vb))
-                out[a, b] = max(-1.0, min(1.0, r))
-    return out
+    schema = "tile int, sums array<double>"
+    parts = (numbers.mapInArrow(products, schema).withColumn("salt", F.spark_partition_id() % 16)
+             .repartition("tile", "salt"))
+    found = parts.mapInArrow(added, schema).repartition("tile").mapInArrow(solved, "col_a string, col_b string, r double")
+    if not centers.rows:  # no row told of any tile
+        empty = [(a, b, None) for left, right, wanted in names for i, a in enumerate(left) for j, b in enumerate(right)
+                 if wanted is None or wanted[i, j]]
+        return df.sparkSession.createDataFrame(empty, "col_a string, col_b string, r double")
+    return found
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None,
-                      pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """(col_a, col_b, r) for each pair, pairwise complete."""
-    todo = list(pairs if pairs is not None
-                else combinations(columns or numeric_columns(df), 2))
+                      pairs: Sequence[tuple[str, str]] | None = None, diagonal: bool = False,
+                      batch: int = 200) -> DataFrame:
+    """(col_a, col_b, r) for each pair, pairwise complete: the given pairs or all of the columns (with themselves if
+    `diagonal`). More than `batch` pairs stay in a DataFrame throughout."""
+    cols = list(columns or numeric_columns(df)) if pairs is None else []
+    count = len(pairs) if pairs is not None else len(cols) * (len(cols) - 1) // 2 + len(cols) * diagonal
+    if count > batch:
+        tiles = tiles_of_columns(cols, diagonal) if pairs is None else tiles_of_pairs(pairs)
+        return tile_correlations(df, column_centers(df, cols or [c for p in pairs for c in p]), tiles)
+    todo = list(pairs) if pairs is not None else list(combinations(cols, 2)) + [(c, c) for c in cols if diagonal]
     return df.sparkSession.createDataFrame(
-        [(a, b, r) for (a, b), r in correlations(df, todo).items()],
+        [(a, b, r) for (a, b), r in correlations(df, todo, batch).items()],
         "col_a string, col_b string, r double")
 
 
@@ -269,8 +373,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     cols = list(columns or numeric_columns(df))
     if len(cols) < 2:
         return correlation_pairs(df, pairs=[])
-    pairs = list(combinations(cols, 2)) + [(c, c) for c in cols]
-    upper = correlation_pairs(df, pairs=pairs)
+    upper = correlation_pairs(df, cols, diagonal=True)
     both = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b"))).otherwise(
         F.array(F.struct("col_a", "col_b"),
                 F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"))))

@@ -186,7 +186,7 @@ def engineer(df: DataFrame, row_key: str, target: str, task: str,
         steps.append(Derived(list(generated)))
         frame = steps[-1].apply(frame)
     columns, numeric = columns + generated, numeric + generated
-    redundant = X.redundant_columns(numeric, X.moments(fit_rows(frame), numeric),
+    redundant = X.redundant_columns(numeric, X.moments(fit_rows(frame), numeric, at_least=cfg.correlation_threshold),
                                     cfg.correlation_threshold)
     note("correlation_filter", redundant)
     columns = [c for c in columns if c not in redundant]

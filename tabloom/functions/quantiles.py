@@ -2,11 +2,11 @@
 
 Spark's `percentile` keeps every distinct value of a column in the final task. That is fine
 for a measured small row count and is what we use there. Above the limit we narrow instead:
-a mergeable sketch gives a bracket around each wanted order statistic, one scan counts what
-lies below and inside it, and the step repeats until what is left is small enough. Values at
-the ends of a bracket are peeled off with their counts, so a value that fills a third of the
-column ends the search instead of stalling it. Every pass is a map-side-combined aggregate
-whose state is a few kilobytes per column.
+one scan counts the values between some thousand cuts for all columns and ranks together, each
+wanted rank keeps the smallest and the largest value of its interval as its new ends, and the
+step repeats until few values are left, which are then read. Cuts divide the bits of a double,
+so every scan narrows by a fixed factor; a heavy value is an interval of its own at once. What
+a scan gives back is one row per interval, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -15,30 +15,38 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import LIMITS
 from .columns import ref
+from .workers import importable
 
-_ACCURACY = 2000
+_CUTS = 1 << 15     # of all columns in one scan
+_READ = 100_000     # values that the driver reads in the end
 
 
 @dataclass
 class _RankSearch:
-    """Where the value of 0-based rank `rank` can still be: `inside` rows in [lo, hi]."""
+    """Where the value of 0-based rank `rank` can still be: `inside` rows whose bits lie in [lo, hi]."""
 
-    column: str
+    column: int
     rank: int
-    lo: float
-    hi: float
+    lo: int
+    hi: int
     inside: int
     below: int = 0
-    width: float = 2 / _ACCURACY
-    value: float | None = None
 
-    def box(self) -> Column:
-        c = F.col(self.column)
-        return F.when(c.between(self.lo, self.hi), c)
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers of the same order, NaN last; both zeros are one."""
+    raw = np.where(np.isnan(values), np.nan, values + 0.0).view(np.int64)
+    return np.where(raw < 0, raw ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), raw)
+
+
+def _double(bits: int) -> float:
+    raw = np.int64(bits) if bits >= 0 else np.int64(bits) ^ np.int64(0x7FFF_FFFF_FFFF_FFFF)
+    return float(raw.view(np.float64))
 
 
 def exact_quantiles(
@@ -66,32 +74,27 @@ def exact_quantiles(
 
 
 def _by_narrowing(base: DataFrame, names: list[str], probs: Sequence[float], limit: int):
+    importable(base.sparkSession)
     ends = base.agg(*[f(n).alias(f"{n}_{k}") for n in names
                       for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     searches: dict[tuple[str, int], _RankSearch] = {}
-    for n in names:
+    for i, n in enumerate(names):
         size = ends[f"{n}_n"]
+        if size:
+            lo, hi = _bits(np.array([ends[f"{n}_lo"], ends[f"{n}_hi"]], float)).tolist()
         for p in probs:
             low = math.floor(p * (size - 1)) if size else 0
             for rank in {low, min(low + 1, size - 1)} if size else ():
-                searches[n, rank] = _RankSearch(n, rank, ends[f"{n}_lo"], ends[f"{n}_hi"], size)
-
-    while True:
-        for s in searches.values():
-            if s.value is None and s.lo == s.hi:
-                s.value = s.lo
-        open_ = [s for s in searches.values() if s.value is None]
-        wide = [s for s in open_ if s.inside > max(1, limit // len(open_))]
-        if not wide:
+                searches[n, rank] = _RankSearch(i, rank, lo, hi, size)
+
+    while open_ := [s for s in searches.values() if s.lo < s.hi]:
+        boxes = {(s.column, s.lo, s.hi): s.inside for s in open_}
+        if sum(boxes.values()) <= min(limit, _READ):
+            found = _values_inside(base, boxes)
+            for s in open_:
+                s.lo = s.hi = int(found[s.column, s.lo, s.hi][s.rank - s.below])
             break
-        _narrow_once(base, wide)
-    left = [s for s in searches.values() if s.value is None]
-    if left:
-        row = base.agg(*[
-            F.percentile(s.box(), (s.rank - s.below) / max(s.inside - 1, 1)).alias(f"v{i}")
-            for i, s in enumerate(left)]).first()
-        for i, s in enumerate(left):
-            s.value = row[f"v{i}"]
+        _narrow_once(base, open_, boxes)
 
     result = []
     for n in names:
@@ -102,50 +105,74 @@ def _by_narrowing(base: DataFrame, names: list[str], probs: Sequence[float], lim
                 continue
             pos = p * (size - 1)
             low = math.floor(pos)
-            a, b = searches[n, low].value, searches[n, min(low + 1, size - 1)].value
+            a, b = (_double(searches[n, r].lo) for r in (low, min(low + 1, size - 1)))
             values.append(a if a == b else a + (b - a) * (pos - low))
         result.append(values)
     return result
 
 
-def _narrow_once(base: DataFrame, searches: list[_RankSearch]) -> None:
-    exprs = []
-    for i, s in enumerate(searches):
-        c = F.col(s.column)
-        at = (s.rank - s.below) / max(s.inside - 1, 1)
-        ask = [max(0.0, at - s.width), min(1.0, at + s.width)]
-        exprs += [
-            F.percentile_approx(s.box(), ask, _ACCURACY).alias(f"q{i}"),
-            F.count(F.when(c == s.lo, 1)).alias(f"at_lo{i}"),
-            F.count(F.when(c == s.hi, 1)).alias(f"at_hi{i}"),
-            F.min(F.when((c > s.lo) & (c <= s.hi), c)).alias(f"after_lo{i}"),
-            F.max(F.when((c < s.hi) & (c >= s.lo), c)).alias(f"before_hi{i}"),
-        ]
-    row = base.agg(*exprs).first()
-    asks = {}
-    for i, s in enumerate(searches):
-        at_lo, at_hi = row[f"at_lo{i}"], row[f"at_hi{i}"]
-        if s.rank < s.below + at_lo:
-            s.value = s.lo
-        elif s.rank >= s.below + s.inside - at_hi:
-            s.value = s.hi
-        else:
-            s.lo, s.hi = row[f"after_lo{i}"], row[f"before_hi{i}"]
-            s.below += at_lo
-            s.inside -= at_lo + at_hi
-            a, b = row[f"q{i}"]
-            asks[i] = (min(max(a, s.lo), s.hi), max(min(b, s.hi), s.lo))
-    if not asks:
-        return
-    exprs = []
-    for i, (a, b) in asks.items():
-        c = F.col(searches[i].column)
-        exprs += [F.count(F.when(c < a, 1)).alias(f"b{i}"),
-                  F.count(F.when(c.between(a, b), 1)).alias(f"m{i}")]
-    row = base.agg(*exprs).first()
-    for i, (a, b) in asks.items():
-        s, below, held = searches[i], row[f"b{i}"], row[f"m{i}"]
-        if below <= s.rank < below + held:
-            s.lo, s.hi, s.below, s.inside = a, b, below, held
-        else:  # the sketch missed: ask wider next time, the peeling above still progressed
-            s.width *= 4
+def _columns(batch) -> list[np.ndarray]:
+    """The bits of each column's values, nulls left out."""
+    return [_bits(c.drop_null().to_numpy(zero_copy_only=False)) for c in batch.columns]
+
+
+def _narrow_once(base: DataFrame, searches: list[_RankSearch], boxes: dict) -> None:
+    parts = max(2, _CUTS // len(boxes))
+    cuts = {}
+    for c in sorted({c for c, _, _ in boxes}):
+        own = set()
+        for col, lo, hi in boxes:
+            if col == c:
+                own |= {lo + (hi - lo) * j // parts for j in range(parts)} | {hi, hi + 1}
+        cuts[c] = np.array(sorted(own), np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        top = np.iinfo(np.int64)
+        sums = {c: (np.zeros(len(x) + 1, np.int64), np.full(len(x) + 1, top.max), np.full(len(x) + 1, top.min)) for c, x in cuts.items()}
+        for batch in batches:
+            columns = _columns(batch)
+            for c, x in cuts.items():
+                n, lo, hi = sums[c]
+                at = np.searchsorted(x, columns[c], side="right")
+                n += np.bincount(at, minlength=len(n))
+                np.minimum.at(lo, at, columns[c])
+                np.maximum.at(hi, at, columns[c])
+        for c, (n, lo, hi) in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)),
+                                              *[pa.array(x[at]) for x in (n, lo, hi)]], names=["c", "at", "n", "lo", "hi"])
+
+    # at most two rows per cut
+    rows = base.mapInArrow(run, "c int, at int, n long, lo long, hi long").groupBy("c", "at").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("c", "at").collect()
+    own = {c: [r for r in rows if r["c"] == c] for c in cuts}
+    before = {c: np.cumsum([r["n"] for r in x]) for c, x in own.items()}
+    for s in searches:
+        at = int(np.searchsorted(before[s.column], s.rank, side="right"))
+        r = own[s.column][at]
+        s.lo, s.hi, s.inside, s.below = r["lo"], r["hi"], r["n"], int(before[s.column][at]) - r["n"]
+
+
+def _values_inside(base: DataFrame, boxes: dict) -> dict:
+    """The sorted bits of all values in each box."""
+    lows = {c: np.array(sorted(lo for col, lo, _ in boxes if col == c), np.int64) for c in {c for c, _, _ in boxes}}
+    highs = {c: np.array(sorted(hi for col, _, hi in boxes if col == c), np.int64) for c in lows}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = _columns(batch)
+            for c in lows:
+                # boxes of a column do not overlap
+                at = np.searchsorted(lows[c], columns[c], side="right") - 1
+                kept = columns[c][(at >= 0) & (columns[c] <= highs[c][np.maximum(at, 0)])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), c, np.int32)), pa.array(kept)], names=["c", "v"])
+
+    found: dict[int, list[int]] = {c: [] for c in lows}
+    for r in base.mapInArrow(run, "c int, v long").collect():
+        found[r["c"]].append(r["v"])
+    values = {c: np.sort(np.array(v, np.int64)) for c, v in found.items()}
+    return {(c, lo, hi): values[c][np.searchsorted(values[c], lo):np.searchsorted(values[c], hi, side="right")] for c, lo, hi in boxes}

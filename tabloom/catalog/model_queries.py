@@ -598,7 +598,8 @@ def rebuild_interactions(spark, sf):
 
 def _scorer(spark, sf):
     """A logistic model on four features, with its serving schema from the training rows."""
-    d = ord_lab(spark, sf)
+    # written, so that the steps of fitting and scoring do not join the tables anew
+    d = settle(ord_lab(spark, sf).select(KEY, "o_totalprice", "c_acctbal", "o_orderpriority", "label"), "orders")
     numeric, text = ["o_totalprice", "c_acctbal"], ["o_orderpriority"]
     coded = E.ordinal_encode(d, d, text)
     train = X.assemble(coded.withColumn("label", F.col("label").cast("double")), numeric + text,

@@ -1,5 +1,6 @@
 """What the fits of a run share: counted pairs of features, rows that are binned and sent once, searches side by side, even parts."""
 
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -111,8 +112,11 @@ def test_two_features_are_counted_in_one_pass(monkeypatch, boosted):
     assert sum(n > ROWS // 2 for n in passes) <= 4 * 2 + 2
 
 
-def test_rows_are_binned_once(spark, monkeypatch):
+def test_searches_of_all_candidates_run_side_by_side(spark, monkeypatch):
+    meet = threading.Barrier(2, timeout=60)
+
     def search(data, row_key, spec, *rest):
+        meet.wait()
         return spec, None
 
     real, calls = T.bin_rows, []
